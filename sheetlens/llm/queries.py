@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, licenses, matroska, packing
 from .text import holdout, read
 
 
@@ -18,7 +18,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", holdout().alias("held_out"), "lang_pred", "score")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.build_index(docs)).drop("text")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": op4_license_scan,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_matroska": op8_matroska,
     "op10_language_id": op10_language_id,
 }
 
