@@ -27,15 +27,18 @@ from .text import slices
 
 #: Characters that Python's split takes for blanks and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: ASCII punctuation (no apostrophe) between a letter and a letter, blank or end: words end at both its ends.
+_PUNCTUATION = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[\sa-zß-öø-ÿ]|$)")
 _ID = np.dtype("<u4")
 
 
 class ChunkEncoder:
-    """Token ids of whole texts by way of a cache of their blank-separated chunks.
+    """Token ids of whole texts by way of a cache of their chunks.
 
-    The tokenizer turns blanks into hard boundaries, so a text's ids are those of its chunks
-    one after the other. The cache is emptied when it is full, which costs time only. Texts
-    with characters on which the two notions of a blank differ are encoded whole.
+    The tokenizer lower-cases, and cuts at blanks and between letters and punctuation; so a
+    text's ids are those of such chunks one after the other. The cache is emptied when it is
+    full, which costs time only. Texts with characters for which the library's notion of a
+    blank may differ from Python's are encoded whole.
     """
 
     def __init__(self, vocabulary: str, cache: int = 400_000):
@@ -47,28 +50,47 @@ class ChunkEncoder:
 
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer, self.cache, self.limit = Tokenizer.from_file(vocabulary), {}, cache
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(e.ids, _ID).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return next(self._ids([text]))
-        chunks = text.split()
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The same for runs of letters, all in one call: each ends at the first id that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, _ID)
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(words):  # a vocabulary without word ends
+            yield from self._ids(words)
+            return
+        raw, at = ids.tobytes(), 0
+        for stop in stops:
+            yield raw[4 * at : 4 * stop]
+            at = stop
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        chunks: list[list[str] | None] = []
+        for t in texts:
+            t = t or ""
+            try:
+                t.encode("latin-1")
+                if not any(x in t for x in self.special):
+                    t = _PUNCTUATION.sub(r" \1 ", t.lower())
+            except UnicodeEncodeError:
+                pass
+            chunks.append(None if _ODD_SPACE.search(t) else t.split())
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            pass
         if len(cache) > self.limit:
             cache.clear()
-        missing = list(set(chunks) - cache.keys())
-        cache.update(zip(missing, self._ids(missing), strict=True))
-        return b"".join(map(cache.__getitem__, chunks))
+        missing = {w for c in chunks if c for w in c if w not in cache}
+        for words, ids in (([w for w in missing if w.isalpha()], self._words), ([w for w in missing if not w.isalpha()], self._ids)):
+            if words:
+                cache.update(zip(words, ids(words), strict=True))
+        return [next(self._ids([t])) if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(texts, chunks, strict=True)]
 
 
 class OpenBins:
@@ -114,7 +136,7 @@ PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long, sequence_id
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", separator: int = 0,
-         open_bins: int = 4096, batch_tokens: int = 4_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+         open_bins: int = 4096, batch_chars: int = 2_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: ``key`` and the columns of ``PIECE_SCHEMA``.
 
     A document is its token ids and then ``separator``; null and empty texts are the
@@ -131,10 +153,10 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices([len(t or "") for t in texts], batch_tokens):
+            for a, b in slices([len(t or "") for t in texts], batch_chars):
                 row, piece, start, size, crc = [], [], [], [], []
-                for i in range(a, b):
-                    ids = encoder.encode(texts[i]) + end
+                for i, ids in enumerate(encoder.encode(texts[a:b]), a):
+                    ids += end
                     for k, (s, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                         row.append(i)
                         piece.append(k)

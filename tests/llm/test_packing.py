@@ -5,11 +5,14 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sheetlens.llm import packing
 
-TEXTS = ["Hello, world's end! it'll DON'T", None, "", "  a\x1cb  c d\u0085e ", "word " * 5000, "x<|endoftext|>y 123", "é é ́x İI ß", "\n\n"]
+ENCODER = packing.ChunkEncoder("word_bpe_49k.json")
+TEXTS = ["Hello, world's end! it'll DON'T", None, "", "  a\x1cb  c d\u0085e ", "word " * 5000, "x<|endoftext|>y 123", "é é ́x İI ß", "\n\n", "a,b;c... d-e 'tis rock'n'roll! x=́y z.̸ ªº µm² ½ „quote” <a>b", "İSTANBUL ΣΑΣ ǅ"]
 
 
 def ids_of(tok, text):
@@ -60,5 +63,13 @@ def test_cache_limit_and_empty_table(spark):
     e = packing.ChunkEncoder("word_bpe_49k.json", cache=3)
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for text in ["one two three four five", "six two", "one six seven eight nine", "one"] * 2:
-        assert list(np.frombuffer(e.encode(text), "<u4")) == whole.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(e.encode([text])[0], "<u4")) == whole.encode(text, add_special_tokens=False).ids
+    for ids, text in zip(e.encode(TEXTS), TEXTS, strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == ids_of(whole, text)[:-1]
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(list("aBé ß'.,!<=>|\u0301\u0338\u00a0\u20283²İΣ\x1c\n中-")) | st.characters(codec="utf-8"), max_size=30))
+def test_any_text_equals_the_library(text):
+    assert list(np.frombuffer(ENCODER.encode([text])[0], "<u4")) == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
