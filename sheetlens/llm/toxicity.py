@@ -140,7 +140,7 @@ class ToxicityModel:
     """Mined features, each in a group by kind and strength, and linear weights over the groups' hits and the patterns."""
 
     features: dict[bytes, int]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * GROUPS + len(PATTERNS)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * GROUPS + 4 + len(PATTERNS)))
     bias: float = -35.0
     label_model: LabelModel = field(default_factory=LabelModel)
     accuracies: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -151,21 +151,31 @@ class ToxicityModel:
         self.lengths = sorted({len(f) for f in self.features if f[:1] != b"="})
         self.first = {f[: self.lengths[0]] for f in self.features if f[:1] != b"="} if self.lengths else set()
 
-    def present(self, words: set[bytes]) -> list[bytes]:
-        """The mined features that a set of words has, in order."""
-        hits = [b"=" + w for w in self.words & words]
+    def present(self, words: set[bytes]) -> dict[bytes, list[bytes]]:
+        """The mined features of each word that has any."""
+        out = {w: [b"=" + w] for w in self.words & words}
         if self.lengths:
             k = self.lengths[0]
-            near = {w for w in words if w[:k] in self.first}
-            hits += [f for f in {w[:n] for w in near for n in self.lengths if len(w) > n} if f in self.features]
-        return sorted(hits)
+            for w in words:
+                if w[:k] in self.first:
+                    if found := [w[:n] for n in self.lengths if len(w) > n and w[:n] in self.features]:
+                        out.setdefault(w, []).extend(found)
+        return out
 
     def vector(self, text: str | None) -> tuple[list[bytes], list[float]]:
-        """The features present; per group whether any is and the log of how many; the patterns."""
+        """The features present, in order; and the numbers that the linear classifier weighs.
+
+        Per group whether a word has its strongest feature there and the log of how many do;
+        how many distinct words have any, alone and against the length; the patterns.
+        """
         words = _words(text or "")
-        hits = self.present(set(words))
-        n = np.bincount([self.features[h] for h in hits], minlength=GROUPS) if hits else np.zeros(GROUPS)
-        return hits, [*np.log1p(n).tolist(), *(n > 0).astype(float).tolist(), *_patterns(text or "", len(words))]
+        found = self.present(set(words))
+        n = np.zeros(GROUPS)
+        for features in found.values():
+            n[max((self.features[f] for f in features), key=lambda g: (g % len(STRATA), -g))] += 1
+        k = len(found)
+        x = [*np.log1p(n).tolist(), *(n > 0).astype(float).tolist(), float(np.log1p(k)), float(k >= 2), float(k >= 3), float(np.log((k + 0.1) / (len(words) + 50)))]
+        return sorted({f for features in found.values() for f in features}), x + _patterns(text or "", len(words))
 
     def score(self, text: str | None) -> float:
         z = self.bias + float(self.weights @ self.vector(text)[1])
@@ -266,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, toxic_rows: int = 40
     fired = np.zeros((len(got), GROUPS * voters))
     for i, r in enumerate(got):
         fired[i, r[1]] = 1
-    votes = np.column_stack([y, [r[2] for r in got], fired[:, fired.any(0)], x[:, 2 * GROUPS :]]).astype(float)
+    votes = np.column_stack([y, [r[2] for r in got], fired[:, fired.any(0)], x[:, -len(PATTERNS) :]]).astype(float)
     label_model = LabelModel.fit(votes, 0.1 + 0.8 * y)
     post = label_model.posterior(votes)
     w, b = _logistic(x, post)
