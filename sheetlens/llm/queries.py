@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, langid, licenses, matroska, packing, toxicity
+from . import chatformat, embedjoin, langid, licenses, matroska, packing, toxicity, urlgraph
 from .text import holdout, read
 
 
@@ -34,6 +34,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", holdout().alias("held_out"), "score", "predicted")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(read(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.build_index(docs)).drop("text")
@@ -43,14 +47,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedjoin.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_matroska": op8_matroska,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
