@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, embedjoin, langid, licenses, matroska, packing, toxicity, urlgraph
+from . import chatformat, embedjoin, langid, licenses, matroska, minhash, packing, toxicity, urlgraph
 from .text import holdout, read
 
 
@@ -51,6 +51,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedjoin.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_matroska": op8_matroska,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
