@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, embedjoin, langid, licenses, matroska, minhash, packing, toxicity, urlgraph
+from . import chatformat, embedjoin, langid, licenses, matroska, minhash, packing, pieces, toxicity, urlgraph
 from .text import holdout, read
 
 
@@ -38,6 +38,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = pieces.PieceTable.load("piece_bpe_32k.model")
+    encoded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), table)
+    return pieces.decode(encoded, table).select(
+        "doc_id", "n_pieces", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.build_index(docs)).drop("text")
@@ -62,6 +70,7 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
