@@ -10,9 +10,10 @@ have a Jaccard similarity of 0.8 or more, or their weighted shingles a probabili
 0.8 or more. Without repeated shingles the two are the same number.
 
 Groups of copies and of near copies are never expanded into pairs: copies are one class, and
-within a band classes are first compared with one hub, then, where components still differ,
-with another; only classes that are still apart after that are compared pair by pair, so
-that no link between different texts is lost.
+each class is first compared with the smallest that it meets in a band. Where components
+still differ, a band's members are compared by their sketches in blocks, and a class tries
+its likest partners of each other component, turn by turn, until none is left; so no link
+between different texts is lost, and groups whose texts only share a passage leave no pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def shingles(docs: list[list[bytes]], hashes: WordHashes, width: int = 5) -> tup
 
     A document of fewer words is one shingle; one without words has none.
     """
-    if len(hashes) > 500_000:
+    if len(hashes) > 200_000:
         hashes.clear()
     size = np.array([len(d) for d in docs], np.int64)
     flat = np.fromiter((hashes[w] for d in docs for w in d), _U, int(size.sum()))
@@ -126,9 +128,9 @@ def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text:
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], chunk):
-                words = [words_of(t) for t in texts[a:b]]
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), chunk):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                words = [words_of(t) for t in texts]
                 doc, h, count = shingles(words, hashes, width)
                 sig = signatures(doc, h, weights(count), b - a, registers)
                 acc = np.zeros((b - a, bands), _U)
@@ -136,7 +138,7 @@ def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text:
                     acc = _mix(acc * _GOLD + sig.reshape(b - a, bands, rows)[:, :, k])
                 acc = _mix(acc + np.arange(1, bands + 1, dtype=_U)).view(np.int64)
                 small = (_mix(sig) & _U(255)).astype(np.uint8)
-                copy = [hashlib.md5(b" ".join(w) if w else b"\0" + t.encode("utf-8", "replace")).digest() if t else None for w, t in zip(words, texts[a:b], strict=True)]
+                copy = [hashlib.md5(b" ".join(w) if w else b"\0" + t.encode("utf-8", "replace")).digest() if t else None for w, t in zip(words, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(copy, pa.binary()),
                     pa.array([acc[i] if w else None for i, w in enumerate(words)], pa.list_(pa.int64())),
@@ -167,10 +169,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> D
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for s, e in slices([len(x) + len(y) for x, y in zip(a, b, strict=True)], 2_000_000):
-                doc, h, count = shingles([words_of(t) for i in range(s, e) for t in (a[i], b[i])], hashes, width)
+            for s, e in slices(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist(), 2_000_000):
+                both = zip(batch.column(2).slice(s, e - s).to_pylist(), batch.column(3).slice(s, e - s).to_pylist(), strict=True)
+                doc, h, count = shingles([words_of(t) for pair in both for t in pair], hashes, width)
                 order = np.lexsort((h, doc))
                 doc, h, count = doc[order], h[order], count[order]
                 edge = np.searchsorted(doc, np.arange(2 * (e - s) + 1))
@@ -185,7 +187,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> D
             .select("a", "b", "_ta", "_tb").mapInArrow(run, "src long, dst long"))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5, hubs: int = 2,
+def _unmet(now: DataFrame, classes: DataFrame, tops: int | None, least: float, registers: int, block: int = 2048) -> DataFrame:
+    """Plausible pairs (a, b) of different components within the bands of ``now(band, id, component)``.
+
+    A band's members are compared by their sketches in pairs of blocks; only pairs that the
+    sketches don't rule out leave a task, and of those at most ``tops`` for each class and
+    other component, the likest first (all for None).
+    """
+    need = least * registers - 5.5 * np.sqrt(least * (1 - least) * registers)
+    apart = now.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count("*") / block).cast("int").alias("_n")).filter("_a < _b").select("band", "_n")
+    rows = now.join(apart, "band").join(classes.select("id", "sketch"), "id").withColumn("_k", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_n")).cast("int"))
+    one = F.struct(F.col("_k").alias("i"), F.col("_k").alias("j"))
+    spread = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least(x, F.col("_k")).alias("i"), F.greatest(x, F.col("_k")).alias("j")))
+    tasks = rows.select("band", "id", "component", "sketch", "_k", F.explode(F.when(F.col("_n") > 1, spread).otherwise(F.array(one))).alias("t")).select("band", "t.i", "t.j", "_k", "id", "component", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comp, part = (table[c].to_numpy() for c in ("id", "component", "_k"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, registers)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        out = []
+        for u in left:
+            other = right[(comp[right] != comp[u]) & (ids[right] > ids[u] if i == j else True)]
+            same = (sketch[other] == sketch[u]).sum(1)
+            good = np.flatnonzero(same >= need)
+            if tops is not None and len(good) > tops:
+                good = good[np.lexsort((ids[other[good]], -same[good]))]
+                rank: dict[int, int] = {}
+                kept = []
+                for g in good:
+                    c = int(comp[other[g]])
+                    rank[c] = rank.get(c, 0) + 1
+                    if rank[c] <= tops:
+                        kept.append(g)
+                good = np.array(kept)
+            out += [(min(ids[u], v), max(ids[u], v)) for v in ids[other[good]]]
+        return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
+
+    return tasks.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5, tops: tuple[int | None, ...] = (1, 8, None),
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, class_id, class_size, kept) per row: near-duplicate classes over whole texts.
 
@@ -195,7 +237,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows:
     without an id (class_id null, kept). Rows that share an id share a class.
 
     Two texts at the threshold meet in a band with probability 1 - (1 - 0.8^5)^32, or all but
-    three in a million.
+    three in a million. ``tops`` are the turns after the first: how many pairs a class may
+    try with each other component; the last is None, all that are left.
     """
     registers = bands * rows
     seen = saved(sketched(docs, bands, rows, width, key, text))
@@ -204,34 +247,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows:
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     banded = classes.filter("bands IS NOT NULL").select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("band")
-    met = saved(banded.join(shared, "band"))
+    met = saved(banded.join(shared, "band").select("band", "id"))
+    members = met.select("id").distinct()
     texts = saved(
-        docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(met.select("id").distinct(), "id", "left_semi")
+        docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")
         .groupBy("id").agg(F.min("text").alias("text")))
-    links = None
-    done = None
-    part = met.select("id").distinct().withColumn("component", F.col("id"))
-    for turn in range(hubs + 1):
-        now = met.join(part, "id")
-        apart = now.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.min(F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("_o"), "id", "component")).alias("_hub")).filter("_a < _b")
-        if turn < hubs:
-            pairs = now.join(apart.select("band", F.col("_hub.id").alias("hub"), F.col("_hub.component").alias("_hc")), "band").filter("component <> _hc").select("id", "hub")
-            if not turn:  # one hub for each class is enough to begin with
-                pairs = pairs.groupBy("id").agg(F.min("hub").alias("hub"))
-        else:
-            left = now.join(apart.select("band"), "band")
-            pairs = left.join(left.select("band", F.col("id").alias("hub"), F.col("component").alias("_hc")), "band").filter("id < hub AND component <> _hc").select("id", "hub")
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        if pairs.isEmpty():
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        fresh = saved(_verified(_plausible(pairs, classes, least, registers), texts, least, width))
-        links = fresh if links is None else links.unionByName(fresh)
-        parts = connected_components(links)
-        part = saved(met.select("id").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    # the first turn compares each class with the smallest that it meets
+    hubs = met.groupBy("band").agg(F.min("id").alias("hub"))
+    first = met.join(hubs, "band").filter("hub < id").groupBy("id").agg(F.min("hub").alias("hub"))
+    pairs = saved(_plausible(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), classes, least, registers))
+    done, links, part = pairs, None, members.withColumn("component", F.col("id"))
+    for turn in range(len(tops) + 1):
+        if not pairs.isEmpty():
+            fresh = saved(_verified(pairs, texts, least, width))
+            links = fresh if links is None else links.unionByName(fresh)
+            parts = connected_components(links).withColumnRenamed("node", "id")
+            part = saved(members.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        if turn < len(tops):
+            left = _unmet(met.join(part, "id"), classes, tops[turn], least, registers)
+            pairs = saved(left.join(done, ["a", "b"], "left_anti"))
+            done = done.unionByName(pairs)
     by_copy = classes.select("copy_of", "id", "copies").join(part, "id", "left").select("copy_of", "copies", F.coalesce("component", "id").alias("component"))
     sizes = by_copy.groupBy("component").agg(F.sum("copies").alias("class_size"))
     by_copy = by_copy.join(sizes, "component")

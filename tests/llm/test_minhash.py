@@ -75,9 +75,10 @@ def test_classes_equal_brute_force(spark, seed):
     assert all(r.class_size == sum(c == r.class_id for c in classes.values()) for r in got if r.doc_id is not None)
 
 
-def test_residual_pairs_alone_find_the_same(spark):
+@pytest.mark.parametrize("tops", [(None,), (1, 1, 1, None)])
+def test_turns_find_the_same(spark, tops):
     rows = corpus(4)
-    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA), hubs=0).collect()
+    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA), tops=tops).collect()
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
@@ -108,3 +109,14 @@ def test_signatures_do_not_depend_on_the_batch():
 
 def test_empty_table(spark):
     assert mh.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_blocks_of_a_band_find_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (4, 160), np.uint8)
+    sketch = [bytes(base[i % 4]) for i in range(90)]
+    classes = spark.createDataFrame([(i, s) for i, s in enumerate(sketch)], "id long, sketch binary")
+    now = spark.createDataFrame([(7, i, i // 2) for i in range(90)], "band long, id long, component long")
+    for block in (2048, 20):
+        got = {(r.a, r.b) for r in mh._unmet(now, classes, None, 0.8, 160, block).collect()}
+        assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 4 == j % 4 and i // 2 != j // 2}
