@@ -270,3 +270,46 @@ def _(v):
     m = v.spark.createDataFrame([("signatures", ["SIGNATURE_MISSING"]), ("dates", ["DATE_MISMATCH", "INVALID_FORMAT"]), ("photos", ["PHOTO_QUALITY"]), ("policy", ["OUT_OF_POLICY", "INCOMPLETE_CHECKLIST"])], "module string, types array<string>")
     late = v.issues.filter(F.col("occurred_at") >= "2001-10-01")
     return late.join(F.broadcast(m.select("module", F.explode("types").alias("issue_type"))), "issue_type").select("engineer_id", "module").distinct()
+
+
+# --- folds and windows --------------------------------------------------------------------
+
+
+@query("outcome_windows", "SELECT CAST(CAST(audited_at AS DATE) AS VARCHAR) AS day, engineer_id, count(*) AS audits, count(*) FILTER (outcome = 'VALID') AS valid FROM audits GROUP BY ALL", "audits")
+def _(v):
+    from ..streaming.folds import outcome_windows
+
+    return outcome_windows(v.audits).select(F.to_date("start").cast("string").alias("day"), "engineer_id", "audits", "valid")
+
+
+@query("user_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+ SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS events FROM s GROUP BY user_id, n""")
+def _(v):
+    from ..streaming.folds import sessions
+
+    e = v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, "6 hours").select("user_id", F.unix_micros("start").alias("start_us"), "events")
+
+
+@query("rate_limited_requests")
+def _(v):
+    from ..streaming.folds import rate_limited
+
+    e = v.table("events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return rate_limited(e, 6 * 3_600_000, 2)
+
+
+@query("cache_statistics")
+def _(v):
+    from ..streaming.folds import cache_replay
+
+    e = v.table("events").select(F.col("event_type").alias("cache"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("user_id").alias("key"))
+    return cache_replay(e, 24 * 3_600_000, 5)
+
+
+@query("breaker_states")
+def _(v):
+    from ..streaming.folds import breaker_states
+
+    e = v.table("events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_type") != "error").alias("ok"))
+    return breaker_states(e, 2, 24 * 3_600_000)
