@@ -10,10 +10,10 @@ have a Jaccard similarity of 0.8 or more, or their weighted shingles a probabili
 0.8 or more. Without repeated shingles the two are the same number.
 
 Groups of copies and of near copies are never expanded into pairs: copies are one class, and
-each class is first compared with the smallest that it meets in a band. Where components
-still differ, a band's members are compared by their sketches in blocks, and a class tries
-its likest partners of each other component, turn by turn, until none is left; so no link
-between different texts is lost, and groups whose texts only share a passage leave no pairs.
+a band's members are compared by their sketches in blocks. First a spanning forest of the
+likest pairs is tried, which joins what belongs together; then every plausible pair of
+components that are still apart. So no link between different texts is lost, and texts that
+only share a passage leave no pairs.
 """
 
 from __future__ import annotations
@@ -147,22 +147,6 @@ def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, copy_of binary, bands array<long>, sketch binary")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, least: float, registers: int) -> DataFrame:
-    """The pairs whose sketches don't rule the similarity out, five and a half standard deviations below it."""
-    need = least * registers - 5.5 * np.sqrt(least * (1 - least) * registers)
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, registers) for k in (2, 3))
-            keep = pa.array((a == b).sum(1) >= need, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
-
-    s = classes.select("id", "sketch")
-    return (pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("_sa")), "a")
-            .join(s.select(F.col("id").alias("b"), F.col("sketch").alias("_sb")), "b")
-            .select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long"))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole texts."""
 
@@ -187,48 +171,81 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> D
             .select("a", "b", "_ta", "_tb").mapInArrow(run, "src long, dst long"))
 
 
-def _unmet(now: DataFrame, classes: DataFrame, tops: int | None, least: float, registers: int, block: int = 2048) -> DataFrame:
-    """Plausible pairs (a, b) of different components within the bands of ``now(band, id, component)``.
+def _forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Indices of pairs that join what all pairs join, the heaviest first, by rounds of each component's best pair.
 
-    A band's members are compared by their sketches in pairs of blocks; only pairs that the
-    sketches don't rule out leave a task, and of those at most ``tops`` for each class and
-    other component, the likest first (all for None).
+    ``left`` and ``right`` are places in ``component``, whose values are parts already joined.
+    """
+    labels, part = np.unique(component, return_inverse=True)
+    root = np.arange(len(labels))
+    order = np.lexsort((right, left, -weight))
+    taken = []
+    while len(order):
+        u, v = root[part[left[order]]], root[part[right[order]]]
+        apart = u != v
+        order, u, v = order[apart], u[apart], v[apart]
+        if not len(order):
+            break
+        _, at = np.unique(np.column_stack([u, v]).ravel(), return_index=True)
+        parent = np.arange(len(labels))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for k in np.unique(at // 2):
+            x, y = find(int(u[k])), find(int(v[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                taken.append(order[k])
+        root = np.array([find(int(r)) for r in root])
+    return np.array(taken, np.int64)
+
+
+def _unmet(now: DataFrame, classes: DataFrame, every: bool, least: float, bands: int, rows: int, block: int = 2048) -> DataFrame:
+    """Plausible pairs (a, b) of different components within the bands of ``now(band, at, id, component)``.
+
+    A band's members are compared by their sketches in pairs of blocks. A pair counts in the
+    first band that it shares, and if the sketches don't rule the similarity out: four and a
+    half standard deviations below it, or all but three in a million. Of these pairs a task
+    gives all if ``every``, else only a spanning forest, the likest first.
     """
-    need = least * registers - 5.5 * np.sqrt(least * (1 - least) * registers)
+    registers = bands * rows
+    need = least * registers - 4.5 * np.sqrt(least * (1 - least) * registers)
     apart = now.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count("*") / block).cast("int").alias("_n")).filter("_a < _b").select("band", "_n")
-    rows = now.join(apart, "band").join(classes.select("id", "sketch"), "id").withColumn("_k", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_n")).cast("int"))
+    members = now.join(apart, "band").join(classes.select("id", "sketch"), "id").withColumn("_k", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_n")).cast("int"))
     one = F.struct(F.col("_k").alias("i"), F.col("_k").alias("j"))
     spread = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least(x, F.col("_k")).alias("i"), F.greatest(x, F.col("_k")).alias("j")))
-    tasks = rows.select("band", "id", "component", "sketch", "_k", F.explode(F.when(F.col("_n") > 1, spread).otherwise(F.array(one))).alias("t")).select("band", "t.i", "t.j", "_k", "id", "component", "sketch")
+    tasks = members.select("band", "at", "id", "component", "sketch", "_k", F.explode(F.when(F.col("_n") > 1, spread).otherwise(F.array(one))).alias("t")).select("band", "t.i", "t.j", "at", "_k", "id", "component", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comp, part = (table[c].to_numpy() for c in ("id", "component", "_k"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, at = table["i"][0].as_py(), table["j"][0].as_py(), table["at"][0].as_py()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, registers)
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        out = []
+        us, vs, ws = [], [], []
         for u in left:
-            other = right[(comp[right] != comp[u]) & (ids[right] > ids[u] if i == j else True)]
-            same = (sketch[other] == sketch[u]).sum(1)
+            other = right[(comp[right] != comp[u]) & ((ids[right] > ids[u]) | (i != j))]
+            equal = sketch[other] == sketch[u]
+            same = equal.sum(1)
             good = np.flatnonzero(same >= need)
-            if tops is not None and len(good) > tops:
-                good = good[np.lexsort((ids[other[good]], -same[good]))]
-                rank: dict[int, int] = {}
-                kept = []
-                for g in good:
-                    c = int(comp[other[g]])
-                    rank[c] = rank.get(c, 0) + 1
-                    if rank[c] <= tops:
-                        kept.append(g)
-                good = np.array(kept)
-            out += [(min(ids[u], v), max(ids[u], v)) for v in ids[other[good]]]
-        return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
+            good = good[equal[good].reshape(-1, bands, rows).all(2).argmax(1) == at]
+            us.append(np.full(len(good), u))
+            vs.append(other[good])
+            ws.append(same[good])
+        u, v, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, ws))
+        if not every and len(u):
+            keep = _forest(u, v, w, comp)
+            u, v = u[keep], v[keep]
+        return pa.table({"a": pa.array(np.minimum(ids[u], ids[v]), pa.int64()), "b": pa.array(np.maximum(ids[u], ids[v]), pa.int64())})
 
     return tasks.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5, tops: tuple[int | None, ...] = (1, 8, None),
-                    key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 5, width: int = 5, key: str = "doc_id", text: str = "text",
+                    forests: int = 1) -> DataFrame:
     """(``key``, class_id, class_size, kept) per row: near-duplicate classes over whole texts.
 
     Texts are compared by their words (A-Z lower-cased). class_id is the smallest id of the
@@ -237,36 +254,33 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows:
     without an id (class_id null, kept). Rows that share an id share a class.
 
     Two texts at the threshold meet in a band with probability 1 - (1 - 0.8^5)^32, or all but
-    three in a million. ``tops`` are the turns after the first: how many pairs a class may
-    try with each other component; the last is None, all that are left.
+    three in a million. ``forests`` is the number of turns that try a spanning forest before
+    the last one tries every pair that is left.
     """
-    registers = bands * rows
     seen = saved(sketched(docs, bands, rows, width, key, text))
     classes = saved(
         seen.filter("copy_of IS NOT NULL AND id IS NOT NULL").groupBy("copy_of")
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-    banded = classes.filter("bands IS NOT NULL").select("id", F.explode("bands").alias("band"))
+    banded = classes.filter("bands IS NOT NULL").select("id", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("band")
-    met = saved(banded.join(shared, "band").select("band", "id"))
+    met = saved(banded.join(shared, "band").select("band", "at", "id"))
     members = met.select("id").distinct()
     texts = saved(
         docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")
         .groupBy("id").agg(F.min("text").alias("text")))
-    # the first turn compares each class with the smallest that it meets
-    hubs = met.groupBy("band").agg(F.min("id").alias("hub"))
-    first = met.join(hubs, "band").filter("hub < id").groupBy("id").agg(F.min("hub").alias("hub"))
-    pairs = saved(_plausible(first.select(F.col("hub").alias("a"), F.col("id").alias("b")), classes, least, registers))
-    done, links, part = pairs, None, members.withColumn("component", F.col("id"))
-    for turn in range(len(tops) + 1):
-        if not pairs.isEmpty():
-            fresh = saved(_verified(pairs, texts, least, width))
-            links = fresh if links is None else links.unionByName(fresh)
-            parts = connected_components(links).withColumnRenamed("node", "id")
-            part = saved(members.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-        if turn < len(tops):
-            left = _unmet(met.join(part, "id"), classes, tops[turn], least, registers)
-            pairs = saved(left.join(done, ["a", "b"], "left_anti"))
-            done = done.unionByName(pairs)
+    done, links, part = None, None, members.withColumn("component", F.col("id"))
+    for turn in range(forests + 1):
+        pairs = _unmet(met.join(part, "id"), classes, turn == forests, least, bands, rows)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = saved(pairs)
+        done = pairs if done is None else done.unionByName(pairs)
+        if pairs.isEmpty():
+            continue
+        fresh = saved(_verified(pairs, texts, least, width))
+        links = fresh if links is None else links.unionByName(fresh)
+        parts = connected_components(links).withColumnRenamed("node", "id")
+        part = saved(members.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     by_copy = classes.select("copy_of", "id", "copies").join(part, "id", "left").select("copy_of", "copies", F.coalesce("component", "id").alias("component"))
     sizes = by_copy.groupBy("component").agg(F.sum("copies").alias("class_size"))
     by_copy = by_copy.join(sizes, "component")

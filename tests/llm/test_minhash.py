@@ -75,10 +75,10 @@ def test_classes_equal_brute_force(spark, seed):
     assert all(r.class_size == sum(c == r.class_id for c in classes.values()) for r in got if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("tops", [(None,), (1, 1, 1, None)])
-def test_turns_find_the_same(spark, tops):
+@pytest.mark.parametrize("forests", [0, 3])
+def test_turns_find_the_same(spark, forests):
     rows = corpus(4)
-    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA), tops=tops).collect()
+    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA), forests=forests).collect()
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
@@ -116,7 +116,25 @@ def test_blocks_of_a_band_find_all_pairs(spark):
     base = rng.integers(0, 256, (4, 160), np.uint8)
     sketch = [bytes(base[i % 4]) for i in range(90)]
     classes = spark.createDataFrame([(i, s) for i, s in enumerate(sketch)], "id long, sketch binary")
-    now = spark.createDataFrame([(7, i, i // 2) for i in range(90)], "band long, id long, component long")
+    now = spark.createDataFrame([(7, 0, i, i // 2) for i in range(90)] + [(8, 1, i, i // 2) for i in range(90)], "band long, at int, id long, component long")
     for block in (2048, 20):
-        got = {(r.a, r.b) for r in mh._unmet(now, classes, None, 0.8, 160, block).collect()}
-        assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 4 == j % 4 and i // 2 != j // 2}
+        got = mh._unmet(now, classes, True, 0.8, 32, 5, block).collect()
+        assert len(got) == len(set(got))
+        assert {tuple(r) for r in got} == {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 4 == j % 4 and i // 2 != j // 2}
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(3)
+    component = np.concatenate([np.arange(50), [7, 7, 9]])
+    u, v = rng.integers(0, 53, (2, 60))
+    keep = mh._forest(u, v, rng.integers(0, 5, 60), component)
+
+    def parts(pairs):
+        label = list(component)
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [min(x, y) if c in (x, y) else c for c in label]
+        return label
+
+    assert parts(zip(u[keep], v[keep])) == parts(zip(u, v))
+    assert len(keep) == len(set(parts([]))) - len(set(parts(zip(u, v))))
