@@ -106,7 +106,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.slug for r in good.collect()] == ["new"] and {r.error for r in bad.collect()} == {"already known", "version", "no fields", "unreadable file"}
     (tmp_path / "t.txt").write_text("one\f\fthree")
     assert [(r.page_no, r.text) for r in files.read_texts(spark, str(tmp_path / "t.txt")).collect()] == [(1, "one"), (3, "three")]
-    files.write_csv(spark.createDataFrame([('a "q"', 1)], "t string, n int"), str(tmp_path / "csv"))
+    files.write_csv(spark.createDataFrame([('a "q"', 1)], "t string, n int").coalesce(1), str(tmp_path / "csv"))
     assert next((tmp_path / "csv").glob("part*")).read_text() == '"t","n"\n"a ""q""","1"\n'
     assert tables.load(spark, str(tmp_path), "waivers").count() == 0
     h = spark.createDataFrame([('{"b": 1, "a": {"d": 2, "c": 3}}',), ('{"a": {"c": 3, "d": 2}, "b": 1, "contentHash": "x"}',)], "j string").select(files.canonical_json_hash(F.col("j"), ("contentHash",)).alias("h")).distinct()
