@@ -169,3 +169,22 @@ def keyword_coverage(text: Column, words: Sequence[str]) -> Column:
     found = reduce(lambda a, w: a + F.when(t.contains(w), 1).otherwise(0), words, F.lit(0))
     n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     return F.least(F.lit(50.0), n / 10.0) + found / float(len(words)) * 50
+
+
+def process(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Text to decision in one job: the scan's quality, the selected template, and what happens next."""
+    quality = page_quality(docs.select(key, text), text).select(key, "overall", ((F.col("overall") < 50) | (F.col("blur") < 30) | (F.col("contrast") < 20) | (F.col("skew") > 5)).alias("_poor"))
+    chosen = select_template(docs, templates, key, text).select(key, "slug", "band", "selected")
+    status = F.when(~F.col("selected"), "review_queue").when(F.col("_poor"), "review_queue").otherwise("processed")
+    return chosen.join(quality, key).select(key, "slug", "band", "overall", status.alias("status"))
+
+
+def fixture_matrix(cases: DataFrame, templates: Sequence[Template]) -> DataFrame:
+    """``cases(case_id, text, expected_slug, expected_selected, required)`` with what happened and whether it was expected."""
+    got = select_template(cases, templates, "case_id").select("case_id", "slug", "selected")
+    right = (F.col("selected") == F.col("expected_selected")) & (~F.col("expected_selected") | F.col("slug").eqNullSafe(F.col("expected_slug")))
+    return cases.join(got, "case_id").select("case_id", "required", "slug", "selected", right.alias("passed"))
+
+
+def matrix_totals(matrix: DataFrame) -> DataFrame:
+    return matrix.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(~F.col("passed") & F.col("required")).alias("required_failed"))

@@ -157,3 +157,18 @@ def _(v):
 @query("byte_texts", "SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM (SELECT p_partkey, p_partkey * p_size * 37 AS b FROM part)")
 def _(v):
     return v.table("part").select("p_partkey", S.byte_text(F.col("p_partkey") * F.col("p_size") * 37).alias("size"))
+
+
+SELECTED = "w2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, slug) AS rn FROM s), p2 AS (SELECT doc_id, max(slug) FILTER (rn = 1) AS slug, max(score) FILTER (rn = 1) AS t1, max(score) FILTER (rn = 2) AS t2 FROM w2 GROUP BY doc_id), q2 AS (SELECT doc_id, slug, CASE WHEN t1 >= 80 THEN 'HIGH' WHEN t1 >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band, t1 >= 80 OR (t1 >= 50 AND t1 - t2 >= 10) AS selected FROM p2)"
+
+
+@query("document_pipeline", f"{QUALITY}, {SCORES[5:]}, {SELECTED} SELECT q2.doc_id, slug, band, overall, CASE WHEN NOT selected OR overall < 50 OR blur < 30 OR contrast < 20 OR skew > 5 THEN 'review_queue' ELSE 'processed' END AS status FROM q2 JOIN e ON q2.doc_id = e.doc_id")
+def _(v):
+    return D.process(docs(v), TEMPLATES)
+
+
+@query("fixture_matrix", f"{SCORES}, {SELECTED}, m AS (SELECT selected = (lang <> 'xx') AND slug = lang || '-sheet' AS ok, q2.doc_id % 2 = 0 AS required FROM q2 JOIN documents d ON d.doc_id = q2.doc_id) SELECT count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (NOT ok AND required) AS required_failed FROM m")
+def _(v):
+    d = v.table("documents")
+    cases = d.select(F.col("doc_id").alias("case_id"), "text", F.concat("lang", F.lit("-sheet")).alias("expected_slug"), F.lit(True).alias("expected_selected"), (F.col("doc_id") % 2 == 0).alias("required"))
+    return D.matrix_totals(D.fixture_matrix(cases, TEMPLATES))
