@@ -122,7 +122,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text: str, chunk: int = 2_000_000) -> DataFrame:
-    """(id, copy_of, bands, sketch) per row: the class of equal word sequences, band hashes, a byte per register."""
+    """(id, copy_of, sketch) per row: the class of equal word sequences, a byte per register."""
     registers = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -133,18 +133,23 @@ def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text:
                 words = [words_of(t) for t in texts]
                 doc, h, count = shingles(words, hashes, width)
                 sig = signatures(doc, h, weights(count), b - a, registers)
-                acc = np.zeros((b - a, bands), _U)
-                for k in range(rows):
-                    acc = _mix(acc * _GOLD + sig.reshape(b - a, bands, rows)[:, :, k])
-                acc = _mix(acc + np.arange(1, bands + 1, dtype=_U)).view(np.int64)
                 small = (_mix(sig) & _U(255)).astype(np.uint8)
                 copy = [hashlib.md5(b" ".join(w) if w else b"\0" + t.encode("utf-8", "replace")).digest() if t else None for w, t in zip(words, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(copy, pa.binary()),
-                    pa.array([acc[i] if w else None for i, w in enumerate(words)], pa.list_(pa.int64())),
-                    pa.array([small[i].tobytes() if w else None for i, w in enumerate(words)], pa.binary())], names=["id", "copy_of", "bands", "sketch"])
+                    pa.array([small[i].tobytes() if w else None for i, w in enumerate(words)], pa.binary())], names=["id", "copy_of", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, copy_of binary, bands array<long>, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, copy_of binary, sketch binary")
+
+
+def banded(faces: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``faces`` with a row per band of its sketch: (..., at, band) for (..., sketch).
+
+    A band is hashed from its bytes of the sketch, not from the registers, so that two
+    sketches meet in a band exactly where their bytes in it are equal.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * rows + 1, F.lit(rows))))
+    return faces.select(*(c for c in faces.columns if c != "sketch"), F.posexplode(hashes).alias("at", "band"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
@@ -260,10 +265,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows:
     seen = saved(sketched(docs, bands, rows, width, key, text))
     classes = saved(
         seen.filter("copy_of IS NOT NULL AND id IS NOT NULL").groupBy("copy_of")
-        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
-    banded = classes.filter("bands IS NOT NULL").select("id", F.posexplode("bands").alias("at", "band"))
-    shared = banded.groupBy("band").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("band")
-    met = saved(banded.join(shared, "band").select("band", "at", "id"))
+        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")))
+    spread = banded(classes.filter("sketch IS NOT NULL").select("id", "sketch"), bands, rows)
+    shared = spread.groupBy("band").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("band")
+    met = saved(spread.join(shared, "band").select("band", "at", "id"))
     members = met.select("id").distinct()
     texts = saved(
         docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")
