@@ -4,7 +4,9 @@ Every shingle of five words is an element with a Poisson process whose rate is i
 1 + ln(count); each arrival falls into a random register, which keeps the earliest arrival's
 element. Arrivals are generated in rounds, and an element stops once its time is past the
 latest register of its document. Two registers agree with the probability Jaccard of the
-weighted shingles. Bands of registers give candidates; a short sketch of the registers
+weighted shingles. A document with repeated shingles has a second set of registers, of weight
+1 each, that agree with the Jaccard similarity of the sets; without repeats the two sets are
+the same. Bands of registers give candidates; a short sketch of the registers
 rejects most false ones, and the texts decide: documents are linked if their shingle sets
 have a Jaccard similarity of 0.8 or more, or their weighted shingles a probability Jaccard of
 0.8 or more. Without repeated shingles the two are the same number.
@@ -19,6 +21,7 @@ only share a passage leave no pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,7 +125,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text: str, chunk: int = 2_000_000) -> DataFrame:
-    """(id, copy_of, sketch) per row: the class of equal word sequences, a byte per register."""
+    """(id, copy_of, sketch, plain) per row: the class of equal word sequences, a byte per register.
+
+    ``plain`` is the sketch of the shingles without weights, null where no shingle repeats.
+    """
     registers = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -132,14 +138,18 @@ def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text:
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 words = [words_of(t) for t in texts]
                 doc, h, count = shingles(words, hashes, width)
-                sig = signatures(doc, h, weights(count), b - a, registers)
-                small = (_mix(sig) & _U(255)).astype(np.uint8)
+                small = (_mix(signatures(doc, h, weights(count), b - a, registers)) & _U(255)).astype(np.uint8)
+                again, which = np.unique(doc[count > 1]), np.full(b - a, -1)
+                which[again] = np.arange(len(again))
+                of = which[doc] >= 0
+                even = (_mix(signatures(which[doc[of]], h[of], np.ones(int(of.sum())), len(again), registers)) & _U(255)).astype(np.uint8)
                 copy = [hashlib.md5(b" ".join(w) if w else b"\0" + t.encode("utf-8", "replace")).digest() if t else None for w, t in zip(words, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(copy, pa.binary()),
-                    pa.array([small[i].tobytes() if w else None for i, w in enumerate(words)], pa.binary())], names=["id", "copy_of", "sketch"])
+                    pa.array([small[i].tobytes() if w else None for i, w in enumerate(words)], pa.binary()),
+                    pa.array([even[k].tobytes() if k >= 0 else None for k in which], pa.binary())], names=["id", "copy_of", "sketch", "plain"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, copy_of binary, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, copy_of binary, sketch binary, plain binary")
 
 
 def banded(faces: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -209,18 +219,29 @@ def _forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, component:
     return np.array(taken, np.int64)
 
 
-def _unmet(now: DataFrame, classes: DataFrame, every: bool, least: float, bands: int, rows: int, block: int = 2048) -> DataFrame:
+def _least_equal(least: float, registers: int, miss: float = 3e-6) -> int:
+    """The number of equal registers that a pair at ``least`` falls short of with probability ``miss`` or less."""
+    tail = 0.0
+    for k in range(registers + 1):
+        tail += math.comb(registers, k) * least**k * (1 - least) ** (registers - k)
+        if tail > miss:
+            return k
+    return registers
+
+
+def _unmet(now: DataFrame, faces: DataFrame, every: bool, least: float, bands: int, rows: int, block: int = 2048) -> DataFrame:
     """Plausible pairs (a, b) of different components within the bands of ``now(band, at, id, component)``.
 
-    A band's members are compared by their sketches in pairs of blocks. A pair counts in the
-    first band that it shares, and if the sketches don't rule the similarity out: four and a
-    half standard deviations below it, or all but three in a million. Of these pairs a task
-    gives all if ``every``, else only a spanning forest, the likest first.
+    ``faces`` holds a sketch per id, or several, told apart by a column that ``now`` has too.
+    A band's members are compared by their sketches in pairs of blocks. A pair of sketches
+    counts in the first band that it shares, and if it doesn't rule the similarity out: the
+    exact binomial tail below the cut is three in a million. Of these pairs a task gives all
+    if ``every``, else only a spanning forest, the likest first.
     """
     registers = bands * rows
-    need = least * registers - 4.5 * np.sqrt(least * (1 - least) * registers)
+    need = _least_equal(least, registers)
     apart = now.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.ceil(F.count("*") / block).cast("int").alias("_n")).filter("_a < _b").select("band", "_n")
-    members = now.join(apart, "band").join(classes.select("id", "sketch"), "id").withColumn("_k", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_n")).cast("int"))
+    members = now.join(apart, "band").join(faces, [c for c in faces.columns if c != "sketch"]).withColumn("_k", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_n")).cast("int"))
     one = F.struct(F.col("_k").alias("i"), F.col("_k").alias("j"))
     spread = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least(x, F.col("_k")).alias("i"), F.greatest(x, F.col("_k")).alias("j")))
     tasks = members.select("band", "at", "id", "component", "sketch", "_k", F.explode(F.when(F.col("_n") > 1, spread).otherwise(F.array(one))).alias("t")).select("band", "t.i", "t.j", "at", "_k", "id", "component", "sketch")
@@ -258,24 +279,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows:
     are equal texts without words. Null and empty texts are classes of their own, as are rows
     without an id (class_id null, kept). Rows that share an id share a class.
 
-    Two texts at the threshold meet in a band with probability 1 - (1 - 0.8^5)^32, or all but
-    three in a million. ``forests`` is the number of turns that try a spanning forest before
+    Two texts at the threshold, by sets or by weights, meet in a band with probability
+    1 - (1 - 0.8^5)^32, or all but three in a million; the comparison of their sketches rules
+    out three in a million more. ``forests`` is the number of turns that try a spanning forest before
     the last one tries every pair that is left.
     """
     seen = saved(sketched(docs, bands, rows, width, key, text))
     classes = saved(
         seen.filter("copy_of IS NOT NULL AND id IS NOT NULL").groupBy("copy_of")
-        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")))
-    spread = banded(classes.filter("sketch IS NOT NULL").select("id", "sketch"), bands, rows)
+        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"), F.any_value("plain").alias("plain")))
+    faces = classes.filter("sketch IS NOT NULL").select("id", F.posexplode(F.array_compact(F.array("sketch", "plain"))).alias("face", "sketch"))
+    spread = banded(faces, bands, rows)
     shared = spread.groupBy("band").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter("_a < _b").select("band")
-    met = saved(spread.join(shared, "band").select("band", "at", "id"))
+    met = saved(spread.join(shared, "band").select("band", "at", "id", "face"))
     members = met.select("id").distinct()
     texts = saved(
         docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")
         .groupBy("id").agg(F.min("text").alias("text")))
     done, links, part = None, None, members.withColumn("component", F.col("id"))
     for turn in range(forests + 1):
-        pairs = _unmet(met.join(part, "id"), classes, turn == forests, least, bands, rows)
+        pairs = _unmet(met.join(part, "id"), faces, turn == forests, least, bands, rows)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = saved(pairs)

@@ -161,3 +161,23 @@ def test_bytes_equal_by_chance_lose_no_pair(spark):
     rows = [(2 * n + k, pairs[n][k]) for n in odd for k in (0, 1)]
     got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: r.class_id for r in got} == brute(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_repeated_lines_lose_no_pair_of_equal_sets(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in range(20):  # a third of the words a hundred times over in one of the two
+        w = [f"r{n}w{k}" for k in range(150)]
+        rows += [(2 * n, " ".join(w + w[-50:])), (2 * n + 1, " ".join(w + w[-50:] * 100))]
+    for n in range(20, 30):  # repeated in one, not in the other
+        w = [f"r{n}w{k}" for k in range(150)]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w + w[-50:] * 100))]
+    rng.shuffle(rows)
+    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_sketch_cut_is_the_binomial_tail():
+    cut = mh._least_equal(0.8, 160)
+    below = lambda n: sum(mh.math.comb(160, k) * 0.8**k * 0.2 ** (160 - k) for k in range(n))
+    assert below(cut) <= 3e-6 < below(cut + 1)
