@@ -1,8 +1,9 @@
 """License scans over a positional rare-token index.
 
 The index holds, for every word of the license templates, its postings (template, position)
-and its inverse document frequency over the whole corpus. Of each file the licence words of
-highest idf are looked up; postings are intersected by relative position (place in the file
+and its inverse document frequency over the whole corpus. Of each template whose key-phrase
+words a file holds, the words of highest idf are looked up in it, whatever other templates
+the file may hold; postings are intersected by relative position (place in the file
 less place in the template), so that words which stand in a template's order gather at one
 offset; the best-covered offset of each template is verified by its mandatory key phrases,
 which must stand there word by word. Beside it, fixed base phrases are found wherever their
@@ -48,7 +49,11 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 
 @dataclass
 class RareTokenIndex:
-    """Postings of the template words, their idf, and each template's phrases; bounded by the templates."""
+    """Postings of the template words, their idf, and each template's phrases; bounded by the templates.
+
+    ``top`` is the number of words looked up per template, ``coverage`` the least share of
+    their idf that must stand in place; words the file lacks count in it too.
+    """
 
     labels: list[str]
     lengths: list[int]
@@ -68,24 +73,30 @@ class RareTokenIndex:
         return cls([t[0] for t in templates], [len(words_of(t[1])) for t in templates],
                    [[words_of(p) for p in t[2]] for t in templates], dict(postings), **options)
 
+    def rarest(self, t: int) -> dict[bytes, list[int]]:
+        """The words of template ``t`` of highest idf, with their positions."""
+        own: dict[bytes, list[int]] = {}
+        for w, at in self.postings.items():
+            if here := [q for s, q in at if s == t]:
+                own[w] = here
+        return {w: own[w] for w in sorted(own, key=lambda w: (-self.idf.get(w, 0.0), w))[: self.top]}
+
     def find(self, words: list[bytes], present: set[bytes]) -> list[tuple[str, float, int]]:
         """(label, share of the template's idf that stands in place, first word) of each template found."""
         shared = self.postings.keys() & present
         candidates = {t for t, phrases in enumerate(self.phrases) if all(w in shared for p in phrases for w in p)}
         if not candidates:
             return []
-        rare = sorted((w for w in shared if any(t in candidates for t, _ in self.postings[w])),
-                      key=lambda w: (-self.idf.get(w, 0.0), w))[: self.top]
-        places = places_of(words, set(rare))
+        rarest = {t: self.rarest(t) for t in sorted(candidates)}
+        places = places_of(words, {w for chosen in rarest.values() for w in chosen} & present)
         found = []
-        for t in sorted(candidates):
+        for t, chosen in rarest.items():
             votes: dict[int, set[int]] = defaultdict(set)
-            own = {q: self.idf.get(w, 0.0) + 1e-9 for w in rare for s, q in self.postings[w] if s == t}
-            for w in rare:
-                for s, q in self.postings[w]:
-                    if s == t:
-                        for p in places[w]:
-                            votes[p - q].add(q)
+            own = {q: self.idf.get(w, 0.0) + 1e-9 for w, at in chosen.items() for q in at}
+            for w, at in chosen.items():
+                for q in at:
+                    for p in places.get(w, ()):
+                        votes[p - q].add(q)
             best = (0.0, 0)
             total = sum(own.values())
             for offset in sorted(votes):

@@ -46,3 +46,21 @@ def test_counts_cover_all_rows_and_empty_table(spark):
     assert n == len(ROWS) and df == {b"license": sum(b"license" in set(licenses.words_of(r[1])) for r in ROWS)}
     none = docs.filter(F.lit(False))
     assert licenses.scan(none, licenses.build_index(none)).count() == 0
+
+
+def test_a_bundle_keeps_the_notice_of_frequent_words(spark):
+    long = {t[0]: t[1] for t in licenses.TEMPLATES if len(t[1]) > 100 or t[0] == "mpl-2"}
+    bundle = ". ".join(long[k] for k in ("mit", "apache-2", "bsd", "isc", "mpl-2", "gpl"))
+    docs = spark.createDataFrame([(0, bundle, None)] + [(i, long["gpl"] if i % 3 == 0 else f"prose {i}", None) for i in range(1, 60)], SCHEMA)
+    got = {r.doc_id: r.labels for r in licenses.scan(docs, licenses.build_index(docs)).collect()}
+    assert got[0] == "apache-2,bsd,gpl,isc,mit,mpl-2"
+    assert all(got[i] == ("gpl" if i % 3 == 0 else "") for i in range(1, 60))
+
+
+def test_absent_words_count_in_the_coverage():
+    index = licenses.RareTokenIndex.of((("x", "a b c d e f g h i j", ("a b",)),))
+    index.idf = dict.fromkeys(index.postings, 1.0)
+    find = lambda t: index.find(licenses.words_of(t), set(licenses.words_of(t)))
+    assert find("a b") == [] and find("a b c d e") == []
+    (label, share, at), = find("z a b c d e f g")
+    assert label == "x" and abs(share - 0.7) < 1e-6 and at == 1
