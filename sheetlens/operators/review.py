@@ -123,6 +123,28 @@ def tick_boxes(pages: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.size(F.filter(signs, lambda s: F.trim(F.regexp_replace(s, "_+", "")) != "")).alias("signed"))
 
 
+SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+LABELLED = tuple(rf"(?i){label}[:{SPACE}]*([^\n]{{0,30}})" for label in ("signature", "signed", rf"authorized[{SPACE}]*by"))
+NAMED = {"handwritten": tuple(rf"(?i){who}[{SPACE}]*signature" for who in ("customer", "technician")), "digital": (rf"(?i)digital[{SPACE}]*signature", "(?i)e-?sign")}
+STAMPS = {
+    "approval": ("(?i)APPROVED", "(?i)REJECTED"), "certification": ("(?i)CERTIFIED",), "date": ("(?i)RECEIVED",),
+    "unknown": (rf"(?i)STAMP[:{SPACE}]*[^\n]{{0,20}}", r"(?i)\[STAMP\]"), "company": (rf"(?i)SEAL[:{SPACE}]*[^\n]{{0,20}}", r"(?i)\(OFFICIAL\)")}
+
+
+def signature_marks(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Counts of signatures by type, of those present, and of stamps by type, per page of text.
+
+    Each pattern counts on its own, so one place may count more than once. A signature is
+    present if more than three characters follow its label that are not all of ``_``, ``-``, ``.``.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    count = lambda patterns: sum((F.regexp_count(t, F.lit(p)) for p in patterns), F.lit(0))
+    after = F.transform(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), 1) for p in LABELLED])), lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    return pages.select(
+        key, count(LABELLED + NAMED["handwritten"]).alias("handwritten"), count(NAMED["digital"]).alias("digital"),
+        F.size(F.filter(after, lambda x: (F.length(x) > 3) & ~x.rlike(r"^[_.-]+$"))).alias("present"), *[count(p).alias(f"{n}_stamps") for n, p in STAMPS.items()])
+
+
 def title_case(c: Column, keep: Sequence[str] = ("UK", "LLC", "LTD", "PLC", "HVAC")) -> Column:
     """Words with a capital first letter and the rest small, but for acronyms."""
     words = F.split(F.trim(c), r"\s+")

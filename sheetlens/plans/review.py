@@ -73,6 +73,16 @@ def _(v):
     return V.tick_boxes(v.table("documents").filter(~F.lower("text").contains("signature")))
 
 
+def _counted(patterns):
+    return " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in patterns)
+
+
+@query("signature_marks", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT *, list_transform(list_concat(list_concat(regexp_extract_all(t, '{V.LABELLED[0]}', 1), regexp_extract_all(t, '{V.LABELLED[1]}', 1)), regexp_extract_all(t, '{V.LABELLED[2]}', 1)), lambda x: regexp_replace(x, '^[{V.SPACE}]+|[{V.SPACE}]+$', '', 'g')) AS after FROM d)
+ SELECT doc_id, {_counted(V.LABELLED + V.NAMED["handwritten"])} AS handwritten, {_counted(V.NAMED["digital"])} AS digital, len(list_filter(after, lambda x: length(x) > 3 AND NOT regexp_full_match(x, '[_.-]+'))) AS present, {", ".join(f"{_counted(p)} AS {n}_stamps" for n, p in V.STAMPS.items())} FROM a""")
+def _(v):
+    return V.signature_marks(v.table("documents"))
+
+
 @query("title_cased", "SELECT n_nationkey, array_to_string(list_transform(string_split(trim(n_name), ' '), lambda w: CASE WHEN w IN ('UK', 'LLC', 'LTD', 'PLC', 'HVAC') THEN w ELSE upper(left(w, 1)) || lower(substring(w, 2)) END), ' ') AS name FROM nation")
 def _(v):
     return v.table("nation").select("n_nationkey", V.title_case(F.col("n_name")).alias("name"))

@@ -138,3 +138,25 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM limits").collect())) == [(1, 1, 1), (2, 1, 0)]
+
+
+def test_signature_marks_equal_brute_force(spark):
+    import re
+
+    texts = [
+        None, "", "Customer Signature: ____\nSigned: J. Smith\nAUTHORIZED BY\u00a0Ann Lee", "digital signature: abc\ne-sign esign E-SIGN", "signature\n\n  Bob Jones", "signed: -._-\nsigned: abc\nsigned: abcd",
+        "Technician\tsignature\u2003: \u3000x.y.\u3000\n[STAMP] (official) Seal: ACME approved REJECTED certified received", "stamp: stamp stamp [stamp]" + " seal" * 9, "signature " * 50]
+    labelled = [r"signature[:\s]*([^\n]{0,30})", r"signed[:\s]*([^\n]{0,30})", r"authorized\s*by[:\s]*([^\n]{0,30})"]
+    kinds = [labelled + [r"customer\s*signature", r"technician\s*signature"], [r"digital\s*signature", "e-?sign"]]
+    stamps = [["approved", "rejected"], ["certified"], ["received"], [r"stamp[:\s]*([^\n]{0,20})", r"\[stamp\]"], [r"seal[:\s]*([^\n]{0,20})", r"\(official\)"]]
+
+    def want(t):
+        n = lambda ps: sum(len(re.findall(p, t or "", re.I)) for p in ps)
+        after = [m.strip() for p in labelled for m in re.findall(p, t or "", re.I)]
+        return (n(kinds[0]), n(kinds[1]), sum(len(a) > 3 and not re.fullmatch(r"[_\-.]+", a) for a in after), *map(n, stamps))
+
+    from sheetlens.operators import review
+
+    got = review.signature_marks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {i: want(t) for i, t in enumerate(texts)}
+    assert sum(r.present for r in got) >= 4 and all(sum(r[k] for r in got) for k in range(1, 9))
