@@ -61,13 +61,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
         .filter("dst <> '' AND dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 2000, every: int = 5) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind of mass from its seeds.
 
     ``edges(kind, src, dst, weight)``, ``seeds(kind, host, mass)``. Both kinds run in one
     loop. What a host without links would pass on is lost, which scales the scores of a kind
-    alike. Every few rounds the scores are cut from their lineage by a checkpoint and the
-    loop ends once no round changes anything by more than a millionth of the mass.
+    alike. Every few rounds the scores are cut from their lineage by a checkpoint; the loop
+    ends once they change no host's score by more than a millionth of that score, so that
+    small scores far from any seed are settled too, and raises if ``rounds`` do not suffice.
     """
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("_t"))
     steps = saved(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("_t")).alias("p")))
@@ -88,11 +89,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         if k % every == 0 or k == rounds:
             scores = saved(scores)
             change = (
-                scores.unionByName(kept.select("kind", "host", (-F.col("score")).alias("score")))
-                .groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d").alias("d")).first().d)
+                scores.select("kind", "host", F.col("score").alias("new"), F.lit(0.0).alias("old"))
+                .unionByName(kept.select("kind", "host", F.lit(0.0).alias("new"), F.col("score").alias("old")))
+                .groupBy("kind", "host").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+                .agg(F.max(F.try_divide(F.abs(F.col("new") - F.col("old")), F.greatest("new", "old"))).alias("d")).first().d)
             if (change or 0.0) < 1e-6:
                 break
             kept = scores
+    else:
+        raise RuntimeError(f"scores did not settle in {rounds} rounds")
     return scores
 
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sheetlens.llm import urlgraph
@@ -81,3 +82,21 @@ def test_longest_rule_wins(spark):
     df = spark.createDataFrame([("a.example.com", "/en/70"), ("example.com", "/en/8"), ("xcom", "/en/"), ("x.example.net", "/de/8"), ("com", "/en")], "h string, p string")
     got = df.select("h", urlgraph.match_rule(F.col("h"), F.col("p"))["rule"].alias("r")).collect()
     assert [r.r for r in got] == ["example.com/en/7", "com/en/", None, "example.net/de/8", None]
+
+
+def test_scores_solve_the_linear_system(spark):
+    n, d = 30, 0.85  # a chain with a way back, longer than twenty links
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(5, 0, 3.0), (12, 3, 1.0)]
+    w = np.zeros((n, n))
+    for a, b, x in edges:
+        w[a, b] += x
+    w = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    mass = np.zeros(n)
+    mass[0] = 1
+    want = np.linalg.solve(np.eye(n) - d * w.T, (1 - d) * mass)
+    e = spark.createDataFrame([("distrust", f"h{a}", f"h{b}", x) for a, b, x in edges], "kind string, src string, dst string, weight double")
+    s = spark.createDataFrame([("distrust", "h0", 2.0)], "kind string, host string, mass double")
+    got = {r.host: r.score for r in urlgraph.propagate(e, s).collect()}
+    assert len(got) == n and np.allclose([got[f"h{i}"] for i in range(n)], want, rtol=1e-5, atol=0)
+    with pytest.raises(RuntimeError):
+        urlgraph.propagate(e, s, rounds=10)
