@@ -29,10 +29,15 @@ def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one of the smallest id."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One document of each near-duplicate class: the one of the smallest id.
+
+    Rows are decided one by one, also where different texts share an id; of those with equal
+    ids the smallest text stays. Numbering rows in the order of (id, text) tells them apart.
+    """
+    named = saved(docs.filter("doc_id IS NOT NULL").sort("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+    gone = minhash.near_duplicates(named, key="_row").filter(~F.col("kept")).select("_row")
+    left = named.join(gone, "_row", "left_anti").drop("_row").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,12 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    one, two, three = (" ".join(f"{n}{k}" for k in range(40)) for n in "abc")
+    rows = [(1, one), (5, one + " more"), (5, two), (5, two), (5, three), (7, three.upper()), (8, None), (8, None), (8, ""), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, one), (5, two), (5, three), (8, None), (8, ""), (None, one)]))
