@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sheetlens.llm import minhash as mh
@@ -75,13 +76,37 @@ def test_classes_equal_brute_force(spark, seed):
     assert all(r.class_size == sum(c == r.class_id for c in classes.values()) for r in got if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("forests", [0, 3])
-def test_turns_find_the_same(spark, forests):
+@pytest.mark.parametrize("block,block_bytes", [(16, 16_000_000), (2048, 3_000)])
+def test_small_blocks_find_the_same(spark, block, block_bytes):
     rows = corpus(4)
-    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA), forests=forests).collect()
+    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block, block_bytes=block_bytes).collect()
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
+def test_group_whose_members_are_mostly_not_linked(spark):
+    rng = random.Random(11)
+    base, rows = [f"b{k}" for k in range(140)], []
+    for n in range(150):  # two of them differ in about a quarter of their shingles
+        t = list(base)
+        for _ in range(rng.randint(2, 4)):
+            t[rng.randrange(140)] = f"x{n}y{rng.randrange(9)}"
+        rows.append((n, " ".join(t)))
+    want = brute(rows)
+    assert 1 < len(set(want.values()))
+    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), block=40)
+    assert {r.doc_id: r.class_id for r in got.collect()} == want
+
+
+def test_rows_that_share_an_id_compare_all_their_texts(spark):
+    rng = random.Random(12)
+    t = [" ".join(f"s{k}w{rng.randrange(500)}" for _ in range(60)) for k in range(4)]
+    near = lambda x: x + " more"
+    rows = [(5, t[0]), (5, t[1]), (5, t[1].upper()), (9, near(t[0])), (7, near(t[1])), (8, t[2]), (8, t[2]), (3, t[3]), (8, None)]
+    got = mh.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {(r.doc_id, r.class_id, r.kept) for r in got} == {(5, 5, True), (9, 5, False), (7, 5, False), (8, 8, True), (3, 3, True)}
+    assert sorted(r.class_size for r in got) == [1, 1, 2, 2, 5, 5, 5, 5, 5]
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(7)
     h = rng.integers(1, 2**63, 300).astype(np.uint64)
@@ -111,33 +136,39 @@ def test_empty_table(spark):
     assert mh.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_blocks_of_a_band_find_all_pairs(spark):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 256, (4, 160), np.uint8)
-    sketch = [bytes(base[i % 4]) for i in range(90)]
-    classes = spark.createDataFrame([(i, s) for i, s in enumerate(sketch)], "id long, sketch binary")
-    now = spark.createDataFrame([(7, 0, i, i // 2) for i in range(90)] + [(8, 1, i, i // 2) for i in range(90)], "band long, at int, id long, component long")
-    for block in (2048, 20):
-        got = mh._unmet(now, classes, True, 0.8, 32, 5, block).collect()
-        assert len(got) == len(set(got))
-        assert {tuple(r) for r in got} == {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 4 == j % 4 and i // 2 != j // 2}
-
-
-def test_forest_joins_what_all_pairs_join():
-    rng = np.random.default_rng(3)
-    component = np.concatenate([np.arange(50), [7, 7, 9]])
-    u, v = rng.integers(0, 53, (2, 60))
-    keep = mh._forest(u, v, rng.integers(0, 5, 60), component)
-
-    def parts(pairs):
-        label = list(component)
-        for a, b in pairs:
-            x, y = label[a], label[b]
-            label = [min(x, y) if c in (x, y) else c for c in label]
-        return label
-
-    assert parts(zip(u[keep], v[keep])) == parts(zip(u, v))
-    assert len(keep) == len(set(parts([]))) - len(set(parts(zip(u, v))))
+def test_pairs_of_a_group_and_of_two_blocks():
+    # groups of rows: one block of four, two blocks of two and three, one row
+    edge = np.array([0, 4, 9, 10])
+    i = np.array([0] * 4 + [1] * 5 + [2])
+    j = np.array([0] * 4 + [3] * 5 + [2])
+    part = np.array([0] * 4 + [1, 1, 3, 3, 3] + [2])
+    first, count = mh._partners(edge, i, j, part)
+    got = {(u, v) for u in range(10) for v in range(first[u], first[u] + count[u])}
+    assert got == {(u, v) for u in range(4) for v in range(u + 1, 4)} | {(u, v) for u in (4, 5) for v in (6, 7, 8)}
+    assert [x for a, b in mh._runs(count, 3) for x in range(a, b)] == list(range(10))
+
+
+def test_whole_groups_over_batches():
+    key = [1, 1, 1, 1, 1, 2, 3, 3, 3, 3]
+    for size in (1, 2, 3, 4, 10):
+        batches = pa.table({"k": key, "row": list(range(10))}).to_batches(max_chunksize=size)
+        groups = []
+        for t, edge in mh._whole_groups(iter(batches), ["k"]):
+            groups += [t["row"].to_pylist()[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        assert groups == [[0, 1, 2, 3, 4], [5], [6, 7, 8, 9]]
+    assert list(mh._whole_groups(iter([]), ["k"])) == []
+
+
+def test_sets_of_one_with_many():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (5, 30, 1, 60, 20)]
+    counts = [None, rng.integers(1, 5, len(sets[1])).astype(np.int32), None, None, None]
+    t = pa.table({"hashes": [x.tobytes() for x in sets], "counts": pa.array([None if c is None else c.tobytes() for c in counts], pa.binary())})
+    one = mh._Sets(t)
+    one.dense(1, 5)
+    got = one.jaccard(1, np.array([2, 3, 4]))
+    assert got.tolist() == [len(np.intersect1d(sets[1], sets[k])) / len(np.union1d(sets[1], sets[k])) for k in (2, 3, 4)]
+    assert one.weighted(1, 3) == mh.similarity((sets[1], mh.weights(counts[1].astype(float))), (sets[3], np.ones(len(sets[3]))))[1]
 
 
 def sketches(texts):
