@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import accumulate
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD_BYTES
+from .text import WORD_BYTES, saved
 
 # Common English insults, as a lexicon voter.
 LEXICON = (
@@ -33,6 +34,8 @@ _SYMBOLS = re.compile(r"[*#$%&!]{2,}")
 _SECOND_PERSON = re.compile(r"\b(?:you|your|youre)\b", re.IGNORECASE)
 PATTERNS = ("shouting", "symbols", "second_person", "short")
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Words of a window; how dense found words stand is looked at in the densest window.
+WINDOW = 100
 
 
 def _words(text: str) -> list[bytes]:
@@ -47,6 +50,16 @@ def _features(words: set[bytes]) -> set[bytes]:
     return out
 
 
+def _densest(words: list[bytes], found: dict[bytes, list[bytes]]) -> int:
+    """The most found words in any ``WINDOW`` words in a row."""
+    if not found:
+        return 0
+    before = [0, *accumulate(w in found for w in words)]
+    if len(words) <= WINDOW:
+        return before[-1]
+    return max(b - a for a, b in zip(before, before[WINDOW:]))
+
+
 def _patterns(text: str, n_words: int) -> list[float]:
     n = max(1, n_words)
     return [
@@ -145,6 +158,7 @@ class ToxicityModel:
     label_model: LabelModel = field(default_factory=LabelModel)
     accuracies: np.ndarray = field(default_factory=lambda: np.zeros(0))
     trained_on: int = 0
+    moved: tuple[int, int] = (0, 0)  # rows labelled toxic that the posterior calls clean, and the other way round
 
     def __post_init__(self):
         self.words = {f[1:] for f in self.features if f[:1] == b"="}
@@ -166,7 +180,8 @@ class ToxicityModel:
         """The features present, in order; and the numbers that the linear classifier weighs.
 
         Per group whether a word has its strongest feature there and the log of how many do;
-        how many distinct words have any, alone and against the length; the patterns.
+        how many distinct words have any; how dense they stand in the densest window, so that
+        a long clean remainder takes nothing away; the patterns.
         """
         words = _words(text or "")
         found = self.present(set(words))
@@ -174,7 +189,8 @@ class ToxicityModel:
         for features in found.values():
             n[max((self.features[f] for f in features), key=lambda g: (g % len(STRATA), -g))] += 1
         k = len(found)
-        x = [*np.log1p(n).tolist(), *(n > 0).astype(float).tolist(), float(np.log1p(k)), float(k >= 2), float(k >= 3), float(np.log((k + 0.1) / (len(words) + 50)))]
+        dense = float(np.log((_densest(words, found) + 0.1) / (min(len(words), WINDOW) + 50)))
+        x = [*np.log1p(n).tolist(), *(n > 0).astype(float).tolist(), float(np.log1p(k)), float(k >= 2), float(k >= 3), dense]
         return sorted({f for features in found.values() for f in features}), x + _patterns(text or "", len(words))
 
     def score(self, text: str | None) -> float:
@@ -183,19 +199,23 @@ class ToxicityModel:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, toxic_rows: int, clean_rows: int) -> DataFrame:
-    """(text, toxic, fold) of a bounded number of labelled rows, chosen by a hash of the id.
+    """(text, toxic, fold) of a bounded number of labelled documents, chosen by a hash of the id.
 
     A document labelled more than once counts as toxic if any label says so. Ids are ranked
     without their texts; the chosen ones, a bounded number, fetch texts by a broadcast join.
+    Of rows that share an id the one with the smallest hash of its text is taken, so the rows
+    are no more than the ids.
     """
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(usable)
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     order = (F.xxhash64("_id"), F.col("_id"))
     chosen = (known.filter("toxic = 1").orderBy(*order).limit(toxic_rows)
               .unionByName(known.filter("toxic = 0").orderBy(*order).limit(clean_rows)))
-    return (docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return (docs.select(F.col("doc_id"), F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("_t"))
             .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-            .select("text", "toxic", (F.xxhash64("_id", F.lit("fold")) % 2 == 0).cast("int").alias("fold")))
+            .groupBy("_id", "toxic").agg(F.min("_t").alias("_t"))
+            .select("_t.text", "toxic", (F.xxhash64("_id", F.lit("fold")) % 2 == 0).cast("int").alias("fold")))
 
 
 def _counted(sample: DataFrame, wanted: set[bytes] | None) -> DataFrame:
@@ -221,7 +241,8 @@ def mine(sample: DataFrame, most: int, candidates: int = 50_000) -> dict[bytes,
     The likelihood-ratio statistic ranks them. ``candidates`` bounds the features of toxic
     documents, most frequent first, that are counted in clean ones; ``most`` bounds the result.
     """
-    first = _counted(sample.filter("toxic = 1"), None).filter("toxic >= 3").orderBy(F.desc("toxic"), "feature").limit(candidates + 1).collect()
+    # written before it is collected: the driver receives the ranked rows and no more
+    first = saved(_counted(sample.filter("toxic = 1"), None).filter("toxic >= 3").orderBy(F.desc("toxic"), "feature").limit(candidates + 1)).collect()
     hot = {bytes(r.feature): r.toxic for r in first if r.feature is not None}
     n1 = next((r.toxic for r in first if r.feature is None), 0)
     if not hot:
@@ -280,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, toxic_rows: int = 40
     label_model = LabelModel.fit(votes, 0.1 + 0.8 * y)
     post = label_model.posterior(votes)
     w, b = _logistic(x, post)
-    return ToxicityModel(mined, w, b, label_model, label_model.accuracies(votes, post), len(got))
+    moved = (int(((y == 1) & (post < 0.5)).sum()), int(((y == 0) & (post >= 0.5)).sum()))
+    return ToxicityModel(mined, w, b, label_model, label_model.accuracies(votes, post), len(got), moved)
 
 
 def _logistic(x: np.ndarray, target: np.ndarray, l2: float = 0.5, steps: int = 12) -> tuple[np.ndarray, float]:

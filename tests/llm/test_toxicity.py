@@ -69,3 +69,28 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in tox.score(d, tox.fit(d, none, F.lit(True))).collect()] == [0]
     assert tox.score(d.filter("false"), tox.fit(d.filter("false"), none, F.lit(True))).count() == 0
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)] + [(None, "none")] * 20, SCHEMA)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (2, 1), (None, 1)], "doc_id long, toxic int")
+    got = tox.training_sample(docs, labels, F.lit(True), 5, 5).collect()
+    assert sorted(r.toxic for r in got) == [0, 1, 1]
+
+
+def test_found_words_in_the_densest_window():
+    words = [b"a"] * 500 + [b"x", b"a", b"y"] + [b"a"] * 500 + [b"x"]
+    assert tox._densest(words, {b"x": [], b"y": []}) == 2
+    assert tox._densest(words[:10], {b"x": []}) == 0 and tox._densest([b"x"] * 3, {b"x": []}) == 3
+    assert tox._densest([b"x"] * 300, {b"x": []}) == tox.WINDOW and tox._densest(words, {}) == 0
+
+
+def test_posteriors_part_from_wrong_labels(spark):
+    docs, labels = corpus(900)
+    wrong = {i for i, t in labels if t and i % 35 == 0}  # labelled clean, though they hold what marks toxic ones
+    d = spark.createDataFrame(docs, SCHEMA)
+    lab = spark.createDataFrame([(i, 0 if i in wrong else t) for i, t in labels], "doc_id long, toxic int")
+    model = tox.fit(d, lab, F.lit(True))
+    got = {r.doc_id: r.predicted for r in tox.score(d, model).collect()}
+    assert model.moved[1] >= len(wrong) // 2
+    assert np.mean([got[i] for i in wrong]) > 0.8
