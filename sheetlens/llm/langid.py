@@ -144,22 +144,22 @@ def _families(profiles: np.ndarray, wanted: int) -> list[list[int]]:
 
 
 def training_sample(docs: DataFrame, usable: Column, per_language: int) -> DataFrame:
-    """(lang, text) of at most ``per_language`` documents of each language, chosen by a hash of the id.
+    """(doc_id, lang, text) of at most ``per_language`` documents of each language, chosen by a hash of the id.
 
-    Only ids and labels are ranked; the few chosen ids, bounded by ``per_language`` times the
-    number of languages, then fetch their texts by a broadcast join.
+    Only ids and labels are ranked, first within a language's buckets and then the best of
+    those, so a language of very many rows is no single task. The few chosen ids, bounded by
+    ``per_language`` times the number of languages, then fetch their texts by a broadcast
+    join. Rows without an id are not learned from; of rows that share an id and a language the
+    one with the smallest hash of its text is taken.
     """
-    by = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = (
-        docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_h"))
-        .withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_language)
-        .select("_id").distinct()
-    )
+    usable_rows = docs.filter(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    ranked = usable_rows.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct().withColumn("_h", F.xxhash64("_id")).withColumn("_bucket", F.pmod("_h", F.lit(64)))
+    for parts in (("_lang", "_bucket"), ("_lang",)):
+        ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy("_h", "_id"))).filter(F.col("_n") <= per_language)
     return (
-        docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        .select("doc_id", "lang", "text")
+        usable_rows.join(F.broadcast(ranked.select("_lang", "_id")), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+        .groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_t"))
+        .select("doc_id", "lang", "_t.text")
     )
 
 

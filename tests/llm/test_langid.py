@@ -49,3 +49,25 @@ def test_nothing_to_learn_from(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = langid.identify(docs, langid.fit(docs, ~holdout())).collect()
     assert [r.lang_pred for r in got] == ["und"] * len(rows)
+
+
+def test_sample_is_bounded_and_leaves_null_ids_out(spark):
+    rows = [(i % 2, f"text {i}", "en") for i in range(40)] + [(None, "none", "en")] * 30 + [(7, "texte", "fr"), (7, "text", "en")]
+    got = langid.training_sample(spark.createDataFrame(rows, SCHEMA), F.lit(True), 2).collect()
+    assert sorted((r.doc_id, r.lang) for r in got if r.lang == "fr") == [(7, "fr")]
+    assert len({r.doc_id for r in got if r.lang == "en"}) == sum(r.lang == "en" for r in got) == 2 and None not in {r.doc_id for r in got}
+
+
+def test_sample_of_a_language_is_the_first_by_hash(spark):
+    rows = [(i, f"text {i}", "en" if i % 10 else "fr") for i in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.lang, r.doc_id) for r in langid.training_sample(docs, F.lit(True), 20).collect()}
+    hashed = docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    assert got == {(x, r.doc_id) for x in ("en", "fr") for r in sorted((r for r in hashed if r.lang == x), key=lambda r: r.h)[:20]}
+
+
+def test_ties_are_settled_alike(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    model = langid.fit(docs, F.lit(True))
+    model.weights[:], model.bias[:] = 0, 0
+    assert len({tuple(x) for x in model.predict(["the of", "der die", "le la"])}) == 1
