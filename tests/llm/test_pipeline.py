@@ -25,7 +25,7 @@ def sf_dir(spark, tmp_path_factory):
         labels.append((i, 1, int(toxic)))
     docs += [(1000, docs[1][1], "de", "s", 0), (1001, docs[1][1] + " der", "de", "s", 0), (1002, None, "en", "s", 0), (1003, "12 34", "en", "s", 0), (None, "the of and to that", "en", "s", 0), docs[3]]
     d = tmp_path_factory.mktemp("sf")
-    spark.createDataFrame(docs, SCHEMA).withColumnRenamed("score", "score").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return str(d)
 
@@ -66,3 +66,11 @@ def test_near_dedup_keeps_different_texts_of_one_id(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, one), (5, two), (5, three), (8, None), (8, ""), (None, one)]))
+
+
+def test_columns_of_an_operators_names_stay_the_users(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "doc_id * 2.5 AS score", "'mine' AS lang_pred", "7 AS predicted", "'x' AS kept", "3 AS class_id", "1 AS id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        rows = docs.collect()
+        assert rows and all((r.score, r.lang_pred, r.predicted, r.kept, r.class_id, r.id) == (None if r.doc_id is None else r.doc_id * 2.5, "mine", 7, "x", 3, 1) for r in rows), name
