@@ -16,16 +16,25 @@ from sheetlens.llm import langid, minhash, packing, toxicity
 from sheetlens.llm.text import holdout, read, saved
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with columns that an operator would replace under other names; ``_back`` undoes it."""
+    return docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c in names})
+
+
+def _back(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    return judged.select(*(F.col(f"_kept_{c}").alias(c) if f"_kept_{c}" in judged.columns else F.col(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; ``und`` ones go."""
     model = langid.fit(docs, ~holdout())
-    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return _back(langid.identify(_aside(docs, "lang_pred", "score"), model).filter(F.col("lang_pred") != langid.UNDETERMINED), docs)
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic at its threshold."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~holdout())
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return _back(toxicity.score(_aside(docs, "score", "predicted"), model).filter("predicted = 0"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
