@@ -71,7 +71,8 @@ def format_conversations(turns: DataFrame, block: int = 64) -> DataFrame:
     ``turns(conv_id, turn, role, text)`` is ordered by turn, then role, then text (null turns
     first); null roles and texts are empty, repeated rows are turns of their own, and a null
     conv_id is a conversation. ``loss_spans`` are (start, length) in ``formatted``, from 0 in
-    code points, of the assistant's texts as they stand there.
+    code points, of the assistant's texts as they stand there; each names its turn (from 0),
+    where that begins, and whether its text is escaped.
 
     Blocks of turns are gathered first and then the blocks of a conversation, so no task
     sorts or holds the single rows of a very long one; its text must be one value.
@@ -100,18 +101,35 @@ def format_conversations(turns: DataFrame, block: int = 64) -> DataFrame:
                .withColumn("turns", F.when(F.col("_same"), F.col("turns")).otherwise(parse(F.col("formatted")))))
     out = out.withColumn("turns", F.when(_identical(F.col("turns"), F.col("_src")), F.col("turns")).otherwise(
         F.raise_error(F.concat(F.lit("conversation does not survive the round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
-    ends = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")), lambda a, t: F.struct(
-        (a["at"] + t["length"] + len(END)).alias("at"),
-        F.when(t["role"] == "assistant", F.array_append(a["spans"], F.struct((a["at"] + t["at"]).alias("start"), t["size"].alias("length")))).otherwise(a["spans"]).alias("spans")))
+    spans = "array<struct<start:int,length:int,turn:int,turn_start:int,escaped:boolean>>"
+    ends = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(spans).alias("spans")), lambda a, t: F.struct(
+        (a["at"] + t["length"] + len(END)).alias("at"), (a["k"] + 1).alias("k"),
+        F.when(t["role"] == "assistant", F.array_append(a["spans"], F.struct(
+            (a["at"] + t["at"]).alias("start"), t["size"].alias("length"), a["k"].alias("turn"), a["at"].alias("turn_start"), t["escaped"].alias("escaped")))).otherwise(a["spans"]).alias("spans")))
     return out.select(
         "conv_id", "formatted", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["escaped"].alias("escaped"))).alias("turns"),
         F.size(F.filter("turns", lambda t: t["escaped"])).alias("escaped_turns"), ends["spans"].alias("loss_spans"))
 
 
+def loss_texts(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, unescaped: what stands in ``formatted`` at each span.
+
+    The text is cut at the ends of turns once, so that a span is looked up in its own turn
+    and the work stays in proportion to the text.
+    """
+    segments = F.split(formatted, END)
+
+    def one(s: Column) -> Column:
+        text = F.substring(F.get(segments, s["turn"]), s["start"] - s["turn_start"] + 1, s["length"])
+        return F.when(s["escaped"], unescape(text)).otherwise(text)
+
+    return F.transform(spans, one)
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of formatted conversations, all taken from what was parsed back."""
+    """Counts and digests of formatted conversations: the turns as parsed back, the loss as it stands under the mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "")
     return formatted.withColumn("_loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),

@@ -41,12 +41,13 @@ def test_spans_hold_the_assistant_texts_and_only_conflicts_are_escaped(spark):
     rows = {r.conv_id: r for r in chatformat.format_conversations(spark.createDataFrame(ROWS, SCHEMA)).collect()}
     for r in rows.values():
         spoken = [t for t in r.turns if t.role == "assistant"]
-        for (start, n), t in zip(r.loss_spans, spoken, strict=True):
+        for (start, n, turn, begin, escaped), t in zip(r.loss_spans, spoken, strict=True):
             text = r.formatted[start : start + n]
             if t.escaped:
                 for a, b in (("\\c", ":"), ("\\l", "<"), ("\\h", "#"), ("\\b", "\\")):
                     text = text.replace(a, b)
-            assert text == t.text
+            assert text == t.text and r.turns[turn] == t and escaped == t.escaped
+            assert r.formatted[begin:].startswith("###") and (begin == 0 or r.formatted[:begin].endswith(" </turn>\n"))
     assert rows[1].formatted == "### user: hello </turn>\n### assistant: fine: yes\n </turn>\n"
     assert [rows[k].escaped_turns for k in (1, 9, -7, 2, 3)] == [0, 0, 2, 1, 2]
     assert rows[2].formatted.count(" </turn>\n") == 3
@@ -57,3 +58,12 @@ def test_plan_is_native_and_empty_table(spark):
     plan = chatformat.digest(chatformat.format_conversations(turns))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chatformat.digest(chatformat.format_conversations(turns.filter("false"))).count() == 0
+
+
+def test_loss_is_read_at_the_spans(spark):
+    formatted = chatformat.format_conversations(spark.createDataFrame(ROWS, SCHEMA))
+    moved = formatted.withColumn("loss_spans", F.transform(F.slice("loss_spans", 1, 1), lambda s: s.withField("start", s["start"] + 1).withField("length", F.lit(2))))
+    got = {r.conv_id: r.loss_chars for r in chatformat.digest(moved).collect()}
+    assert got[1] == 2 and got[9] == 2 and got[3] == 0
+    texts = {r.conv_id: r.t for r in moved.select("conv_id", chatformat.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("t")).collect()}
+    assert texts[1] == ["in"] and texts[9] == ["ur"]
