@@ -40,8 +40,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = pieces.PieceTable.load("piece_bpe_32k.model")
-    encoded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), table)
-    return pieces.decode(encoded, table).select(
+    return pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), table, decoded="decoded").select(
         "doc_id", "n_pieces", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
