@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,9 +13,29 @@ _W = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 
 
+_WORD_CLASS = r"\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\]"
+_WORD_BEGINS = re.compile(rf"(?:\\[dw]|{_WORD_CLASS})(?!\??\*|\?|\{{0)|[A-Za-z0-9_](?![?*{{|])")
+_WORD_ENDS = re.compile(rf"(?:(?:\\[dw]|{_WORD_CLASS})(?:\{{[1-9]\d*(?:,\d*)?\}}|\+)?|(?<!\\)[A-Za-z0-9_])$")
+
+
 def js_regex(pattern: str) -> str:
-    """A JavaScript pattern for Java: word boundaries look at ASCII letters, digits and underscore only."""
-    return pattern.replace(r"\b", _BOUNDARY)
+    """A JavaScript pattern for Java: word boundaries look at ASCII letters, digits and underscore only.
+
+    Where the pattern itself tells that a word character stands on one side of a boundary,
+    only the other side is looked at, which is several times as fast.
+    """
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for before, after in zip(parts, parts[1:]):
+        alternatives = "|" in re.sub(r"\([^()]*\)|\[[^]]*\]", "", pattern)  # a boundary then belongs to one alternative only, which is not looked into
+        if not alternatives and _WORD_BEGINS.match(after):
+            out += f"(?<!{_W})"
+        elif not alternatives and _WORD_ENDS.search(before):
+            out += f"(?!{_W})"
+        else:
+            out += _BOUNDARY
+        out += after
+    return out
 
 
 def round_half_up(x: Column, digits: int = 0) -> Column:
@@ -83,7 +104,7 @@ OCR_CORRECTIONS = (
 
 
 def correct_ocr(text: Column) -> Column:
-    return reduce(lambda c, p: F.regexp_replace(c, js_regex(rf"\b{p[0]}\b"), p[1]), OCR_CORRECTIONS, text)
+    return reduce(lambda c, p: where_hinted(c, p[0], lambda t: F.regexp_replace(t, js_regex(rf"\b{p[0]}\b"), p[1])), OCR_CORRECTIONS, text)
 
 
 # Personal data patterns and their replacements, applied in this order.
@@ -99,11 +120,29 @@ REDACTIONS = (
     ("bank_account", r"\b\d{8,17}\b", "[ACCOUNT_REDACTED]"),
     ("titled_name", r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", "[NAME_REDACTED]"),
 )
+#: What a text must hold for a rule to apply; such a pattern is quicker to rule out than the rule's own.
+REDACTION_HINTS = {
+    "email": "@", "phone": r"\d{3}[-.\s]?\d{4}", "uk_phone": r"\d{2}\s?\d{3,4}\s?\d{3}", "ssn": r"\d{3}[-.\s]?\d{2}[-.\s]?\d{4}", "nino": r"\d{2}\s?\d{2}\s?\d{2}\s?[A-Da-d]",
+    "credit_card": r"\d{4}[-.\s]?\d{4}", "ip_address": r"\d\.\d{1,3}\.\d", "dob": r"\d[-/.][01]?\d[-/.](?:19|20)\d{2}", "bank_account": r"\d{8}", "titled_name": r"(?:Mrs?|Ms|Miss|Dr|Prof)\.?\s+[A-Z]"}
+
+
+def where_hinted(text: Column, hint: str | None, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` where the text matches ``hint``, else the text; ``text`` is evaluated once."""
+    if hint is None:
+        return change(text)
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(hint), change(t)).otherwise(t)), 0)
 
 
 def redact(text: Column, rules: Sequence[tuple[str, str, str]] = REDACTIONS) -> Column:
     """Rules are folded in order, which changes the result; the caller may pass their own."""
-    return reduce(lambda c, r: F.regexp_replace(c, js_regex(r[1]), r[2].replace("$", r"\$")), rules, text)
+    known = {name: pattern for name, pattern, _ in REDACTIONS}
+
+    def step(c: Column, rule: tuple[str, str, str]) -> Column:
+        name, pattern, tag = rule
+        hint = REDACTION_HINTS.get(name) if known.get(name) == pattern else None
+        return where_hinted(c, hint, lambda t: F.regexp_replace(t, js_regex(pattern), tag.replace("$", r"\$")))
+
+    return reduce(step, rules, text)
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:
@@ -166,6 +205,55 @@ def normalise_date(text: Column) -> Column:
     return F.when(t.rlike(ymd), iso(ymd, 1, 2, 3)).when(t.rlike(dmy), iso(dmy, 3, 2, 1)).otherwise(text)
 
 
+# Months by their first three letters.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _iso(year: Column, month: Column, day: Column, width: int = 4) -> Column:
+    """The date as text if month and day are possible at all (31 of any month is)."""
+    parts = F.concat_ws("-", F.lpad(year.cast("string"), width, "0") if width else year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    return F.when(month.between(1, 12) & day.between(1, 31), parts)
+
+
+def parse_date(text: Column) -> Column:
+    """Y-M-D, D/M/Y or ``15 January 2024`` to ISO; two-digit years are 2000 and later; null for anything else."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    n = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
+    full = lambda y: F.when(y < 100, y + 2000).otherwise(y)
+    ymd, dmy = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$"
+    named = rf"(?i)^(\d{{1,2}})\s+({'|'.join(MONTHS)})[a-z]*\s+(\d{{2,4}})$"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, named, 2))).cast("int")
+    return F.coalesce(_iso(n(ymd, 1), n(ymd, 2), n(ymd, 3)), _iso(full(n(dmy, 3)), n(dmy, 2), n(dmy, 1)), _iso(full(n(named, 3)), month, n(named, 1)))
+
+
+def search_date(text: Column) -> Column:
+    """The first of D/M/Y, D/M/YY (of this century) and Y-M-D that stands anywhere in the text, as ISO; else the text itself."""
+    n = lambda p, k: F.regexp_extract(text, p, k).try_cast("int")
+    dmy, short, ymd = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{2})", r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})"
+    return F.coalesce(_iso(n(dmy, 3), n(dmy, 2), n(dmy, 1), 0), _iso(2000 + n(short, 3), n(short, 2), n(short, 1), 0), _iso(n(ymd, 1), n(ymd, 2), n(ymd, 3), 0), text)
+
+
+def is_timestamp(text: Column) -> Column:
+    return F.coalesce(text.try_cast("timestamp").isNotNull(), F.lit(False))
+
+
+def backoff_ms(attempt: Column, base: float = 1000, factor: float = 2, most: float = 30_000) -> Column:
+    """The delay before an attempt (from 0), without jitter, which is random."""
+    return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(float(factor)), attempt))
+
+
+# What exports hide, applied in this order.
+EXPORT_REDACTIONS = (
+    r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}", r"\d{3}[-\s]?\d{2}[-\s]?\d{4}",
+    r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")
+
+
+def redact_export(text: Column) -> Column:
+    """Personal data of exports replaced by one mark; null is empty."""
+    hints = ("@", r"\d{3}[-.\s]?\d{4}", r"\d{2}[-\s]?\d{4}", r"\d{4}[-\s]?\d{4}", r"\d\.\d{1,3}\.\d")
+    return reduce(lambda c, ph: where_hinted(c, ph[1], lambda t: F.regexp_replace(t, js_regex(ph[0]), "[REDACTED]")), zip(EXPORT_REDACTIONS, hints, strict=True), F.coalesce(text, F.lit("")))
+
+
 def period_bounds(as_of: str, period: str) -> tuple[Column, Column]:
     """First and last day of the day, the week from Sunday, or the month of ``as_of``."""
     d = F.to_date(F.lit(as_of))

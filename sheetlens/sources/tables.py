@@ -132,6 +132,27 @@ class Views:
         states = F.array(*map(F.lit, ("QUEUED", "OCR", "EXTRACT", "VALIDATE", "COMPLETE")))
         return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), F.get(states, F.least(F.col("turn"), F.lit(4)).cast("int")).alias("state"), F.length("text").alias("ms"))
 
+    @cached_property
+    def sheets(self) -> DataFrame:
+        """Job sheets as text, a line per field; some lines are missing, some hold what fails a check."""
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+        d = F.to_date("o_orderdate")
+        day = F.when(k % 3 == 0, text(F.dayofmonth(d), "/", F.month(d), "/", F.year(d))).when(k % 3 == 1, text(F.dayofmonth(d), "-", F.month(d), "-", F.year(d))).otherwise(
+            text(F.dayofmonth(d), "/", F.month(d), "/", F.date_format(d, "yy")))
+        lines = (
+            pick(("SERVICE REPORT", "Thorough Examination Report", "Repair Report", "Aztec weighing system", "Sheet"), k), F.when(k % 11 != 0, text("Job No: ", k)),
+            F.when(k % 7 != 0, text("Customer Name: ", F.col("c_name"))), text("Date: ", day), F.when(k % 13 != 0, text("Asset No: AS-", c)), text("Make/Model: ", F.col("c_mktsegment")),
+            F.when(k % 2 == 0, text("Serial No: S", c * 7)), F.when(k % 4 == 0, text("Mileage: ", k * 37 % 100_000, ".5")), F.when(k % 17 != 0, text("Engineer Name: Eng ", c % 40)),
+            text("Issue: unit ", F.col("o_orderpriority"), " fails"), text("Location: site ", c % 5), text("Works fully completed: ", pick(("Yes", "No", "Yes"), k)),
+            F.when(k % 19 != 0, text("Return visit required: ", pick(("No", "Yes"), c))), text("Asset safe to use: ", pick(("Yes", "No", "yes"), c)),
+            text("Engineer Comments: ", F.when(k % 6 == 0, "ok").otherwise(text("replaced the seal and tested part ", k))), text("Fault Reason: ", pick(("Wear & Tear", "electrical", "Broken"), k)),
+            text("Repair Duration: ", c % 130), F.lit("Parts Used: seal kit"), F.when(k % 9 == 0, F.lit("Parts Required: gasket")), text("Overtime: ", pick(("No", "Yes"), k)),
+            text("VOR Status: ", pick(("No", "Yes"), c)), F.lit("Technician Signature: ____"), F.when(k % 5 == 0, text("Due date: ", F.year(d) + 1, "-01-02, valid until ", F.dayofmonth(d), "/12/", F.year(d))))
+        j = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return j.select(k.alias("doc_id"), F.array_join(F.array_compact(F.array(*lines)), "\n").alias("text"), F.when(k % 3 == 0, F.concat(F.lit("Job No: "), (k + k % 2).cast("string"))).alias("region"))
+
 
 _CODES = "[" + ", ".join(f"'{c}'" for c in REASON_CODES) + "]"
 _TYPES = "[" + ", ".join(f"'{c}'" for c in ISSUE_TYPES) + "]"
@@ -154,6 +175,17 @@ VIEW_SQL = {
     "actual": """SELECT doc_id, rule_id, field, CASE WHEN (doc_id + _n) % 13 = 0 AND status = 'passed' THEN 'failed' WHEN (doc_id + _n) % 13 = 0 AND status = 'failed' THEN 'passed' ELSE status END AS status, value,
       confidence + CASE WHEN doc_id % 7 = 0 THEN 0.1::DOUBLE WHEN doc_id % 11 = 0 THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END AS confidence, severity, reason_code FROM golden WHERE (doc_id + _n) % 29 <> 0
       UNION ALL SELECT doc_id, 'R9', 'field_9', status, value, confidence, severity, reason_code FROM golden WHERE _n = 1 AND doc_id % 17 = 0""",
+    "sheets": """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Job No: ' || (o_orderkey + o_orderkey % 2) END AS region, array_to_string(list_filter([
+      ['SERVICE REPORT', 'Thorough Examination Report', 'Repair Report', 'Aztec weighing system', 'Sheet'][o_orderkey % 5 + 1], CASE WHEN o_orderkey % 11 <> 0 THEN 'Job No: ' || o_orderkey END,
+      CASE WHEN o_orderkey % 7 <> 0 THEN 'Customer Name: ' || c_name END, 'Date: ' || CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%-d/%-m/%Y') WHEN 1 THEN strftime(o_orderdate, '%-d-%-m-%Y')
+      ELSE strftime(o_orderdate, '%-d/%-m/%y') END, CASE WHEN o_orderkey % 13 <> 0 THEN 'Asset No: AS-' || o_custkey END, 'Make/Model: ' || c_mktsegment, CASE WHEN o_orderkey % 2 = 0 THEN 'Serial No: S' || o_custkey * 7 END,
+      CASE WHEN o_orderkey % 4 = 0 THEN 'Mileage: ' || (o_orderkey * 37 % 100000) || '.5' END, CASE WHEN o_orderkey % 17 <> 0 THEN 'Engineer Name: Eng ' || (o_custkey % 40) END, 'Issue: unit ' || o_orderpriority || ' fails',
+      'Location: site ' || (o_custkey % 5), 'Works fully completed: ' || ['Yes', 'No', 'Yes'][o_orderkey % 3 + 1], CASE WHEN o_orderkey % 19 <> 0 THEN 'Return visit required: ' || ['No', 'Yes'][o_custkey % 2 + 1] END,
+      'Asset safe to use: ' || ['Yes', 'No', 'yes'][o_custkey % 3 + 1], 'Engineer Comments: ' || CASE WHEN o_orderkey % 6 = 0 THEN 'ok' ELSE 'replaced the seal and tested part ' || o_orderkey END,
+      'Fault Reason: ' || ['Wear & Tear', 'electrical', 'Broken'][o_orderkey % 3 + 1], 'Repair Duration: ' || (o_custkey % 130), 'Parts Used: seal kit', CASE WHEN o_orderkey % 9 = 0 THEN 'Parts Required: gasket' END,
+      'Overtime: ' || ['No', 'Yes'][o_orderkey % 2 + 1], 'VOR Status: ' || ['No', 'Yes'][o_custkey % 2 + 1], 'Technician Signature: ____',
+      CASE WHEN o_orderkey % 5 = 0 THEN 'Due date: ' || (year(o_orderdate) + 1) || '-01-02, valid until ' || day(o_orderdate) || '/12/' || year(o_orderdate) END], lambda x: x IS NOT NULL), chr(10)) AS text
+      FROM orders JOIN customer ON o_custkey = c_custkey""",
     "run_events": "SELECT conv_id AS run_id, turn AS seq, (['QUEUED', 'OCR', 'EXTRACT', 'VALIDATE', 'COMPLETE'])[least(turn, 4) + 1] AS state, length(text) AS ms FROM conversations",
 }
 _NEEDS = {"audits": ("ev",), "selections": ("ev",), "actual": ("golden",)}
