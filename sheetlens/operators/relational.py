@@ -141,11 +141,10 @@ def layered(specs: DataFrame, parents: DataFrame, most_depth: int = 32) -> DataF
     recursive query; a cycle runs into ``most_depth`` and raises.
     """
     spark = specs.sparkSession
-    parents.createOrReplaceTempView("_spec_parents")
-    chain = spark.sql(f"""WITH RECURSIVE chain(leaf, id, depth) MAX RECURSION LEVEL {most_depth} AS (
-        SELECT id, id, 0 FROM _spec_parents UNION ALL
-        SELECT c.leaf, p.parent, c.depth + 1 FROM chain c JOIN _spec_parents p ON c.id = p.id WHERE p.parent IS NOT NULL)
-        SELECT leaf, id, depth FROM chain""")
+    chain = spark.sql("""WITH RECURSIVE chain(leaf, id, depth) MAX RECURSION LEVEL """ + str(most_depth) + """ AS (
+        SELECT id, id, 0 FROM {parents} UNION ALL
+        SELECT c.leaf, p.parent, c.depth + 1 FROM chain c JOIN {parents} p ON c.id = p.id WHERE p.parent IS NOT NULL)
+        SELECT leaf, id, depth FROM chain""", parents=parents)
     return chain.join(specs, "id").groupBy("leaf", "field", "property").agg(F.min_by("value", F.col("depth")).alias("value"))
 
 

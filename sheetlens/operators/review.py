@@ -87,6 +87,22 @@ def region_processing(fields: DataFrame, critical: Sequence[str], per_document:
     return f.withColumn("reason", reason)
 
 
+_SUFFIXES = "Inc|LLC|Corp|Corporation|Ltd|Limited|Co|Company|Industries|Solutions|Services|Group|Holdings"
+# Words that begin no name.
+NO_NAMES = ("TECH-", "CUSTOMER_", "VENDOR_", "PART-", "JS-", "Standard", "Job", "Sheet", "Missing", "Signature", "Low", "Confidence", "OCR", "Table", "Heavy", "Conflicting", "Invalid", "Format",
+            "Out", "Policy", "Multiple", "Failures", "Full", "Major", "Complex", "Scheduled")
+# What looks like personal data in fixtures.
+PERSONAL = {
+    "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "phone": r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}", "usPostalCode": r"\b\d{5}(?:-\d{4})?\b",
+    "ukPostalCode": r"(?i)\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b",
+    "streetAddress": r"(?i)\b\d+\s+(?:[A-Z][a-z]+\s+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Way|Place|Pl)\b",
+    "realCompany": rf"\b(?!CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_)[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{_SUFFIXES})\b",
+    "realName": rf"\b(?!{'|'.join(NO_NAMES)})(?:[A-Z][a-z]{{2,}})\s+(?:[A-Z][a-z]{{2,}})\b"}
+# Phrases that are no personal data.
+ALLOWED = ("Job Number", "Job Sheet", "Service Date", "Work Description", "Emergency repair", "Quarterly maintenance inspection", "Installation", "Preventive maintenance", "Multiple Failures",
+           "Full system replacement", "Repair and calibration", "Complex repair", "Scheduled inspection", "Major overhaul")
+
+
 def personal_data(texts: DataFrame, patterns: Mapping[str, str], allowed: Sequence[str] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pattern, match) of what looks like personal data, without allowed phrases and placeholders."""
     def hits(name: str, pattern: str) -> Column:

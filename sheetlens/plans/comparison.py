@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import comparison as C
+from ..operators import evaluation as E
 from .registry import query
 from .reports import r
 
@@ -47,8 +48,8 @@ def _(v):
 
 
 @query("parity_failures", """WITH e AS (SELECT DISTINCT doc_id, rule_id, field, reason_code FROM golden WHERE status = 'failed'), x AS (SELECT doc_id, rule_id, field, coalesce(reason_code, 'OUT_OF_POLICY') AS reason_code FROM actual WHERE status = 'failed')
- SELECT doc_id, rule_id, field, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.doc_id = e.doc_id AND x.rule_id = e.rule_id AND x.field = e.field AND x.reason_code = e.reason_code) THEN 'matched' ELSE 'missed' END AS kind FROM e
- UNION ALL SELECT doc_id, rule_id, field, 'unexpected' FROM x WHERE NOT EXISTS (SELECT 1 FROM e WHERE x.doc_id = e.doc_id AND x.rule_id = e.rule_id AND x.field = e.field)""", "golden", "actual")
+ SELECT doc_id, rule_id, field, 'matched' AS kind FROM e SEMI JOIN x USING (doc_id, rule_id, field, reason_code) UNION ALL SELECT doc_id, rule_id, field, 'missed' FROM e ANTI JOIN x USING (doc_id, rule_id, field, reason_code)
+ UNION ALL SELECT doc_id, rule_id, field, 'unexpected' FROM x ANTI JOIN e USING (doc_id, rule_id, field)""", "golden", "actual")
 def _(v):
     return C.compare_failures(v.golden.filter("status = 'failed'").select("doc_id", "rule_id", "field", "reason_code").distinct(), v.actual)
 
@@ -73,29 +74,72 @@ def _(v):
 # --- evaluation ---------------------------------------------------------------------------
 
 
-@query("selection_metrics", f"SELECT template_id, count(*) AS total, count(*) FILTER (outcome = 'VALID') AS correct, {r('count(*) FILTER (outcome = ' + chr(39) + 'VALID' + chr(39) + ') / count(*)::DOUBLE')} AS accuracy FROM audits GROUP BY ROLLUP (template_id)", "audits")
+NO_ERRORS = "coalesce(list_contains(reason_codes, 'CONFLICT'), FALSE)"
+
+
+@query("selection_metrics", f"""SELECT template_id, count(*) AS total, count(*) FILTER (outcome = 'VALID') AS correct, count(*) FILTER (outcome <> 'VALID') AS incorrect, count(*) FILTER ({NO_ERRORS}) AS ambiguous,
+ {r("count(*) FILTER (outcome = 'VALID') / count(*)::DOUBLE")} AS accuracy, {r(f'count(*) FILTER ({NO_ERRORS}) / count(*)::DOUBLE')} AS ambiguity_rate FROM audits GROUP BY ROLLUP (template_id)""", "audits")
 def _(v):
-    ok = F.count_if(F.col("outcome") == "VALID")
-    return v.audits.rollup("template_id").agg(F.count("*").alias("total"), ok.alias("correct"), S.r6(ok / F.count("*")).alias("accuracy"))
+    e = v.audits.select("template_id", (F.col("outcome") == "VALID").alias("correct"), F.array_contains("reason_codes", "CONFLICT").alias("ambiguous"))
+    m = E.selection_metrics(e, "template_id")
+    return m.select("template_id", "total", "correct", "incorrect", "ambiguous", S.r6(F.col("accuracy")).alias("accuracy"), S.r6(F.col("ambiguity_rate")).alias("ambiguity_rate"))
+
+
+_G = "SELECT CASE WHEN severity <> 'S3' THEN severity ELSE 'S2' END AS severity, field, status = 'passed' AS ok, CASE WHEN status <> 'skipped' THEN value END AS value FROM golden"
 
 
-@query("critical_field_metrics", f"SELECT severity, field, count(*) AS total, count(*) FILTER (status = 'passed') AS correct, count(*) FILTER (value IS NULL) AS missing FROM golden GROUP BY GROUPING SETS ((), (severity), (field))", "golden")
+@query("critical_field_metrics", f"""WITH g AS ({_G}), x AS (SELECT 'all' AS by, '' AS name, * FROM g UNION ALL SELECT 'severity', severity, * FROM g UNION ALL SELECT 'field', field, * FROM g UNION ALL SELECT 'critical', '', * FROM g WHERE severity IN ('S0', 'S1')),
+ m AS (SELECT x."by", name, count(*) AS total, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok AND value IS NULL) AS missing, {r('count(*) FILTER (ok) / count(*)::DOUBLE')} AS accuracy FROM x GROUP BY ALL)
+ SELECT * FROM m UNION ALL SELECT 'severity', s, 0, 0, 0, 0 FROM (VALUES ('S0'), ('S1'), ('S2'), ('S3')) t(s) WHERE s NOT IN (SELECT name FROM m WHERE m."by" = 'severity')""", "golden")
 def _(v):
-    v.golden.createOrReplaceTempView("_golden_fields")
-    return v.spark.sql("SELECT severity, field, count(*) AS total, count_if(status = 'passed') AS correct, count_if(value IS NULL) AS missing FROM _golden_fields GROUP BY GROUPING SETS ((), (severity), (field))")
+    f = v.golden.select(F.when(F.col("severity") != "S3", F.col("severity")).otherwise("S2").alias("severity"), "field", (F.col("status") == "passed").alias("correct"),
+                        F.when(F.col("status") != "skipped", F.col("value")).alias("value"))
+    return E.critical_field_metrics(f).withColumn("accuracy", S.r6(F.col("accuracy")))
 
 
-@query("fusion_metrics", f"SELECT l_linenumber, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a FROM lineitem GROUP BY 1")
+_AGREED = "l_returnflag = 'N'"
+_DECISION = "CASE l_suppkey % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'image_qa' WHEN 2 THEN 'merged' ELSE 'conflict' END"
+_COUNTS = f"""count(*) AS total, count(*) FILTER ({_AGREED}) AS agreements, count(*) FILTER (NOT {_AGREED}) AS disagreements, {r(f'count(*) FILTER ({_AGREED}) / count(*)::DOUBLE')} AS agreement_rate,
+ count(*) FILTER (d = 'ocr') AS ocr, count(*) FILTER (d = 'image_qa') AS image_qa, count(*) FILTER (d = 'merged') AS merged, count(*) FILTER (d = 'conflict') AS conflict"""
+
+
+@query("fusion_metrics", f"SELECT field, {_COUNTS} FROM (SELECT 'field_' || l_linenumber AS field, l_returnflag, {_DECISION} AS d FROM lineitem) GROUP BY ROLLUP (field)")
 def _(v):
-    return v.table("lineitem").groupBy("l_linenumber").agg(*[F.count_if(F.col("l_returnflag") == x).alias(x.lower()) for x in "NRA"])
+    decision = F.get(F.array(*map(F.lit, E.DECISIONS)), (F.col("l_suppkey") % 4).cast("int"))
+    f = v.table("lineitem").select(F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field"), (F.col("l_returnflag") == "N").alias("agreed"), decision.alias("decision"))
+    m = E.fusion_metrics(f)
+    return m.withColumn("agreement_rate", S.r6(F.col("agreement_rate")))
+
 
+_PASS2 = """SELECT k % 7 AS template_id, event_type IN ('error', 'signup') AS triggered, CASE WHEN event_type = 'error' THEN 'reason_' || (k % 3) END AS reason, CASE WHEN k % 2 = 0 THEN 'fast' ELSE 'strong' END AS interpreter, k % 5 = 0 AS escalated FROM ev"""
 
-@query("second_pass_metrics", f"SELECT coalesce(reason, 'unknown') AS reason, count(*) AS n, {r('count(*) / sum(count(*)) OVER ()')} AS rate FROM (SELECT CASE WHEN event_type <> 'view' THEN event_type END AS reason FROM events) GROUP BY 1")
+
+@query("second_pass_metrics", f"""WITH ev AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events), p AS ({_PASS2}) SELECT 'template' AS by, CAST(template_id AS VARCHAR) AS name, count(*) AS total, count(*) FILTER (triggered) AS triggered, {r('count(*) FILTER (triggered) / count(*)::DOUBLE')} AS rate FROM p GROUP BY template_id
+ UNION ALL SELECT 'all', '', count(*), count(*) FILTER (triggered), {r('count(*) FILTER (triggered) / count(*)::DOUBLE')} FROM p UNION ALL SELECT 'reason', coalesce(reason, 'unknown'), count(*), count(*), 1.0 FROM p WHERE triggered GROUP BY ALL
+ UNION ALL SELECT 'interpreter', interpreter, count(*), count(*), 1.0 FROM p WHERE triggered GROUP BY ALL UNION ALL SELECT 'escalated', '', count(*), count(*), 1.0 FROM p WHERE triggered AND escalated HAVING count(*) > 0""")
+def _(v):
+    e = v._keyed_events
+    p = e.select((F.col("k") % 7).alias("template_id"), F.col("event_type").isin("error", "signup").alias("triggered"), F.when(F.col("event_type") == "error", F.concat(F.lit("reason_"), (F.col("k") % 3).cast("string"))).alias("reason"),
+                 F.when(F.col("k") % 2 == 0, "fast").otherwise("strong").alias("interpreter"), (F.col("k") % 5 == 0).alias("escalated"))
+    return E.second_pass_metrics(p).withColumn("rate", S.r6(F.col("rate")))
+
+
+@query("field_metrics", f"""WITH m AS (SELECT 'field_' || l_linenumber AS field, l_orderkey, {{match}} AS m, l_discount AS c FROM lineitem), n AS (SELECT count(DISTINCT l_orderkey) AS cases FROM m)
+ SELECT field, {r("count(*) FILTER (m IN ('exact', 'fuzzy')) / count(*)::DOUBLE", 2)} AS accuracy, {r('count(*) / any_value(cases)::DOUBLE', 2)} AS extraction_rate, {r('avg(c)', 2)} AS confidence FROM m, n GROUP BY field""".replace(
+    "{match}", "CASE (l_linenumber + l_partkey) % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'partial' WHEN 3 THEN 'extra' ELSE 'missing' END"))
 def _(v):
-    from pyspark.sql import Window
+    match = F.get(F.array(*map(F.lit, ("exact", "fuzzy", "partial", "extra", "missing"))), ((F.col("l_linenumber") + F.col("l_partkey")) % 5).cast("int"))
+    m = v.table("lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field"), match.alias("match"), F.col("l_discount").alias("confidence"))
+    return E.field_metrics(m, "case_id")
+
 
-    n = v.table("events").groupBy(F.coalesce(F.when(F.col("event_type") != "view", F.col("event_type")), F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
-    return n.withColumn("rate", S.r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
+@query("ab_summary", f"""WITH c AS (SELECT avg(confidence) FILTER (engineer_id % 2 = 0) AS fa, avg(confidence) FILTER (engineer_id % 2 = 1) AS fb, avg((outcome = 'VALID')::INT) FILTER (engineer_id % 2 = 0) AS aa, avg((outcome = 'VALID')::INT) FILTER (engineer_id % 2 = 1) AS ab,
+ avg(fields_extracted * 50) FILTER (engineer_id % 2 = 0) AS la, avg(fields_extracted * 50) FILTER (engineer_id % 2 = 1) AS lb FROM audits)
+ SELECT {r('fa - fb', 2)} AS f1_delta, {r('aa - ab', 2)} AS accuracy_delta, {r('la - lb', 0)} AS latency_delta, CASE WHEN abs(fa - fb) < 0.02 THEN 'tie' WHEN fa > fb THEN 'A' ELSE 'B' END AS winner,
+ CASE WHEN abs(fa - fb) < 0.02 THEN 'low' WHEN abs(fa - fb) > 0.1 THEN 'high' ELSE 'medium' END AS certainty FROM c""", "audits")
+def _(v):
+    a = v.audits.select(F.when(F.col("engineer_id") % 2 == 0, "A").otherwise("B").alias("config"), F.col("confidence").alias("f1"), (F.col("outcome") == "VALID").cast("double").alias("accuracy"), (F.col("fields_extracted") * 50.0).alias("latency_ms"))
+    return E.ab_summary(a)
 
 
 @query("overall_score", f"SELECT {r('a * 0.30::DOUBLE + b * 0.40::DOUBLE + c * 0.20::DOUBLE + (1 - d) * 0.10::DOUBLE')} AS score FROM (SELECT avg((outcome = 'VALID')::INT) AS a, avg(confidence) AS b, avg((fields_missing = 0)::INT) AS c, avg((fields_low_confidence > 0)::INT) AS d FROM audits)", "audits")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import audits as A
 from ..operators import relational as R
+from ..streaming.folds import dead_letters, started_once
 from .registry import query
 from .reports import r
 
@@ -266,9 +267,13 @@ def _(v):
     return R.invalid_transitions(e).select("run_id", "seq", "state", "previous")
 
 
-@query("idempotent_starts", "SELECT l_partkey, l_suppkey, min(l_orderkey * 10 + l_linenumber) AS started FROM lineitem GROUP BY ALL")
+@query("idempotent_starts", """SELECT event_id AS run_id FROM (SELECT *, event_type = 'error' AS failed, user_id % 11 = 0 AS forced, row_number() OVER (PARTITION BY user_id % 50, props, event_type = 'error' OR user_id % 11 = 0 ORDER BY ts, event_id) AS n FROM events)
+ WHERE failed OR forced OR n = 1""")
 def _(v):
-    return v.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("started"))
+    e = v.table("events")
+    runs = e.select(F.concat_ws(":", (F.col("user_id") % 50).cast("string"), "props").alias("input_hash"), F.col("event_id").alias("run_id"), F.col("ts").alias("at"),
+                    F.when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETE").alias("state"), (F.col("user_id") % 11 == 0).alias("forced"))
+    return started_once(runs).select("run_id")
 
 
 @query("determinism_check", "SELECT l_partkey, count(DISTINCT l_returnflag) AS outputs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
@@ -276,10 +281,17 @@ def _(v):
     return v.table("lineitem").groupBy("l_partkey").agg(F.count_distinct("l_returnflag").alias("outputs")).filter("outputs > 1")
 
 
-@query("dead_letter_stats", "SELECT event_type AS stage, count(*) AS n, count(*) FILTER (user_id % 2 = 0) AS recoverable, CAST(min(epoch_us(ts)) AS BIGINT) AS oldest_us FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 300) GROUP BY 1")
+FAILURES = ("Request TIMEOUT after 30 s", "Rate limit exceeded", "Invalid file", "connect ECONNRESET", "HTTP 404", "HTTP 503")
+
+
+# The store keeps its latest 1000 failures; that bound is the feature.
+@query("dead_letter_stats", f"""SELECT event_type AS stage, count(*) AS n, count(*) FILTER (user_id % 6 IN (0, 1, 3, 5)) AS recoverable, count(*) FILTER (user_id % 6 IN (2, 4)) AS unrecoverable, CAST(min(epoch_us(ts)) AS BIGINT) AS oldest_us
+ FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 1000) GROUP BY 1""")
 def _(v):
-    last = v.table("events").withColumn("ts", F.col("ts").cast("timestamp")).orderBy(F.desc("ts"), "event_id").limit(300)
-    return last.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 2 == 0).alias("recoverable"), F.min(F.unix_micros("ts")).alias("oldest_us"))
+    message = F.get(F.array(*map(F.lit, FAILURES)), (F.col("user_id") % 6).cast("int"))
+    f = v.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("created_at"), message.alias("message"))
+    return dead_letters(f).groupBy("stage").agg(F.count("*").alias("n"), F.count_if("recoverable").alias("recoverable"), F.count_if(~F.col("recoverable")).alias("unrecoverable"),
+                                                F.min(F.unix_micros("created_at")).alias("oldest_us"))
 
 
 @query("live_metrics", f"SELECT event_type AS metric, count(*) AS counter, {r('arg_max(value, event_id)')} AS gauge FROM events GROUP BY 1")

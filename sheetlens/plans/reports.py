@@ -291,25 +291,42 @@ def _(v):
     return sessions(e, "6 hours").select("user_id", F.unix_micros("start").alias("start_us"), "events")
 
 
-@query("rate_limited_requests")
+def _steps(key: str, more: str) -> str:
+    """Events of each key, numbered in order, for a recursive fold."""
+    return f"o AS (SELECT {key} AS key, event_id AS id, epoch_ms(ts) AS at_ms, {more}row_number() OVER (PARTITION BY {key} ORDER BY epoch_ms(ts), event_id) AS n FROM events)"
+
+
+@query("rate_limited_requests", f"""WITH RECURSIVE {_steps('user_id', '')}, s AS (SELECT key, id, at_ms, n, at_ms AS start, 1 AS c FROM o WHERE n = 1 UNION ALL
+ SELECT o.key, o.id, o.at_ms, o.n, CASE WHEN o.at_ms < s.start + 21600000 THEN s.start ELSE o.at_ms END, CASE WHEN o.at_ms < s.start + 21600000 THEN s.c + 1 ELSE 1 END FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+ SELECT key, id, at_ms, c <= 2 AS allowed, CAST(greatest(0, 2 - c) AS BIGINT) AS remaining FROM s""")
 def _(v):
     from ..streaming.folds import rate_limited
 
-    e = v.table("events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    e = v.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return rate_limited(e, 6 * 3_600_000, 2)
 
 
-@query("cache_statistics")
+@query("cache_statistics", f"""WITH RECURSIVE {_steps('event_type', 'user_id AS k, ')}, f AS (SELECT *, list_filter(held, lambda x: x.k = k AND at_ms < x.t + 86400000)[1] AS fresh, list_filter(held, lambda x: x.k <> k) AS others FROM
+ (SELECT key, k, at_ms, n, CAST([] AS STRUCT(k BIGINT, t BIGINT)[]) AS held, 0 AS hits, 0 AS misses, 0 AS evictions FROM o WHERE n = 1)
+ UNION ALL SELECT *, list_filter(held, lambda x: x.k = k AND at_ms < x.t + 86400000)[1], list_filter(held, lambda x: x.k <> k) FROM (SELECT o.key, o.k, o.at_ms, o.n,
+ CASE WHEN f.fresh IS NOT NULL THEN list_append(f.others, f.fresh) ELSE list_append(CASE WHEN len(f.others) >= 5 THEN f.others[2:] ELSE f.others END, {{'k': CAST(f.k AS BIGINT), 't': f.at_ms}}) END AS held,
+ f.hits + (f.fresh IS NOT NULL)::INT AS hits, f.misses + (f.fresh IS NULL)::INT AS misses, f.evictions + (f.fresh IS NULL AND len(f.others) >= 5)::INT AS evictions FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1))
+ SELECT key AS cache, arg_max(hits + (fresh IS NOT NULL)::INT, n)::BIGINT AS hits, arg_max(misses + (fresh IS NULL)::INT, n)::BIGINT AS misses, arg_max(evictions + (fresh IS NULL AND len(others) >= 5)::INT, n)::BIGINT AS evictions FROM f GROUP BY key""")
 def _(v):
     from ..streaming.folds import cache_replay
 
-    e = v.table("events").select(F.col("event_type").alias("cache"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("user_id").alias("key"))
+    e = v.table("events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("user_id").alias("key"))
     return cache_replay(e, 24 * 3_600_000, 5)
 
 
-@query("breaker_states")
+@query("breaker_states", f"""WITH RECURSIVE {_steps('user_id', "event_type <> 'error' AS ok, ")}, s AS (SELECT key, id, at_ms, ok, n, 'CLOSED' AS state, 0 AS bad, CAST(0 AS BIGINT) AS opened FROM o WHERE n = 1 UNION ALL
+ SELECT key, id, at_ms, ok, n, CASE WHEN after = 'OPEN' AND at_ms >= opened + 86400000 THEN 'HALF_OPEN' ELSE after END, b, opened FROM (
+ SELECT o.*, CASE WHEN s.state = 'OPEN' THEN 'OPEN' WHEN s.ok THEN 'CLOSED' WHEN s.state = 'HALF_OPEN' OR s.bad + 1 >= 2 THEN 'OPEN' ELSE s.state END AS after,
+ CASE WHEN s.state = 'OPEN' THEN s.bad WHEN s.ok OR s.state = 'HALF_OPEN' OR s.bad + 1 >= 2 THEN 0 ELSE s.bad + 1 END AS b,
+ CASE WHEN s.state <> 'OPEN' AND NOT s.ok AND (s.state = 'HALF_OPEN' OR s.bad + 1 >= 2) THEN s.at_ms ELSE s.opened END AS opened FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1))
+ SELECT key, id, at_ms, ok, state FROM s""")
 def _(v):
     from ..streaming.folds import breaker_states
 
-    e = v.table("events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_type") != "error").alias("ok"))
+    e = v.table("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_type") != "error").alias("ok"))
     return breaker_states(e, 2, 24 * 3_600_000)

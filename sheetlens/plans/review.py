@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -9,16 +11,15 @@ from ..operators import review as V
 from .registry import query
 from .reports import r
 
-READ = "SELECT l_orderkey AS doc_id, 'field_' || l_linenumber AS field, any_value(CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END) AS value, min(l_discount * 10) AS confidence, min(l_tax * 10) AS threshold, bool_or(l_suppkey % 5 > 0) AS has_box FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL"
+READ = "SELECT l_orderkey AS doc_id, 'field_' || l_linenumber AS field, min(CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END) AS value, min(l_discount * 10) AS confidence, min(l_tax * 10) AS threshold, bool_or(l_suppkey % 5 > 0) AS has_box FROM lineitem GROUP BY ALL"
 
 
 def read_fields(v):
-    li = v.table("lineitem").filter("l_linenumber <= 4")
+    li = v.table("lineitem")
     return li.groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("field")).agg(
         F.min(F.when(F.col("l_returnflag") == "A", "").otherwise(F.col("l_returnflag"))).alias("value"), F.min(F.col("l_discount") * 10).alias("confidence"), F.min(F.col("l_tax") * 10).alias("threshold"), F.bool_or(F.col("l_suppkey") % 5 > 0).alias("has_box"))
 
 
-READ = READ.replace("any_value(", "min(")
 REQUIRED = ("field_1", "field_2")
 
 
@@ -60,17 +61,39 @@ def _(v):
     return V.region_processing(f, ("field_1", "field_5")).select("doc_id", "ord", "attempts", "source", S.r6(F.col("final")).alias("final"), "reason")
 
 
-PERSONAL = {"email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "card": r"\b\d{16}\b"}
+# The oracle's patterns can't look ahead: a company that begins like a placeholder is left out afterwards, names have a query of their own.
+_SCANNED = {n: p for n, p in V.PERSONAL.items() if n != "realName"}
+_SCAN = " UNION ALL ".join(
+    f"SELECT doc_id, '{n}' AS pattern, unnest(regexp_extract_all(text, '{re.sub(r'[(][?]![^)]*[)]', '', p)}')) AS match FROM sheets2" for n, p in _SCANNED.items())
+
+
+def personal_texts(v):
+    t, d = F.col("text"), F.col("doc_id")
+    who = F.when(d % 3 == 0, "Acme Pumps Ltd").when(d % 3 == 1, "see Mary Jones").otherwise("CUSTOMER_A")
+    more = F.concat(t, F.lit("\nwrite to u"), d.cast("string"), F.lit("@mail.test or 20"), (100 + d % 900).cast("string"), F.lit("-555-"), (1000 + d % 9000).cast("string"),
+                    F.lit(" at "), (d % 90 + 1).cast("string"), F.lit(" Green Mill Road, AB1 2CD; "), who)
+    return v.sheets.select("doc_id", more.alias("text"))
+
+
+@query("personal_data_scan", f"""WITH sheets2 AS (SELECT doc_id, text || chr(10) || 'write to u' || doc_id || '@mail.test or 20' || (100 + doc_id % 900) || '-555-' || (1000 + doc_id % 9000) || ' at ' || (doc_id % 90 + 1) || ' Green Mill Road, AB1 2CD; '
+ || CASE doc_id % 3 WHEN 0 THEN 'Acme Pumps Ltd' WHEN 1 THEN 'see Mary Jones' ELSE 'CUSTOMER_A' END AS text FROM sheets), found AS ({_SCAN})
+ SELECT * FROM found WHERE NOT regexp_matches(match, '^(?i)(CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_|TECH-|PART-|JS-)') AND NOT ({' OR '.join(f"contains(match, '{a}')" for a in V.ALLOWED)})""", "sheets")
+def _(v):
+    return V.personal_data(personal_texts(v), _SCANNED, V.ALLOWED)
 
 
-@query("personal_data_scan", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for n, p in PERSONAL.items()) + ") WHERE NOT contains(match, 'mail3.')")
+@query("personal_names_scan")
 def _(v):
-    return V.personal_data(v.table("documents"), PERSONAL, ["mail3."])
+    return V.personal_data(personal_texts(v), {"realName": V.PERSONAL["realName"]}, V.ALLOWED)
 
 
-@query("box_counts", "SELECT doc_id, len(regexp_extract_all(text, '\\[[xX✓✔]\\]|☑|\\([xX✓]\\)|(?i:\\[Y\\])')) AS ticked, len(regexp_extract_all(text, '\\[\\s*\\]|☐|\\(\\s*\\)|(?i:\\[N\\])')) AS empty, 0 AS signatures, 0 AS signed FROM documents WHERE NOT contains(lower(text), 'signature')")
+@query("box_counts", """WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 4 WHEN 0 THEN '[x] tested [ ] failed Signature: ____' WHEN 1 THEN '☑ ok ☐ Signature: J. Smith' WHEN 2 THEN 'Signature' ELSE '(x) [N] Customer signature  R' END AS text FROM documents)
+ SELECT doc_id, len(regexp_extract_all(text, '\\[[xX✓✔]\\]|☑|\\([xX✓]\\)|(?i:\\[Y\\])')) AS ticked, len(regexp_extract_all(text, '\\[\\s*\\]|☐|\\(\\s*\\)|(?i:\\[N\\])')) AS empty,
+ len(regexp_extract_all(text, '(?i)signature[: \\t]*([^\\n]{0,30})')) AS signatures, len(list_filter(regexp_extract_all(text, '(?i)signature[: \\t]*([^\\n]{0,30})', 1), lambda s: trim(regexp_replace(s, '_+', '', 'g'), ' ') <> '')) AS signed FROM d""")
 def _(v):
-    return V.tick_boxes(v.table("documents").filter(~F.lower("text").contains("signature")))
+    n = F.col("doc_id") % 4
+    line = F.when(n == 0, "[x] tested [ ] failed Signature: ____").when(n == 1, "☑ ok ☐ Signature: J. Smith").when(n == 2, "Signature").otherwise("(x) [N] Customer signature  R")
+    return V.tick_boxes(v.table("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text")))
 
 
 def _counted(patterns):

@@ -36,10 +36,13 @@ def _(v):
     return docs(v).withColumn("t", S.redact(F.col("text"))).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), (F.col("t") != F.col("text")).alias("changed"))
 
 
-@query("redaction_counts", f"SELECT sum(len(regexp_extract_all(t, '\\[EMAIL_REDACTED\\]')))::BIGINT AS emails, sum(len(regexp_extract_all(t, '\\[PHONE_REDACTED\\]')))::BIGINT AS phones, sum(len(regexp_extract_all(t, '\\[IP_REDACTED\\]')))::BIGINT AS ips FROM (SELECT {REDACTED} AS t FROM documents)")
+TAGS = tuple(dict.fromkeys(tag for _, tag in _RULES))
+
+
+@query("redaction_counts", "SELECT " + ", ".join(f"sum((length(t) - length(replace(t, '{tag}', ''))) // {len(tag)})::BIGINT AS {tag.strip('[]').lower()}" for tag in TAGS) + f" FROM (SELECT {REDACTED} AS t FROM documents)")
 def _(v):
-    n = lambda tag: F.sum(F.regexp_count(F.col("t"), F.lit(rf"\[{tag}_REDACTED\]"))).cast("long")
-    return docs(v).select(S.redact(F.col("text")).alias("t")).agg(n("EMAIL").alias("emails"), n("PHONE").alias("phones"), n("IP").alias("ips"))
+    n = lambda tag: F.sum(((F.length("t") - F.length(F.replace(F.col("t"), F.lit(tag), F.lit("")))) / len(tag)).cast("long")).alias(tag.strip("[]").lower())
+    return docs(v).select(S.redact(F.col("text")).alias("t")).agg(*map(n, TAGS))
 
 
 _ART = " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in D.ARTIFACTS)

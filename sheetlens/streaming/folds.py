@@ -3,32 +3,69 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def ordered_fold(events: DataFrame, key: str, order: Sequence[str], step: Callable, columns: Sequence[str], schema: str, at_end: bool = False) -> DataFrame:
+    """A sequential fold over each key's events in a total order, holding one key's state and one batch at a time.
+
+    ``step(state, row)`` gets the state (None at a key's start) and the values of ``columns``,
+    and gives the next state and a row of ``schema``; with ``at_end`` only each key's last row
+    is kept. Keys are hashed to partitions and sorted there, so no key is gathered in memory.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now, last = None, None, None
+        for batch in batches:
+            rows = []
+            for k, *row in zip(batch.column(0).to_pylist(), *(batch.column(i + 1).to_pylist() for i in range(len(columns))), strict=True):
+                if now is None or k != now[0]:
+                    if at_end and last is not None:
+                        rows.append(last)
+                    now, state = (k,), None
+                state, last = step(state, k, *row)
+                if not at_end:
+                    rows.append(last)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=types)
+        if at_end and last is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, last, strict=True))], schema=types)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    types = to_arrow_schema(_parse_datatype_string(schema))
+    return events.select(*dict.fromkeys([key, *columns, *order])).repartition(key).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, schema)
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _ident(df: DataFrame) -> tuple[list[str], str]:
+    """The column that orders events of one time, and its part of a schema; events of one time are alike where there is none."""
+    return (["id"], f"id {_type(df, 'id')}, ") if "id" in df.columns else ([], "")
+
+
 def rate_limited(requests: DataFrame, window_ms: int, most: int) -> DataFrame:
-    """``requests(key, at_ms)`` with allowed and remaining: a fixed window that starts at a key's first request.
+    """``requests(key, id, at_ms)`` with allowed and remaining: a fixed window that starts at a key's first request.
 
     A window starts anew with the first request after it ended, which only a sequential fold
-    can tell; each key is one group.
+    can tell. Requests of one time are in the order of their ids.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at_ms", kind="stable")
-        start, n, allowed, left = None, 0, [], []
-        for t in pdf["at_ms"]:
-            if start is None or t >= start + window_ms:
-                start, n = t, 0
-            n += 1
-            allowed.append(n <= most)
-            left.append(max(0, most - n))
-        return pdf.assign(allowed=allowed, remaining=left)[["key", "at_ms", "allowed", "remaining"]]
+    def step(state, key, *row):
+        t = row[-1]
+        start, n = state if state and t < state[0] + window_ms else (t, 0)
+        return (start, n + 1), (key, *row, n < most, max(0, most - n - 1))
 
-    return requests.select("key", F.col("at_ms").cast("long").alias("at_ms")).groupBy("key").applyInPandas(fold, f"key {requests.schema['key'].dataType.simpleString()}, at_ms long, allowed boolean, remaining long")
+    ident, kind = _ident(requests)
+    return ordered_fold(requests, "key", ["at_ms", *ident], step, [*ident, "at_ms"], f"key {_type(requests, 'key')}, {kind}at_ms bigint, allowed boolean, remaining bigint")
 
 
 def rate_limited_stream(requests: DataFrame, window_ms: int, most: int) -> DataFrame:
@@ -49,48 +86,49 @@ def rate_limited_stream(requests: DataFrame, window_ms: int, most: int) -> DataF
 
 
 def breaker_states(calls: DataFrame, failures: int, timeout_ms: int, successes: int = 1) -> DataFrame:
-    """``calls(key, at_ms, ok)`` with the breaker's state at each call: consecutive failures open it, a timeout half-opens it."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at_ms", kind="stable")
-        state, bad, good, opened, out = "CLOSED", 0, 0, 0, []
-        for t, ok in zip(pdf["at_ms"], pdf["ok"], strict=True):
-            if state == "OPEN" and t >= opened + timeout_ms:
-                state, good = "HALF_OPEN", 0
-            out.append(state)
-            if state == "OPEN":
-                continue
-            if ok:
-                bad, good = 0, good + 1
-                if state == "HALF_OPEN" and good >= successes:
-                    state = "CLOSED"
-            else:
-                bad += 1
-                if state == "HALF_OPEN" or bad >= failures:
-                    state, opened, bad = "OPEN", t, 0
-        return pdf.assign(state=out)[["key", "at_ms", "ok", "state"]]
-
-    return calls.groupBy("key").applyInPandas(fold, f"key {calls.schema['key'].dataType.simpleString()}, at_ms long, ok boolean, state string")
+    """``calls(key, id, at_ms, ok)`` with the breaker's state at each call: consecutive failures open it, a timeout half-opens it."""
+    def step(state, key, *row):
+        t, ok = row[-2:]
+        now, bad, good, opened = state or ("CLOSED", 0, 0, 0)
+        if now == "OPEN" and t >= opened + timeout_ms:
+            now, good = "HALF_OPEN", 0
+        out = (key, *row, now)
+        if now == "OPEN":
+            return (now, bad, good, opened), out
+        if ok:
+            bad, good = 0, good + 1
+            if now == "HALF_OPEN" and good >= successes:
+                now = "CLOSED"
+        else:
+            bad += 1
+            if now == "HALF_OPEN" or bad >= failures:
+                now, opened, bad = "OPEN", t, 0
+        return (now, bad, good, opened), out
+
+    ident, kind = _ident(calls)
+    return ordered_fold(calls, "key", ["at_ms", *ident], step, [*ident, "at_ms", "ok"], f"key {_type(calls, 'key')}, {kind}at_ms bigint, ok boolean, state string")
 
 
 def cache_replay(accesses: DataFrame, ttl_ms: int, most: int) -> DataFrame:
-    """``accesses(cache, at_ms, key)`` replayed through a cache with expiry and least-recent eviction: (cache, hits, misses, evictions)."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: OrderedDict = OrderedDict()
-        hits = misses = evictions = 0
-        for t, k in zip(*(pdf.sort_values("at_ms", kind="stable")[c] for c in ("at_ms", "key")), strict=True):
-            if k in held and t < held[k] + ttl_ms:
-                hits += 1
-                held.move_to_end(k)
-                continue
+    """``accesses(cache, id, at_ms, key)`` replayed through a cache with expiry and least-recent eviction: (cache, hits, misses, evictions).
+
+    The state holds at most ``most`` keys of one cache.
+    """
+    def step(state, cache, key, t):
+        held, hits, misses, evictions = state or (OrderedDict(), 0, 0, 0)
+        if key in held and t < held[key] + ttl_ms:
+            hits += 1
+            held.move_to_end(key)
+        else:
             misses += 1
-            held.pop(k, None)
+            held.pop(key, None)
             if len(held) >= most:
                 held.popitem(last=False)
                 evictions += 1
-            held[k] = t
-        return pd.DataFrame({"cache": [pdf["cache"].iloc[0]], "hits": [hits], "misses": [misses], "evictions": [evictions]})
+            held[key] = t
+        return (held, hits, misses, evictions), (cache, hits, misses, evictions)
 
-    return accesses.groupBy("cache").applyInPandas(fold, f"cache {accesses.schema['cache'].dataType.simpleString()}, hits long, misses long, evictions long")
+    return ordered_fold(accesses, "cache", ["at_ms", *_ident(accesses)[0]], step, ["key", "at_ms"], f"cache {_type(accesses, 'cache')}, hits bigint, misses bigint, evictions bigint", at_end=True)
 
 
 def not_cached(inputs: DataFrame, results: DataFrame, key: str, as_of: str, ttl_hours: int = 24) -> DataFrame:
@@ -99,7 +137,11 @@ def not_cached(inputs: DataFrame, results: DataFrame, key: str, as_of: str, ttl_
     return inputs.join(fresh.select(key), key, "left_anti")
 
 
-def dead_letters(failures: DataFrame, most: int = 1000, recoverable: tuple[str, ...] = ("timeout", "rate limit", "503", "ECONNRESET")) -> DataFrame:
+# What the message of a failure that may pass holds.
+RECOVERABLE = ("ECONNREFUSED", "ECONNRESET", "ETIMEDOUT", "ENOTFOUND", "rate limit", "timeout", "429", "500", "502", "503", "504", "circuit breaker")
+
+
+def dead_letters(failures: DataFrame, most: int = 1000, recoverable: tuple[str, ...] = RECOVERABLE) -> DataFrame:
     """The latest failures up to the bound, classified by their message."""
     message = F.lower("message")
     able = F.exists(F.array(*[F.lit(p.lower()) for p in recoverable]), lambda p: message.contains(p))

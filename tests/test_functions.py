@@ -160,3 +160,104 @@ def test_signature_marks_equal_brute_force(spark):
     got = review.signature_marks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == {i: want(t) for i, t in enumerate(texts)}
     assert sum(r.present for r in got) >= 4 and all(sum(r[k] for r in got) for k in range(1, 9))
+
+
+def test_names_equal_the_pattern_by_hand(spark):
+    import re
+
+    from sheetlens.operators import review as V
+
+    texts = ["see Mary Jones and Technician Signature", "Repair Report\nJob Number Bert Lee", "Sheet Mary Standard Anna", "CUSTOMER_A Missing Anna Bell", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.match) for r in V.personal_data(docs, {"realName": V.PERSONAL["realName"]}, V.ALLOWED).collect())
+    want = [(i, m) for i, t in enumerate(texts) for m in re.findall(V.PERSONAL["realName"], t or "", re.ASCII) if not any(a in m for a in V.ALLOWED)]
+    assert got == sorted(want) and (0, "Mary Jones") in got
+
+
+def test_word_boundaries_are_those_of_ascii(spark):
+    import re
+
+    from sheetlens.functions import scalars as S
+
+    patterns = [p for _, p, _ in S.REDACTIONS] + [r"\bab\b", r"\b\d{2,}\b|x", r"\b[a-c]+\b", r"a?\b", r"\b[-a]b\b"]
+    texts = ["ab xab ab_ éab ab-ab 12 123x x12", "a@b.cd.e@f.gh é.foo@bar.com", "+44 20 7946 0958, (020) 7946-0958, 123-45-6789x", "Dr. Who Mr Smith", "-ab ab a-b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        got = [r[0] for r in df.select(F.regexp_replace("t", S.js_regex(p), "#")).collect()]
+        assert got == [re.sub(p.replace("(?i)", ""), "#", t, flags=re.ASCII | (re.IGNORECASE if p.startswith("(?i)") else 0)) for t in texts], p
+        hints = dict(S.REDACTION_HINTS)
+    rules = [(n, p, tag) for n, p, tag in S.REDACTIONS]
+    plain = [("x" + n, p, tag) for n, p, tag in rules]
+    both = df.select(S.redact(F.col("t")), S.redact(F.col("t"), plain)).collect()
+    assert hints and all(a == b for a, b in both)
+
+
+def test_job_sheet_with_blocks_of_lines(spark):
+    from sheetlens.operators import sheets as T
+
+    text = """Job No: 123
+Customer Name: Acme
+Date: 5/3/24
+Issue: pump leaks
+since Monday
+Location: yard
+Asset safe to use: yes
+Engineer Comments: ok
+Parts Used: seal
+ring 3
+Fault Reason: electrical
+Works fully completed: No
+Return visit required: No
+VOR Status: Yes
+Technician Signature: X
+Parts Required: gasket"""
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    wide = T.extract_wide(docs)
+    rows = {r.doc_id: r for r in wide.collect()}
+    one = rows[1]
+    assert (one.job_no.value, one.customer_name.value, one.date.value) == ("123", "Acme", "2024-03-05")
+    assert one.issue_description.value == "pump leaks\nsince Monday" and one.parts_used.value == "seal\nring 3"
+    assert one.asset_no.value == "safe" and one.make_model.error == "required" and one.technician_signature.value is None
+    assert one.fault_reason.value == "Electrical" and abs(one.fault_reason.confidence - 1.0) < 0.011 and one.safe_to_use.value == "true"
+    assert all(rows[k].job_no.level == "UNREADABLE" and rows[k].job_no.error == "required" for k in (2, 3))
+    gold = {r.doc_id: r for r in T.gold_standard(T.validate_wide(wide)).collect()}
+    assert not gold[1].is_valid and gold[1].rules_passed == 1 and gold[2].rules_passed == 5
+    found = {(r.field, r.reason) for r in T.build_findings(T.validate_wide(wide)).filter("doc_id = 1").collect()}
+    assert {("engineer_comments", "INVALID_FORMAT"), ("make_model", "MISSING_FIELD"), ("vor_safety_consistency", "BUSINESS_RULE_VIOLATION")} <= found
+    status = {r.doc_id: r.status for r in T.document_status(T.long_form(wide)).collect()}
+    assert status == {1: "FAIL", 2: "FAIL", 3: "FAIL"}
+
+
+def test_folds_over_sorted_partitions(spark):
+    from sheetlens.streaming import folds
+
+    rows = [("a", i, 1000 * (i // 2)) for i in range(40)] + [("b", 100, 5), ("c", 200, 0), ("c", 201, 0)]
+    df = spark.createDataFrame(rows, "key string, id long, at_ms long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.id: (r.allowed, r.remaining) for r in folds.rate_limited(df, 3000, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    assert [got[i][0] for i in range(12)] == [True] * 4 + [False] * 2 + [True] * 4 + [False] * 2
+    assert got[100] == got[200] == (True, 3) and got[201] == (True, 2)
+
+
+def test_evaluation_helpers(spark):
+    from sheetlens.operators import evaluation as E
+    from sheetlens.operators.sheets import name_patterns
+
+    rules = spark.createDataFrame([("r1", True, ["a", "b"]), ("r2", False, ["b"]), ("r3", True, None)], "id string, enabled boolean, tags array<string>")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(E.rules_with(rules)) == ["r1", "r2", "r3"] and ids(E.rules_with(rules, ["b"])) == ["r1", "r2"] and ids(E.rules_with(rules, ["b", "x"], True)) == ["r1"]
+    templates = spark.createDataFrame([(1, "x"), (2, "y")], "template_id long, name string")
+    metrics = spark.createDataFrame([(1, 5, 0.2, 0.5, 0.6)], "template_id long, total_audits long, ambiguity_rate double, valid_rate double, avg_confidence double")
+    got = {r.template_id: tuple(r)[2:] for r in E.with_template_metrics(templates, metrics).collect()}
+    assert got == {1: (5, 0.2, 0.5, 0.6), 2: (0, 0.0, 1.0, 1.0)}
+    docs = spark.createDataFrame([(7, [("R1", "S0"), ("R2", "S2")])], "doc_id long, fields array<struct<rule_id:string,severity:string>>")
+    assert [(r.rule_id, r.is_critical) for r in E.golden_documents(docs).collect()] == [("R1", True), ("R2", False)]
+    d = spark.createDataFrame([(1, [str(i) for i in range(30)], 99)], "doc_id long, tokens array<string>, document_length int")
+    t = E.selection_traces(d, spark.createDataFrame([(1, "slug")], "doc_id long, slug string")).first()
+    assert t.token_count == 30 and t.token_sample == [str(i) for i in range(20)] and t.slug == "slug"
+    names = spark.createDataFrame([("serialNumber",), ("otherField",)], "n string").select(name_patterns(F.col("n")).alias("p")).collect()
+    assert names[0].p == ["serialNumber", "serial Number", "serialNumber", "serial", "serial no", "s/n", "sn"] and names[1].p == ["otherField", "other Field", "otherField"]
