@@ -1,4 +1,7 @@
-"""``python -m sheetlens.cli list`` and ``python -m sheetlens.cli run QUERY DATA_DIR [OUT] [--format parquet|csv|json]``."""
+"""``python -m sheetlens.cli list``, ``run QUERY DATA_DIR [OUT] [--format parquet|csv|json]`` and ``gate NAME DATA_DIR [OUT]``.
+
+A gate runs a query, writes what breaks it where OUT is given, and ends with 1 if anything does.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,17 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+#: Gates: the query, and which of its rows break the gate.
+GATES = {
+    "parity": ("parity_violations", "true"), "baseline": ("baseline_comparison", "status = 'regressed'"), "drift": ("drift_alerts", "severity = 'critical'"),
+    "fixtures": ("fixture_matrix", "required_failed > 0"), "personal-data": ("personal_data_scan", "true"), "determinism": ("determinism_check", "true"),
+    "transitions": ("invalid_transitions", "true")}
+
+
+def broken(df, test: str):
+    """The rows that break a gate."""
+    return df.filter(test)
+
 
 def main(argv: list[str] | None = None) -> int:
     from .plans.catalogue import QUERIES
@@ -15,20 +29,27 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("list", help="names of all queries")
     run = sub.add_parser("run", help="run a query over a folder of tables")
     run.add_argument("query", choices=sorted(QUERIES))
-    run.add_argument("data")
-    run.add_argument("out", nargs="?")
-    run.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
+    gate = sub.add_parser("gate", help="run a query whose rows must keep a test; ends with 1 if they don't")
+    gate.add_argument("query", choices=sorted(GATES))
+    for p in (run, gate):
+        p.add_argument("data")
+        p.add_argument("out", nargs="?")
+        p.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     args = parser.parse_args(argv)
     if args.job == "list":
         print("\n".join(sorted(QUERIES)))
         return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    df = QUERIES[args.query](spark, args.data)
+    if args.job == "gate":
+        name, test = GATES[args.query]
+        df = broken(QUERIES[name](spark, args.data), test)
+    else:
+        df = QUERIES[args.query](spark, args.data)
     if args.out:
         df.write.mode("overwrite").format(args.format).save(args.out)
     else:
         df.show(50, truncate=False)
-    return 0
+    return 0 if args.job == "run" else int(not df.isEmpty())
 
 
 if __name__ == "__main__":

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import redact_export
+
 FIELD = "ruleId STRING, field STRING, status STRING, value STRING, confidence DOUBLE, pageNumber INT, severity STRING, reasonCode STRING, message STRING"
 GOLDEN = f"""version STRING, schemaVersion STRING, documents ARRAY<STRUCT<id STRING, name STRING, expectedResult STRING,
  validatedFields ARRAY<STRUCT<{FIELD.replace(' STRING', ': STRING').replace(' DOUBLE', ': DOUBLE').replace(' INT', ': INT')}>>,
@@ -80,8 +82,44 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').mode("overwrite").csv(path)
 
 
-def bundle(audits: DataFrame, fields: DataFrame, findings: DataFrame, key: str) -> DataFrame:
-    """One nested document per audit, with its fields and findings in order."""
+def redacted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with personal data hidden in free-text columns; nulls become empty."""
+    return df.withColumns({c: redact_export(F.col(c)) for c in columns})
+
+
+def export_csv(df: DataFrame, path: str, headers: Mapping[str, str], free_text: Sequence[str], redact: bool = True) -> None:
+    """Columns under their headers, in that order, as quoted text; personal data is hidden unless asked otherwise."""
+    out = redacted(df, free_text) if redact else df
+    write_csv(out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(h) for c, h in headers.items()]), path)
+
+
+def markdown(report: DataFrame, title: str) -> str:
+    """A one-row report of counts as a table for people."""
+    row = report.first()
+    lines = [f"# {title}", "", "| Metric | Value |", "|-|-|"] + [f"| {n.replace('_', ' ')} | {row[n]} |" for n in report.columns]
+    return "\n".join(lines) + "\n"
+
+
+def save_report(report: DataFrame, folder: str, run_id: str) -> str:
+    """A report's rows as JSON under its run; runs are kept side by side."""
+    path = f"{folder}/run_id={run_id}"
+    report.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def latest_report(spark: SparkSession, folder: str, schema: str, before: str | None = None) -> DataFrame:
+    """The rows of the last run, or of the last one before a run, by the order of run ids."""
+    runs = spark.read.schema(f"{schema}, run_id STRING").json(folder)
+    runs = runs.filter(F.col("run_id") < before) if before else runs
+    last = runs.agg(F.max("run_id").alias("run_id"))
+    return runs.join(F.broadcast(last), "run_id").drop("run_id")
+
+
+def bundle(audits: DataFrame, fields: DataFrame, findings: DataFrame, key: str, free_text: Sequence[str] = (), redact: bool = True) -> DataFrame:
+    """One nested document per audit, with its fields and findings in order; personal data in ``free_text`` is hidden unless asked otherwise."""
+    if redact and free_text:
+        fields, findings = (redacted(d, [c for c in free_text if c in d.columns]) for d in (fields, findings))
+
     def nested(df, name):
         rest = [c for c in df.columns if c != key]
         return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))

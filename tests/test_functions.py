@@ -261,3 +261,41 @@ def test_evaluation_helpers(spark):
     assert t.token_count == 30 and t.token_sample == [str(i) for i in range(20)] and t.slug == "slug"
     names = spark.createDataFrame([("serialNumber",), ("otherField",)], "n string").select(name_patterns(F.col("n")).alias("p")).collect()
     assert names[0].p == ["serialNumber", "serial Number", "serialNumber", "serial", "serial no", "s/n", "sn"] and names[1].p == ["otherField", "other Field", "otherField"]
+
+
+def test_gates_end_with_one_where_rows_break_them(spark, tmp_path, capsys):
+    from sheetlens import cli
+
+    sf = "/root/testdata/sf0.001"
+    assert cli.main(["gate", "parity", sf, str(tmp_path / "v"), "--format", "json"]) == 1
+    assert {r.violation for r in spark.read.json(str(tmp_path / "v")).collect()} >= {"worse fields"}
+    from sheetlens.plans.catalogue import QUERIES
+
+    want = int(QUERIES["drift_alerts"](spark, sf).filter("severity = 'critical'").count() > 0)
+    assert cli.main(["gate", "drift", sf]) == want
+    assert cli.main(["run", "registry_counts", sf]) == 0 and cli.main(["list"]) == 0
+    assert cli.broken(spark.range(3), "id > 5").isEmpty() and all(n in QUERIES for n, _ in cli.GATES.values())
+    capsys.readouterr()
+
+
+def test_exports_hide_personal_data_by_default(spark, tmp_path):
+    df = spark.createDataFrame([("R1", 'say "hi" to a@b.org', None), ("R2", "call 020-555-1234", "x")], "rule_id string, message string, value string")
+    files.export_csv(df, str(tmp_path / "a"), {"rule_id": "Rule ID", "message": "Message", "value": "Value"}, ["message"])
+    raw = "".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*")))
+    assert '"Rule ID","Message","Value"' in raw and '"R1","say ""hi"" to [REDACTED]",""' in raw and '"call [REDACTED]"' in raw
+    files.export_csv(df, str(tmp_path / "b"), {"message": "Message"}, ["message"], redact=False)
+    assert "a@b.org" in "".join(p.read_text() for p in (tmp_path / "b").glob("part-*"))
+    audits = spark.createDataFrame([(1, "ok")], "id long, result string")
+    f = spark.createDataFrame([(1, 2, "to a@b.org"), (1, 1, "z")], "id long, n int, message string")
+    got = files.bundle(audits, f, f, "id", ["message"]).first()
+    assert [(x.n, x.message) for x in got.fields] == [(1, "z"), (2, "to [REDACTED]")] == [(x.n, x.message) for x in got.findings]
+
+
+def test_reports_are_kept_by_run(spark, tmp_path):
+    for run, n in (("2024-01-01", 1), ("2024-01-02", 2)):
+        files.save_report(spark.createDataFrame([(n, 0.5)], "documents long, rate double"), str(tmp_path), run)
+    kind = "documents LONG, rate DOUBLE"
+    assert files.latest_report(spark, str(tmp_path), kind).first().documents == 2
+    assert files.latest_report(spark, str(tmp_path), kind, before="2024-01-02").first().documents == 1
+    said = files.markdown(spark.createDataFrame([(2, 0.5)], "documents_same long, rate double"), "Parity")
+    assert said.startswith("# Parity") and "| documents same | 2 |" in said
