@@ -41,11 +41,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one of the smallest id.
 
     Rows are decided one by one, also where different texts share an id; of those with equal
-    ids the smallest text stays. Numbering rows in the order of (id, text) tells them apart.
+    ids the smallest text stays. Only where ids do repeat are rows numbered first, in the
+    order of (id, text), to tell them apart; that needs the documents sorted and written once.
     """
-    named = saved(docs.filter("doc_id IS NOT NULL").sort("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
-    gone = minhash.near_duplicates(named, key="_row").filter(~F.col("kept")).select("_row")
-    left = named.join(gone, "_row", "left_anti").drop("_row").dropDuplicates(["doc_id", "text"])
+    named = docs.filter("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = minhash.near_duplicates(named).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+        left = named.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    else:
+        rows = saved(named.sort("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+        gone = minhash.near_duplicates(rows, key="_row").filter(~F.col("kept")).select("_row")
+        left = rows.join(gone, "_row", "left_anti").drop("_row").dropDuplicates(["doc_id", "text"])
     return left.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
