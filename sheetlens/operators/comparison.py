@@ -134,7 +134,7 @@ def fuse(ocr_present: Column, ocr_conf: Column, qa_present: Column, qa_conf: Col
 
 def calibrate(fields: DataFrame, profile: DataFrame) -> DataFrame:
     """Confidence less 20 for a method that isn't allowed, 30 for a value off its pattern, 15 for a critical field off its region; accepted, to review, or neither."""
-    j = fields.join(F.broadcast(profile), "field_id")
+    j = fields.join(profile, "field_id")
     cut = lambda c, cond, n: F.when(cond, F.greatest(F.lit(0.0), c - n)).otherwise(c)
     c = cut(F.col("confidence"), ~F.array_contains("allowed_methods", F.col("source")), 20)
     c = cut(c, F.coalesce(F.col("pattern").isNotNull() & (F.col("value") != "") & ~F.regexp_like(F.col("value"), F.col("pattern")), F.lit(False)), 30)
@@ -176,15 +176,17 @@ def register_validator(name: str, predicate: Callable[[Column, Column], Column])
     VALIDATORS[name] = predicate
 
 
-def validate_rules(rules: DataFrame, fields: DataFrame) -> DataFrame:
+def validate_rules(rules: DataFrame, fields: DataFrame, most_rules: int = 10_000) -> DataFrame:
     """The status of each rule on each document: passed, failed, skipped or error.
 
     ``rules(rule_id, field, type, pattern, min, max, validator, enabled, severity)`` is a
     small dimension; ``fields(doc_id, field, value)``. Rules meet every document: they are
-    exploded from one broadcast row, and fields join on document and field.
+    exploded from one broadcast row, and fields join on document and field. More than
+    ``most_rules`` rules, which that row is not meant for, are an error.
     """
     cols = ["rule_id", "field", "type", "pattern", "min", "max", "validator", "enabled", "severity"]
-    packed = rules.agg(F.collect_list(F.struct(*cols)).alias("_rules"))
+    packed = rules.limit(most_rules + 1).agg(F.collect_list(F.struct(*cols)).alias("_rules")).select(
+        F.when(F.size("_rules") > most_rules, F.raise_error(F.lit(f"more than {most_rules} rules"))).otherwise(F.col("_rules")).alias("_rules"))
     every = fields.select("doc_id").distinct().crossJoin(F.broadcast(packed)).select("doc_id", F.explode("_rules").alias("r")).select("doc_id", "r.*")
     j = every.join(fields.select("doc_id", "field", "value"), ["doc_id", "field"], "left")
     v, number = F.col("value"), F.col("value").try_cast("double")
@@ -219,7 +221,11 @@ def reconcile(original: DataFrame, again: DataFrame, key: Sequence[str]) -> Data
                                                       F.when(better, "improved").when(F.col("success"), "unchanged").when(F.col("success").isNull(), "kept").otherwise("failed").alias("outcome"))
 
 
-def escalate(confidence: Column, text: Column, urgent: Column, pattern: str = r"(?i)\b(?:safety|hazard|incident)\b", least: float = 0.70) -> Column:
+# What a report that someone must read holds.
+URGENT = r"(?i)\b(?:safety|hazard|incident)\b"
+
+
+def escalate(confidence: Column, text: Column, urgent: Column, pattern: str = URGENT, least: float = 0.70) -> Column:
     return F.when(urgent, "urgent").when(text.rlike(pattern), "pattern").when(confidence < least, "low_confidence").otherwise("none")
 
 

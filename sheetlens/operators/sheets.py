@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import js_regex, lookup, parse_date, ratio, round_half_up, search_date
+from .documents import classify
 
 
 @dataclass(frozen=True)
@@ -382,6 +383,32 @@ def review_queue(validated: DataFrame, fields: Sequence[Field] = FIELDS, key: st
     return validated.select(key, F.explode(F.array_compact(F.transform("checks", item))).alias("q")).select(key, "q.*")
 
 
+# Marks of kinds of sheets, the first that a text holds counts.
+KINDS = (
+    ("thorough examination report", "LOLER_COMPLIANCE"), ("loler", "LOLER_COMPLIANCE"), ("compliance report", "COMPLIANCE_REPORT"), ("compliance test", "COMPLIANCE_REPORT"),
+    ("repair report", "REPAIR_REPORT"), ("repair duration", "REPAIR_REPORT"), ("service report", "SERVICE_REPORT"), ("service detail", "SERVICE_REPORT"))
+
+
+def audit(docs: DataFrame, fields: Sequence[Field] = FIELDS, waived: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, kind, overall, score, findings, queued, status): a sheet's text to its result, in one pass.
+
+    WAIVED where critical checks fail and ``waived`` holds for the document, else FAIL with a
+    critical issue, REVIEW_QUEUE with anything to look at, and PASS.
+    """
+    v = validate_wide(extract_wide(docs, fields, True, key, text), fields, key)
+    gold = gold_standard(v, key).select(key, "score", "critical_issues")
+    overall = overall_confidence(v, fields, key).select(key, "overall")
+    evidence = F.create_map(*[x for f in fields for x in (F.lit(f.id), F.col(f.id)["level"])])
+    bad = F.filter("checks", lambda c: ~c["valid"])
+    queued = F.filter("checks", lambda c: evidence[c["field"]].isin("LOW", "MEDIUM") | (~c["valid"] & c["severity"].isin("S2", "S3")))
+    n = v.select(key, (F.size(bad) + F.size(F.filter("rules", lambda r: ~r["passed"]))).alias("findings"), F.size(queued).alias("queued"),
+                 F.exists(bad, lambda c: c["severity"].isin("S0", "S1")).alias("_critical"))
+    kinds = docs.select(key, classify(F.coalesce(F.col(text), F.lit("")), KINDS).alias("kind"), (F.lit(False) if waived is None else waived).alias("_waived"))
+    j = kinds.join(n, key).join(gold, key).join(overall, key)
+    status = F.when(F.col("_critical") & F.col("_waived"), "WAIVED").when(F.col("critical_issues") > 0, "FAIL").when(F.col("queued") > 0, "REVIEW_QUEUE").otherwise("PASS")
+    return j.select(key, "kind", "overall", "score", "findings", "queued", status.alias("status"))
+
+
 # --- status -------------------------------------------------------------------------------
 
 

@@ -222,6 +222,26 @@ def _(v):
     return T.review_queue(T.validate_wide(wide(v))).withColumn("confidence", S.r6(F.col("confidence")))
 
 
+_KIND = "CASE " + " ".join(f"WHEN contains(lower(text), '{m}') THEN '{n}'" for m, n in T.KINDS) + " ELSE 'UNKNOWN' END"
+
+
+@query("sheet_kinds", f"SELECT doc_id, {_KIND} AS kind FROM sheets", "sheets")
+def _(v):
+    return v.sheets.select("doc_id", T.classify(F.col("text"), T.KINDS).alias("kind"))
+
+
+@query("sheet_audits", f"""{CHECKED}, a AS (SELECT doc_id, count(*) FILTER (NOT valid) AS bad, count(*) FILTER (level IN ('LOW', 'MEDIUM') OR (NOT valid AND severity IN ('S2', 'S3'))) AS queued,
+ bool_or(NOT valid AND severity IN ('S0', 'S1')) AS crit, count(*) FILTER (NOT valid AND NOT present AND severity = 'S0') + count(*) FILTER (NOT valid AND present AND severity IN ('S0', 'S1')) AS grave,
+ count(*) FILTER (valid) / count(*)::DOUBLE * 60 + count(*) FILTER (required AND present) / (count(*) FILTER (required))::DOUBLE * 30 AS part,
+ floor((sum(confidence) FILTER (required AND raw IS NOT NULL) / greatest(1, count(*) FILTER (required AND raw IS NOT NULL)) * 0.6::DOUBLE
+ + count(*) FILTER (required AND raw IS NOT NULL) / (count(*) FILTER (required))::DOUBLE * 0.4::DOUBLE) * 100 + 0.5) / 100 AS overall FROM chk GROUP BY 1)
+ SELECT s.doc_id, {_KIND} AS kind, overall, CAST(floor(part + (5 - b1::INT - b2::INT - b3::INT - b5::INT) / 5::DOUBLE * 10 + 0.5) AS BIGINT) AS score, bad + b1::INT + b2::INT + b3::INT + b5::INT AS findings, queued,
+ CASE WHEN crit AND s.doc_id % 10 = 0 THEN 'WAIVED' WHEN grave + b1::INT + b3::INT > 0 THEN 'FAIL' WHEN queued > 0 THEN 'REVIEW_QUEUE' ELSE 'PASS' END AS status
+ FROM sheets s JOIN a ON a.doc_id = s.doc_id JOIN rul ON rul.doc_id = s.doc_id""", "sheets")
+def _(v):
+    return T.audit(v.sheets, waived=F.col("doc_id") % 10 == 0)
+
+
 STATUS = f"""{EXTRACTED}, g AS (SELECT doc_id, count(*) FILTER (value <> '') AS found, count(*) FILTER (required) AS need, count(*) FILTER (required AND value <> '') AS got, count(*) FILTER (NOT required) AS opt,
  count(*) FILTER (NOT required AND value <> '') AS extra, avg(confidence * 100) FILTER (confidence > 0) AS c, count(*) FILTER (confidence > 0 AND confidence * 100 < 70) AS low FROM fields WHERE field <> 'technician_signature' GROUP BY 1),
  q AS (SELECT *, got / need::DOUBLE * 100 * 0.7::DOUBLE + extra / opt::DOUBLE * 100 * 0.3::DOUBLE AS quality FROM g),
