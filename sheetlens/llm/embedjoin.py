@@ -68,6 +68,11 @@ def linked(home: np.ndarray, other: np.ndarray, least: float, strip: int = 1024)
     return out
 
 
+def _weighted(links: np.ndarray, copies: np.ndarray, strip: int = 256) -> np.ndarray:
+    """The copies that each row links with, summed in strips, as the sum of booleans would widen the whole matrix."""
+    return np.concatenate([links[s : s + strip] @ copies for s in range(0, len(links), strip)])
+
+
 def forest(links: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
     """Links that join what ``links`` joins, one for each member of a component but its first."""
     out, free_row, free_col = [], links.any(1), links.any(0)
@@ -86,7 +91,7 @@ def forest(links: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[
     return out
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 4096, per_cell: int = 4096, most_pivots: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 8192, per_cell: int = 8192, most_pivots: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors(vec_id, embedding)``.
 
     Links are the pairs of rows with cosine >= ``least`` in double precision. Vectors that are
@@ -143,7 +148,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = 4096,
         if own.any() and not own.all():
             unit = _as_unit(table["raw"].to_pylist(), double)
             links = linked(unit[own], unit[~own], least)
-            n_links = links @ copies[~own]
+            n_links = _weighted(links, copies[~own])
             some = np.flatnonzero(n_links)
             src, dst, count = ids[own][some].tolist(), [None] * len(some), n_links[some].tolist()
             for a, b in forest(links, ids[own], ids[~own]):
