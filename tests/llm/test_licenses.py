@@ -64,3 +64,59 @@ def test_absent_words_count_in_the_coverage():
     assert find("a b") == [] and find("a b c d e") == []
     (label, share, at), = find("z a b c d e f g")
     assert label == "x" and abs(share - 0.7) < 1e-6 and at == 1
+
+
+def brute_labels(index, text):
+    """The method's labels and score, by trying every place of every template."""
+    words = licenses.words_of(text)
+    labels, best_share = set(), 0.0
+    for t, (label, body, phrases) in enumerate(licenses.TEMPLATES):
+        own = licenses.words_of(body)
+        chosen = sorted(set(own), key=lambda w: (-index.idf.get(w, 0.0), w))[: index.top]
+        idf = {q: index.idf.get(w, 0.0) + 1e-9 for q, w in enumerate(own) if w in chosen}
+        share = 0.0
+        for start in range(-len(own), len(words) + 1):
+            exact = any(0 <= start + q < len(words) and words[start + q] == own[q] for q in idf)
+            if not exact:
+                continue
+            there = [q for q in idf if any(0 <= start + q + d < len(words) and words[start + q + d] == own[q] for d in range(-index.slack, index.slack + 1))]
+            got = sum(idf[q] for q in there) / sum(idf.values())
+            window = words[max(0, start - index.slack) : start + len(own) + 2 * index.slack]
+            keys = [licenses.words_of(p) for p in phrases]
+            if got >= index.coverage and all(any(window[i : i + len(k)] == k for i in range(len(window))) for k in keys):
+                share = max(share, got)
+        if share:
+            labels.add(label)
+            best_share = max(best_share, min(1.0, share))
+    return labels, best_share
+
+
+def test_labels_and_score_equal_every_place_of_every_template(spark):
+    import random
+
+    rng = random.Random(6)
+    filler = "the of and software license this under work terms copy source public".split()
+    rows = []
+    for n in range(60):
+        words = [rng.choice(filler) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            notice = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):  # words lost, changed or put between
+                i = rng.randrange(len(notice))
+                notice[i : i + 1] = rng.choice([[], ["other"], [notice[i], "new"]])
+                notice = notice or ["x"]
+            at = rng.randint(0, len(words))
+            words[at:at] = notice
+        rows.append((n, " ".join(words), None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    index = licenses.build_index(docs)
+    found = 0
+    for r in licenses.scan(docs, index).collect():
+        text = rows[r.doc_id][1]
+        labels, share = brute_labels(index, text)
+        base = set(filter(None, brute(text)[4].split(",")))
+        assert set(filter(None, r.labels.split(","))) == labels | base, text
+        if not base:
+            assert abs(r.score - share) < 1e-6, text
+        found += len(labels)
+    assert found > 20
