@@ -210,7 +210,8 @@ def validation_summary(results: DataFrame) -> DataFrame:
     """Counts per document; it passes without a failed or broken rule of severity critical or major."""
     bad = F.col("status").isin("failed", "error")
     return results.groupBy("doc_id").agg(
-        F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(bad).alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"), (F.count_if(bad & F.col("severity").isin("critical", "major")) == 0).alias("ok"))
+        F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(bad).alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"),
+        *[F.count_if(bad & (F.col("severity") == s)).alias(f"failed_{s}") for s in ("critical", "major", "minor", "info")], (F.count_if(bad & F.col("severity").isin("critical", "major")) == 0).alias("ok"))
 
 
 def reconcile(original: DataFrame, again: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries of the reference's own operators; importing this registers them."""
 
-from . import comparison, relational, reports, review, sheets, text_queries  # noqa: F401
+from . import comparison, relational, reports, review, sheets, templates, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

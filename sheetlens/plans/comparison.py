@@ -236,7 +236,10 @@ def _(v):
     return validated(v)
 
 
-@query("validation_summary", f"{RULE_SQL} SELECT doc_id, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status IN ('failed', 'error')) AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status IN ('failed', 'error') AND severity IN ('critical', 'major')) = 0 AS ok FROM v GROUP BY 1")
+_FAILED = ", ".join(f"count(*) FILTER (status IN ('failed', 'error') AND severity = '{x}') AS failed_{x}" for x in ("critical", "major", "minor", "info"))
+
+
+@query("validation_summary", f"{RULE_SQL} SELECT doc_id, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status IN ('failed', 'error')) AS failed, count(*) FILTER (status = 'skipped') AS skipped, {_FAILED}, count(*) FILTER (status IN ('failed', 'error') AND severity IN ('critical', 'major')) = 0 AS ok FROM v GROUP BY 1")
 def _(v):
     return C.validation_summary(validated(v))
 
