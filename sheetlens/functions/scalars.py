@@ -126,11 +126,16 @@ REDACTION_HINTS = {
     "credit_card": r"\d{4}[-.\s]?\d{4}", "ip_address": r"\d\.\d{1,3}\.\d", "dob": r"\d[-/.][01]?\d[-/.](?:19|20)\d{2}", "bank_account": r"\d{8}", "titled_name": r"(?:Mrs?|Ms|Miss|Dr|Prof)\.?\s+[A-Z]"}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used; it also keeps large expressions out of generated code."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def where_hinted(text: Column, hint: str | None, change: Callable[[Column], Column]) -> Column:
     """``change(text)`` where the text matches ``hint``, else the text; ``text`` is evaluated once."""
     if hint is None:
         return change(text)
-    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike(hint), change(t)).otherwise(t)), 0)
+    return let(text, lambda t: F.when(t.rlike(hint), change(t)).otherwise(t))
 
 
 def redact(text: Column, rules: Sequence[tuple[str, str, str]] = REDACTIONS) -> Column:

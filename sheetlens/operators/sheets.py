@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import js_regex, lookup, parse_date, ratio, round_half_up, search_date
+from ..functions.scalars import js_regex, let, lookup, parse_date, ratio, round_half_up, search_date
 from .documents import classify
 
 
@@ -97,10 +97,36 @@ def with_groups(patterns: Sequence[str]) -> list[str]:
     return [p for p in patterns if re.compile(p).groups]
 
 
-def first_group(text: Column, patterns: Sequence[str]) -> Column:
-    """The first pattern's first group that isn't empty, case ignored; null if there is none."""
-    found = [F.nullif(F.regexp_extract(text, "(?i)" + js_regex(p), 1), F.lit("")) for p in with_groups(patterns)]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+def heads(pattern: str) -> list[str]:
+    """The literals, in lower case, one of which a match must begin with but for optional groups; none if that can't be told."""
+    rest = re.sub(r"^(?:\(\?:[^()]*\)\?)+", "", pattern)
+    out = []
+    for part in rest[3 : rest.index(")")].split("|") if rest.startswith("(?:") else [rest]:
+        word = re.match("[A-Za-z/]*", part)[0]
+        if part[len(word) : len(word) + 1] in ("?", "*"):
+            word = word[:-1]
+        if len(word) < 2:
+            return []
+        out.append(word.lower())
+    return out
+
+
+def first_group(text: Column, patterns: Sequence[str], low: Column | None = None) -> Column:
+    """The first pattern's first group that isn't empty, case ignored; null if there is none.
+
+    ``low`` is the text in lower case, of the same length, or null: a pattern then starts
+    where its first literal stands, and isn't tried where none does.
+    """
+    def one(p: str) -> Column:
+        extract = lambda t: let(F.regexp_extract(t, "(?i)" + js_regex(p), 1), lambda x: F.when(x != "", x))
+        words = heads(p) if low is not None else []
+        if not words:
+            return extract(text)
+        places = [let(F.locate(w, low), lambda n: F.when(n > 0, n)) for w in words]
+        first = F.least(*places) if len(places) > 1 else places[0]
+        return F.when(low.isNull(), extract(text)).otherwise(let(first, lambda n: F.when(n.isNotNull(), extract(F.substring(text, n, F.length(text))))))
+
+    return F.coalesce(*map(one, with_groups(patterns)), F.lit(None).cast("string"))
 
 
 def _value(raw: Column, f: Field) -> Column:
@@ -130,23 +156,23 @@ def extract_wide(docs: DataFrame, fields: Sequence[Field] = FIELDS, embedded: bo
     ``error`` is ``required`` for a missing required field, ``allowed`` for a value outside
     the allowed ones.
     """
-    wide = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
-    raws = {f"_{f.id}": trimmed(first_group(F.col("_t"), f.patterns)) for f in fields}
-    wide = wide.select("*", *[c.alias(n) for n, c in raws.items()])
-
-    def one(f: Field) -> Column:
-        raw = F.col(f"_{f.id}")
-        value = _value(raw, f)
-        label = reduce(lambda a, n: a | F.col("_low").contains(n.lower()), f.labels, F.lit(False))
-        conf = F.least(F.lit(MOST), F.lit(BASE) + F.when(label, LABEL).otherwise(0.0) + (EMBEDDED if embedded else 0.0))
-        known = F.lower(raw).isin(*[a.lower() for a in f.allowed]) if f.allowed else F.lit(True)
-        conf = F.least(F.lit(1.0), conf + F.when(known, ALLOWED).otherwise(0.0)) if f.allowed else conf
-        conf = F.when(raw.isNotNull(), conf).otherwise(0.0)
-        missing = F.when(raw.isNull(), "required") if f.required else F.lit(None).cast("string")
-        return F.struct(value.alias("value"), raw.alias("raw"), conf.alias("confidence"), confidence_level(conf).alias("level"),
-                        F.coalesce(missing, F.when(raw.isNotNull() & ~known, "allowed")).alias("error"))
-
-    return wide.select(key, *[one(f).alias(f.id) for f in fields])
+    def one(f: Field, doc: Column) -> Column:
+        label = reduce(lambda a, n: a | doc["lower"].contains(n.lower()), f.labels, F.lit(False))
+
+        def found(raw: Column) -> Column:
+            conf = F.least(F.lit(MOST), F.lit(BASE) + F.when(label, LABEL).otherwise(0.0) + (EMBEDDED if embedded else 0.0))
+            known = F.lower(raw).isin(*[a.lower() for a in f.allowed]) if f.allowed else F.lit(True)
+            conf = F.least(F.lit(1.0), conf + F.when(known, ALLOWED).otherwise(0.0)) if f.allowed else conf
+            missing = F.when(raw.isNull(), "required") if f.required else F.lit(None).cast("string")
+            return let(F.when(raw.isNotNull(), conf).otherwise(0.0), lambda c: F.struct(
+                _value(raw, f).alias("value"), raw.alias("raw"), c.alias("confidence"), confidence_level(c).alias("level"),
+                F.coalesce(missing, F.when(raw.isNotNull() & ~known, "allowed")).alias("error")))
+
+        return let(trimmed(first_group(doc["text"], f.patterns, doc["low"])), found)
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    doc = F.struct(t.alias("text"), F.lower(t).alias("lower"), F.when(F.length(F.lower(t)) == F.length(t), F.lower(t)).alias("low"))
+    return docs.select(key, let(doc, lambda d: F.struct(*[one(f, d).alias(f.id) for f in fields])).alias("_x")).select(key, "_x.*")
 
 
 def long_form(wide: DataFrame, fields: Sequence[Field] = FIELDS, key: str = "doc_id") -> DataFrame:

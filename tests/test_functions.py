@@ -299,3 +299,18 @@ def test_reports_are_kept_by_run(spark, tmp_path):
     assert files.latest_report(spark, str(tmp_path), kind, before="2024-01-02").first().documents == 1
     said = files.markdown(spark.createDataFrame([(2, 0.5)], "documents_same long, rate double"), "Parity")
     assert said.startswith("# Parity") and "| documents same | 2 |" in said
+
+
+def test_patterns_that_start_at_their_literal_find_the_same(spark):
+    import random
+
+    from sheetlens.operators import sheets as T
+
+    assert T.heads(r"(?:Were\s*)?(?:all\s*)?works?\s*x") == ["work"] and T.heads("(?:Make|Manufacturer)[:]") == ["make", "manufacturer"] and T.heads(r"S/N[:\s]*(x)") == ["s/n"] and T.heads(r"\d+") == []
+    rng = random.Random(3)
+    words = ["Asset", "No:", "AS-1", "asset", "Hours", "12.5", "Mileage", "Job", "77", "Make", "/", "Model", "x", "İ", "all works", "completed:", "Yes", "Return visit required?", "no", "S/N", "q9", "\n", "Date:", "1/2/24", "é"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, t string").withColumn("low", F.expr("CASE WHEN length(lower(t)) = length(t) THEN lower(t) END"))
+    pairs = [F.struct(T.first_group(F.col("t"), f.patterns).alias("a"), T.first_group(F.col("t"), f.patterns, F.col("low")).alias("b")).alias(f.id) for f in T.FIELDS]
+    for r in df.select(*pairs).collect():
+        assert all(x.a == x.b for x in r)
