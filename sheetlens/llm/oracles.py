@@ -47,4 +47,35 @@ CHATS = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(size) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op2_url_filter": URLS, "op6_embedding_dedup": VECTORS, "op9_chat_format": CHATS}
+COPIES = f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents),
+ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t"""
+
+_H = [f"CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT)" for i in range(4)]
+#: Outputs are arranged from the cuts; what is restored from them must be the text.
+MIDDLES = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ c AS (SELECT doc_id, t, n, least({_H[0]} % (n + 1), {_H[1]} % (n + 1)) AS a, greatest({_H[0]} % (n + 1), {_H[1]} % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_H[2]} % 100 >= 90 THEN 'plain' WHEN {_H[3]} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+#: crc32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split(x::VARCHAR, ''), lambda q: ascii(q)::BIGINT), lambda c, b: list_reduce(range(8), lambda k, u: xor(k >> 1, 3988292384 * (k & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+#: A node is the list of turns up to it; nodes of a smallest member's path are the ancestors.
+TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, h.h FROM (SELECT DISTINCT conv_id, conv_id AS x, ({_CRC}) % 4 AS h FROM t) h),
+ r AS (SELECT c.conv_id, t.d, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.d <= c.h UNION ALL SELECT c.conv_id, t.d, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.d > c.h),
+ o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY d) AS d, role, text FROM r),
+ p AS (SELECT conv_id, d, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY d) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM o UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+ e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS at_end FROM p),
+ n AS (SELECT d AS depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256 FROM e GROUP BY 1, 2),
+ m AS (SELECT e.conv_id AS member, e.d, n.conv_id FROM e JOIN n ON e.d = n.depth AND e.k = n.k),
+ q AS (SELECT n.*, u.conv_id AS parent_conv_id FROM n LEFT JOIN m u ON u.member = n.conv_id AND u.d = n.depth - 1),
+ ch AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS c FROM q WHERE depth > 0 GROUP BY 1, 2),
+ l AS (SELECT q.conv_id, q.depth, (ch.c IS NULL)::INT AS leaf, (q.n_convs - 1) * q.w AS saved FROM q LEFT JOIN ch USING (conv_id, depth)),
+ s AS (SELECT m.conv_id, m.d AS depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM l JOIN m ON m.member = l.conv_id AND m.d <= l.depth GROUP BY 1, 2)
+ SELECT q.conv_id, q.depth, parent_conv_id, n_convs, coalesce(ch.c, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+ FROM q JOIN s USING (conv_id, depth) LEFT JOIN ch USING (conv_id, depth)"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": URLS, "op6_embedding_dedup": VECTORS, "op9_chat_format": CHATS, "op11_exact_dedup": COPIES, "op12_fill_in_middle": MIDDLES, "op13_prefix_trie": TRIE}

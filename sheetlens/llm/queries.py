@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, embedjoin, langid, licenses, matroska, minhash, packing, pieces, toxicity, urlgraph
+from . import chatformat, embedjoin, exactdedup, fim, langid, licenses, matroska, minhash, packing, pieces, prefixtrie, toxicity, urlgraph
 from .oracles import ORACLES  # noqa: F401
 from .text import holdout, read
 
@@ -68,6 +68,18 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(read(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(read(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(read(spark, sf_dir, "conversations")).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -79,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_matroska": op8_matroska,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
