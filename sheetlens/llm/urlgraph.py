@@ -4,7 +4,8 @@ Hosts are nodes; a page's links to other hosts are edges, weighted by the pages
 them. Trust starts at hosts in proportion to the share of their pages that rules allow and
 follows links (personalised PageRank); distrust starts at hosts in proportion to the share
 of pages that rules block and follows links backwards. A host is blocked where distrust
-makes up the threshold share of both.
+makes up the threshold share of both, each taken as a share of all mass of its kind: what is
+lost at hosts without links differs by kind and must not decide between them.
 """
 
 from __future__ import annotations
@@ -106,7 +107,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
 
     verdict is the longest rule's, else ``block`` where the host's distrust share reaches
     ``threshold``, else ``allow``; hosts that no mass reaches, and urls without a host, have
-    distrust 0. Null and repeated rows are judged like any others.
+    distrust 0. Null and repeated rows are judged like any others; an empty table gives no
+    row. Other columns of ``pages`` aren't read, whatever their names.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
@@ -118,7 +120,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
     edges = saved(host_edges(parsed))
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    scores = propagate(both, seeds).groupBy("host").agg(
+    reached = saved(propagate(both, seeds))
+    shared = reached.join(F.broadcast(reached.groupBy("kind").agg(F.sum("score").alias("_all"))), "kind").withColumn("score", F.col("score") / F.col("_all"))  # two kinds, two rows
+    scores = shared.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("_bad"), F.sum("score").alias("_both"))
     hosts = scores.select("host", F.when(F.col("_both") > 0, F.col("_bad") / F.col("_both")).otherwise(0.0).alias("_d"))
     share = F.coalesce(F.col("_d"), F.lit(0.0))

@@ -50,7 +50,7 @@ def brute(rows, rules, threshold, rounds=20, d=0.85):
         x = mass
         for _ in range(rounds):
             x = (1 - d) * mass + d * x @ w
-        score[kind] = x
+        score[kind] = x / max(x.sum(), 1e-300)
     out = []
     for pid, host, path, rule, verdict, _ in parsed:
         i = at.get(host)
@@ -100,3 +100,15 @@ def test_scores_solve_the_linear_system(spark):
     assert len(got) == n and np.allclose([got[f"h{i}"] for i in range(n)], want, rtol=1e-5, atol=0)
     with pytest.raises(RuntimeError):
         urlgraph.propagate(e, s, rounds=10)
+
+
+def test_mass_lost_at_hosts_without_links_does_not_decide(spark):
+    rows = [(1, "http://t.net/de/1", link("http://x.io/")), (2, "http://t.net/other", ""), (3, "http://b.org/es/1", link("http://x.io/")), (4, "http://x.io/", "")]
+    rules = (("allow", "net", "/de/"), ("block", "org", "/es/"))
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id: r for r in urlgraph.judge(pages, rules).collect()}
+    want = {r[0]: r for r in brute(rows, rules, 0.5, rounds=200)}
+    assert got[2].verdict == want[2][4] == "allow" and got[2].distrust < 0.5
+    assert np.allclose([got[i].distrust for i in got], [want[i][5] for i in got], atol=1e-4)
+    # x.io is linked alike by both, and reversed distrust doesn't flow to what a blocked host links to.
+    assert got[4].verdict == "allow" and got[3].verdict == "block"
