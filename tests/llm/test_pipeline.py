@@ -74,3 +74,16 @@ def test_columns_of_an_operators_names_stay_the_users(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         rows = docs.collect()
         assert rows and all((r.score, r.lang_pred, r.predicted, r.kept, r.class_id, r.id) == (None if r.doc_id is None else r.doc_id * 2.5, "mine", 7, "x", 3, 1) for r in rows), name
+
+
+def test_near_dedup_takes_any_names_of_further_columns(spark):
+    one, two = (" ".join(f"{n}{k}" for k in range(40)) for n in "ab")
+    rows = [(1, one), (2, one + " more"), (3, two)]
+    for more in ([], [(3, one + " again more words")]):  # without and with repeated ids
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + more], SCHEMA).selectExpr("*", "doc_id AS _gone", "doc_id * 3 AS _ROW", "'x' AS __row", "'y' AS _kept_score", "1 AS score")
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.near_dedup):
+            got = stage(spark, docs, "")
+            assert got.columns == docs.columns
+            left = got.collect()
+            assert left and all((r._gone, r["_ROW"], r["__row"], r["_kept_score"], r["score"]) == (r.doc_id, r.doc_id * 3, "x", "y", 1) for r in left)
+        assert {r.doc_id for r in left} == {1, 3}
