@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, grade, lookup, r6, ratio, round_half_up
@@ -26,28 +26,30 @@ def compare_fields(golden: DataFrame, actual: DataFrame) -> DataFrame:
     """Each rule of each document on either side: missing, new, same, improved or worse, and what changed.
 
     Documents that the actual side lacks have only missing rules; ones that the golden side
-    lacks are not compared.
+    lacks are not compared. ``document_found`` says whether the actual side has the document.
+    Both sides are joined in full by their rules, and a window over a document tells which
+    sides have it, so each side is read once.
     """
     key, cols = ["doc_id", "rule_id"], ["status", "value", "confidence", "severity", "reason_code"]
     g = golden.select(*key, *[F.col(c).alias(f"g_{c}") for c in cols], F.lit(True).alias("_g"))
-    a = actual.join(golden.select("doc_id").distinct(), "doc_id", "left_semi").select(*key, *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("_a"))
-    j = g.join(a, key, "full_outer")
+    a = actual.select(*key, *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("_a"))
+    document = Window.partitionBy("doc_id")
+    j = g.join(a, key, "full_outer").withColumns({"_known": F.bool_or("_g").over(document), "document_found": F.coalesce(F.bool_or("_a").over(document), F.lit(False))}).filter("_known")
     up = ((F.col("g_status") == "failed") & (F.col("a_status") == "passed")) | (F.col("a_confidence") > F.col("g_confidence"))
     down = ((F.col("g_status") == "passed") & (F.col("a_status") == "failed")) | (F.col("a_confidence") < F.col("g_confidence"))
     verdict = F.when(F.col("_a").isNull(), "missing").when(F.col("_g").isNull(), "new").when(up, "improved").when(down, "worse").otherwise("same")
     changed = [(~F.col(f"g_{c}").eqNullSafe(F.col(f"a_{c}")) & F.col("_g") & F.col("_a")).alias(f"{c}_changed") for c in ("status", "value", "severity", "reason_code")]
-    return j.select(*key, verdict.alias("verdict"), *[F.coalesce(c, F.lit(False)).alias(n) for c, n in zip(changed, ("status_changed", "value_changed", "severity_changed", "reason_code_changed"), strict=True)])
+    return j.select(*key, verdict.alias("verdict"), *[F.coalesce(c, F.lit(False)).alias(n) for c, n in zip(changed, ("status_changed", "value_changed", "severity_changed", "reason_code_changed"), strict=True)], "document_found")
 
 
 VERDICTS = ("same", "improved", "worse", "new", "missing")
 
 
-def compare_documents(fields: DataFrame, actual: DataFrame) -> DataFrame:
+def compare_documents(fields: DataFrame) -> DataFrame:
     """One verdict per golden document from its rules'."""
-    g = fields.groupBy("doc_id").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
-    there = actual.select("doc_id").distinct().withColumn("_there", F.lit(True))
-    status = F.when(F.col("_there").isNull(), "missing").when((F.col("worse") > 0) | (F.col("missing") > 0), "worse").when(F.col("improved") > 0, "improved").otherwise("same")
-    return g.join(there, "doc_id", "left").select("doc_id", *VERDICTS, status.alias("status"))
+    g = fields.groupBy("doc_id").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.bool_or("document_found").alias("_there"))
+    status = F.when(~F.col("_there"), "missing").when((F.col("worse") > 0) | (F.col("missing") > 0), "worse").when(F.col("improved") > 0, "improved").otherwise("same")
+    return g.select("doc_id", *VERDICTS, status.alias("status"))
 
 
 def parity_summary(documents: DataFrame) -> DataFrame:
@@ -64,12 +66,20 @@ def threshold_violations(summary: DataFrame, most_worse_documents: int = 0, most
 
 
 def compare_failures(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Expected failures matched or missed on rule, field and reason; unexpected ones on the weaker key of rule and field."""
-    strong, weak = ["doc_id", "rule_id", "field", "reason_code"], ["doc_id", "rule_id", "field"]
-    found = actual.filter("status = 'failed'").select(*weak, canonical_reason(F.coalesce("reason_code", F.lit("OUT_OF_POLICY"))).alias("reason_code"))
-    e = expected.select(*strong)
-    tag = lambda df, name: df.select(*weak, F.lit(name).alias("kind"))
-    return tag(e.join(found, strong, "left_semi"), "matched").unionByName(tag(e.join(found, strong, "left_anti"), "missed")).unionByName(tag(found.join(e, weak, "left_anti"), "unexpected"))
+    """Expected failures matched or missed on rule, field and reason; unexpected ones on the weaker key of rule and field.
+
+    Each side gives a row per key, the two are stacked, and windows over the weaker key, in
+    one shuffle, tell what stands on the other side; each side is read once. Repeated rows
+    of a side are rows of their own. Null parts of a key match nothing.
+    """
+    weak = ["doc_id", "rule_id", "field"]
+    found = actual.filter("status = 'failed'").select(*weak, canonical_reason(F.coalesce("reason_code", F.lit("OUT_OF_POLICY"))).alias("reason_code"), F.lit(False).alias("_e"))
+    both = expected.select(*weak, "reason_code", F.lit(True).alias("_e")).unionByName(found)
+    by_reason, by_field = Window.partitionBy(*weak, "reason_code"), Window.partitionBy(*weak)
+    whole = reduce(lambda a, c: a & F.col(c).isNotNull(), weak, F.lit(True))
+    seen = both.repartition(*weak).withColumns({"_f": F.bool_or(~F.col("_e")).over(by_reason) & whole & F.col("reason_code").isNotNull(), "_x": F.bool_or("_e").over(by_field) & whole})
+    kind = F.when(F.col("_e") & F.col("_f"), "matched").when(F.col("_e"), "missed").when(~F.col("_x"), "unexpected")
+    return seen.select(*weak, kind.alias("kind")).filter("kind IS NOT NULL")
 
 
 def baseline_gate(baseline: DataFrame, current: DataFrame, key: str, band: float = 0.1) -> DataFrame:

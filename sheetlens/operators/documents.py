@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import confidence_band, fuzzy_ratio, js_regex, round_half_up, tokens
+from ..functions.scalars import confidence_band, fuzzy_ratio, js_regex, let, round_half_up, tokens
 
 # Patterns that betray a poor scan.
 ARTIFACTS = (r"[|l1I]{3,}", r"[^A-Za-z0-9_\s]{4,}", r"\b[A-Z]{10,}\b", r"\?\?\?+", r"\.{4,}", r"_{4,}", r"[^\x20-\x7E]{3,}")
@@ -61,9 +61,12 @@ class Template:
     form_code: str | None = None
     weights: Mapping[str, float] = field(default_factory=dict)
 
-    def score(self, words: Column) -> Column:
-        """0 to 100 for a document's distinct words."""
-        has = lambda t: F.array_contains(words, t.lower())
+    def tokens(self) -> list[str]:
+        return [t.lower() for t in (*self.required_all, *self.required_any, *self.optional)]
+
+    def score(self, words: Column, known: Column | None = None) -> Column:
+        """0 to 100 for a document's distinct words; ``known`` are those of them that templates name, see ``known_words``."""
+        has = lambda t: F.array_contains(words if known is None else known, t.lower())
         gain = lambda ts, default: reduce(lambda a, t: a + F.when(has(t), float(self.weights.get(t, default))).otherwise(0.0), ts, F.lit(0.0))
         s = gain(self.required_all, 10)
         if self.required_all:
@@ -78,22 +81,46 @@ class Template:
         return F.least(F.lit(100.0), round_half_up(s / most * 100)) if most else F.lit(0.0)
 
 
+def known_words(words: Column, templates: Sequence[Template]) -> Column:
+    """The words that any template names: few, so that each template looks through few."""
+    every = sorted({w for t in templates for w in t.tokens()})
+    return F.array_intersect(words, F.array(*map(F.lit, every)) if every else F.array().cast("array<string>"))
+
+
+def _worded(docs: DataFrame, templates: Sequence[Template], key: str, text: str) -> DataFrame:
+    words = docs.select(key, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words"))
+    return words.withColumn("_known", known_words(F.col("_words"), templates))
+
+
 def template_scores(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, slug, score) of every document and template. The templates are a bounded list, so the scores are one array per row: no join."""
-    words = docs.select(key, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words"))
-    scores = F.array(*[F.struct(F.lit(t.slug).alias("slug"), t.score(F.col("_words")).alias("score")) for t in templates])
+    words = _worded(docs, templates, key, text)
+    scores = F.array(*[F.struct(F.lit(t.slug).alias("slug"), t.score(F.col("_words"), F.col("_known")).alias("score")) for t in templates])
     return words.select(key, F.explode(scores).alias("s")).select(key, "s.slug", "s.score")
 
 
-def select_template(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id", text: str = "text", least_gap: float = 10.0) -> DataFrame:
-    """The best template of each document, its band, the gap to the next, and whether it may be processed without review."""
-    words = docs.select(key, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words"))
-    ranked = F.array_sort(F.array(*[F.struct((-t.score(F.col("_words"))).alias("m"), F.lit(t.slug).alias("slug")) for t in templates]))
-    r = words.select(key, ranked.alias("_r")).select(
-        key, F.get("_r", F.lit(0))["slug"].alias("slug"), (0 - F.get("_r", F.lit(0))["m"]).alias("top_score"), F.coalesce(0 - F.get("_r", F.lit(1))["m"], F.lit(0.0)).alias("runner_up_score"))
+def select_template(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id", text: str = "text", least_gap: float = 10.0, carry: Sequence[str] = (),
+                    boost: Callable[[Template, Column], Column] | None = None, catch_all: str = "standard-maintenance-v1") -> DataFrame:
+    """The best template of each document, its band, the gap to the next, and whether it may be processed without review.
+
+    ``boost(template, score)`` raises scores by what is known of a document, see
+    ``templates.booster``; it may use the carried columns. Where ``catch_all`` is the only
+    template, it is always processed.
+    """
+    words = docs.select(key, *carry, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words")).withColumn("_known", known_words(F.col("_words"), templates))
+
+    def one(t: Template) -> Column:
+        score = t.score(F.col("_words"), F.col("_known"))
+        return let(score if boost is None else let(score, lambda s: boost(t, s)), lambda s: F.struct((-s).alias("m"), F.lit(t.slug).alias("slug")))
+
+    ranked = F.array_sort(F.array(*map(one, templates)))
+    r = words.select(key, *carry, ranked.alias("_r")).select(
+        key, *carry, F.get("_r", F.lit(0))["slug"].alias("slug"), (0 - F.get("_r", F.lit(0))["m"]).alias("top_score"), F.coalesce(0 - F.get("_r", F.lit(1))["m"], F.lit(0.0)).alias("runner_up_score"))
     r = r.withColumn("gap", F.col("top_score") - F.col("runner_up_score")).withColumn("band", confidence_band(F.col("top_score")))
-    allowed = (F.col("band") == "HIGH") | ((F.col("band") == "MEDIUM") & (F.col("gap") >= least_gap))
-    reason = F.when(allowed, F.lit(None).cast("string")).when(F.col("band") == "MEDIUM", "MEDIUM confidence with ambiguous gap").otherwise("LOW confidence")
+    allowed = (F.col("band") == "HIGH") | ((F.col("band") == "MEDIUM") & (F.col("gap") >= least_gap)) | F.lit([t.slug for t in templates] == [catch_all])
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    reason = F.when(allowed, F.lit(None).cast("string")).when(F.col("band") == "MEDIUM", F.concat(F.lit("MEDIUM confidence with ambiguous gap ("), whole("gap"), F.lit(f" < {least_gap:g})"))).otherwise(
+        F.concat(F.lit("LOW confidence ("), whole("top_score"), F.lit(" < 50)")))
     return r.withColumn("selected", allowed).withColumn("block_reason", reason)
 
 
@@ -172,11 +199,11 @@ def keyword_coverage(text: Column, words: Sequence[str]) -> Column:
 
 
 def process(docs: DataFrame, templates: Sequence[Template], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Text to decision in one job: the scan's quality, the selected template, and what happens next."""
-    quality = page_quality(docs.select(key, text), text).select(key, "overall", ((F.col("overall") < 50) | (F.col("blur") < 30) | (F.col("contrast") < 20) | (F.col("skew") > 5)).alias("_poor"))
-    chosen = select_template(docs, templates, key, text).select(key, "slug", "band", "selected")
+    """Text to decision, a row for each document: the scan's quality, the selected template, and what happens next. The text is read once and nothing is joined."""
+    quality = page_quality(docs.select(key, text), text).withColumn("_poor", (F.col("overall") < 50) | (F.col("blur") < 30) | (F.col("contrast") < 20) | (F.col("skew") > 5))
+    chosen = select_template(quality, templates, key, text, carry=("overall", "_poor"))
     status = F.when(~F.col("selected"), "review_queue").when(F.col("_poor"), "review_queue").otherwise("processed")
-    return chosen.join(quality, key).select(key, "slug", "band", "overall", status.alias("status"))
+    return chosen.select(key, "slug", "band", "overall", status.alias("status"))
 
 
 def fixture_matrix(cases: DataFrame, templates: Sequence[Template]) -> DataFrame:

@@ -87,6 +87,7 @@ def region_processing(fields: DataFrame, critical: Sequence[str], per_document:
     return f.withColumn("reason", reason)
 
 
+# What companies' names end with.
 _SUFFIXES = "Inc|LLC|Corp|Corporation|Ltd|Limited|Co|Company|Industries|Solutions|Services|Group|Holdings"
 # Words that begin no name.
 NO_NAMES = ("TECH-", "CUSTOMER_", "VENDOR_", "PART-", "JS-", "Standard", "Job", "Sheet", "Missing", "Signature", "Low", "Confidence", "OCR", "Table", "Heavy", "Conflicting", "Invalid", "Format",
@@ -103,14 +104,33 @@ ALLOWED = ("Job Number", "Job Sheet", "Service Date", "Work Description", "Emerg
            "Full system replacement", "Repair and calibration", "Complex repair", "Scheduled inspection", "Major overhaul")
 
 
-def personal_data(texts: DataFrame, patterns: Mapping[str, str], allowed: Sequence[str] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pattern, match) of what looks like personal data, without allowed phrases and placeholders."""
+#: Where a match of each pattern can begin, looked at before the pattern itself. An e-mail's
+#: can't begin inside a run of its characters, but for what the match before it left of one.
+_BEGINS = {
+    "email": r"(?=[a-zA-Z0-9._%+-])(?:\G|(?<![a-zA-Z0-9._%+-]))", "phone": "(?=[+1(0-9])", "usPostalCode": "(?=[0-9])", "ukPostalCode": "(?=[A-Za-z])", "streetAddress": "(?=[0-9])",
+    "realCompany": "(?=[A-Z])", "realName": "(?=[A-Z])"}
+
+
+def personal_data(texts: DataFrame, patterns: Mapping[str, str], allowed: Sequence[str] = (), key: str | Sequence[str] = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pattern, match) of what looks like personal data, without allowed phrases, placeholders, and postal codes that are parts of dates.
+
+    A postal code is one of a date if a year and month stand at most five characters before
+    where it first occurs. A null text holds nothing; repeated rows give repeated results.
+    """
+    keys, t = [key] if isinstance(key, str) else list(key), F.coalesce(F.col(text), F.lit(""))
+
     def hits(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(js_regex(pattern)), 0), lambda m: F.struct(F.lit(name).alias("pattern"), m.alias("match")))
+        def hit(m: Column) -> Column:
+            before = F.greatest(F.lit(1), F.position(m, t) - 5)
+            dated = F.substring(t, before, F.lit(15)).rlike(r"^\d{4}-\d{2}") if name == "usPostalCode" else F.lit(False)
+            return F.struct(F.lit(name).alias("pattern"), m.alias("match"), dated.alias("dated"))
+
+        found = F.regexp_extract_all(t, F.lit(_BEGINS.get(name, "") + js_regex(pattern)), 0)
+        return F.transform(F.when(t.contains("@"), found).otherwise(F.array().cast("array<string>")) if name == "email" else found, hit)
 
-    found = texts.select(key, F.explode(F.concat(*[hits(n, p) for n, p in patterns.items()])).alias("h")).select(key, "h.pattern", "h.match")
+    found = texts.select(*keys, F.explode(F.concat(*[hits(n, p) for n, p in patterns.items()])).alias("h")).select(*keys, "h.pattern", "h.match", "h.dated")
     ok = reduce(lambda a, p: a & ~F.col("match").contains(p), allowed, ~F.col("match").rlike("(?i)^(CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_|TECH-|PART-|JS-)"))
-    return found.filter(ok)
+    return found.filter(ok & ~F.col("dated")).drop("dated")
 
 
 # Parts of names whose values are secret.
@@ -139,6 +159,7 @@ def tick_boxes(pages: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.size(F.filter(signs, lambda s: F.trim(F.regexp_replace(s, "_+", "")) != "")).alias("signed"))
 
 
+# White space as trimmed there, and marks of signatures and stamps.
 SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 LABELLED = tuple(rf"(?i){label}[:{SPACE}]*([^\n]{{0,30}})" for label in ("signature", "signed", rf"authorized[{SPACE}]*by"))
 NAMED = {"handwritten": tuple(rf"(?i){who}[{SPACE}]*signature" for who in ("customer", "technician")), "digital": (rf"(?i)digital[{SPACE}]*signature", "(?i)e-?sign")}

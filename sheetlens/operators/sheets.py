@@ -150,8 +150,8 @@ def confidence_level(c: Column) -> Column:
     return out
 
 
-def extract_wide(docs: DataFrame, fields: Sequence[Field] = FIELDS, embedded: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A struct (value, raw, confidence, level, error) per field and row; null texts hold nothing.
+def extract_wide(docs: DataFrame, fields: Sequence[Field] = FIELDS, embedded: bool = True, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """A struct (value, raw, confidence, level, error) per field and row, beside the key and the columns to carry; null texts hold nothing.
 
     ``error`` is ``required`` for a missing required field, ``allowed`` for a value outside
     the allowed ones.
@@ -172,7 +172,7 @@ def extract_wide(docs: DataFrame, fields: Sequence[Field] = FIELDS, embedded: bo
 
     t = F.coalesce(F.col(text), F.lit(""))
     doc = F.struct(t.alias("text"), F.lower(t).alias("lower"), F.when(F.length(F.lower(t)) == F.length(t), F.lower(t)).alias("low"))
-    return docs.select(key, let(doc, lambda d: F.struct(*[one(f, d).alias(f.id) for f in fields])).alias("_x")).select(key, "_x.*")
+    return docs.select(key, *carry, let(doc, lambda d: F.struct(*[one(f, d).alias(f.id) for f in fields])).alias("_x")).select(key, *carry, "_x.*")
 
 
 def long_form(wide: DataFrame, fields: Sequence[Field] = FIELDS, key: str = "doc_id") -> DataFrame:
@@ -182,13 +182,13 @@ def long_form(wide: DataFrame, fields: Sequence[Field] = FIELDS, key: str = "doc
     return wide.select(key, F.explode(rows).alias("r")).select(key, "r.field", "r.severity", "r.required", "r.f.*")
 
 
-def overall_confidence(wide: DataFrame, fields: Sequence[Field] = FIELDS, key: str = "doc_id") -> DataFrame:
-    """(key, found_required, overall): 0.6 of the mean confidence of found required fields and 0.4 of their share."""
+def overall_confidence(wide: DataFrame, fields: Sequence[Field] = FIELDS, key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carried, found_required, overall): 0.6 of the mean confidence of found required fields and 0.4 of their share."""
     need = [f.id for f in fields if f.required]
     found = reduce(lambda a, n: a + F.col(n)["raw"].isNotNull().cast("int"), need, F.lit(0))
     total = reduce(lambda a, n: a + F.col(n)["confidence"], need, F.lit(0.0))
     overall = round_half_up(total / F.greatest(F.lit(1), found) * 0.6 + found / float(len(need)) * 0.4, 2)
-    return wide.select(key, found.cast("long").alias("found_required"), overall.alias("overall"))
+    return wide.select(key, *carry, found.cast("long").alias("found_required"), overall.alias("overall"))
 
 
 def typed_confidence(raw: Column, kind: str) -> Column:
@@ -359,19 +359,19 @@ def validate_wide(wide: DataFrame, fields: Sequence[Field] = FIELDS, key: str =
                        F.array(*[F.struct(F.lit(n).alias("id"), F.lit(s).alias("severity"), c.alias("passed")) for n, s, c in business_rules()]).alias("rules"))
 
 
-def gold_standard(validated: DataFrame, key: str = "doc_id") -> DataFrame:
+def gold_standard(validated: DataFrame, key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
     """The result of each document: counts, and a score of 60 for valid fields, 30 for required ones found and 10 for rules kept."""
     n = lambda c, test: F.size(F.filter(c, test)).cast("long")
     grave = lambda x: x["severity"].isin("S0", "S1")
     g = validated.select(
-        key, F.size("checks").alias("_all"), n("checks", lambda c: c["required"]).alias("_need"), F.size("rules").alias("_rules"),
+        key, *carry, F.size("checks").alias("_all"), n("checks", lambda c: c["required"]).alias("_need"), F.size("rules").alias("_rules"),
         n("checks", lambda c: c["valid"]).alias("valid_fields"), n("checks", lambda c: c["required"] & ~c["present"]).alias("missing_required"),
         n("checks", lambda c: c["required"] & c["present"]).alias("_found"), n("rules", lambda r: r["passed"]).alias("rules_passed"),
         (n("checks", lambda c: ~c["valid"] & ~c["present"] & (c["severity"] == "S0")) + n("checks", lambda c: ~c["valid"] & c["present"] & grave(c))
          + n("rules", lambda r: ~r["passed"] & grave(r))).alias("critical_issues"),
         (n("checks", lambda c: ~c["valid"] & c["present"] & ~grave(c)) + n("rules", lambda r: ~r["passed"] & ~grave(r))).alias("warnings"))
     score = round_half_up(F.col("valid_fields") / F.col("_all") * 60 + F.col("_found") / F.col("_need") * 30 + F.col("rules_passed") / F.col("_rules") * 10)
-    return g.select(key, "valid_fields", "missing_required", "rules_passed", "critical_issues", "warnings", score.cast("long").alias("score"),
+    return g.select(key, *carry, "valid_fields", "missing_required", "rules_passed", "critical_issues", "warnings", score.cast("long").alias("score"),
                     ((F.col("critical_issues") == 0) & (F.col("missing_required") == 0)).alias("is_valid"))
 
 
@@ -416,23 +416,21 @@ KINDS = (
 
 
 def audit(docs: DataFrame, fields: Sequence[Field] = FIELDS, waived: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, overall, score, findings, queued, status): a sheet's text to its result, in one pass.
+    """(key, kind, overall, score, findings, queued, status): a row for each sheet, its text to its result in one pass, without a join.
 
     WAIVED where critical checks fail and ``waived`` holds for the document, else FAIL with a
     critical issue, REVIEW_QUEUE with anything to look at, and PASS.
     """
-    v = validate_wide(extract_wide(docs, fields, True, key, text), fields, key)
-    gold = gold_standard(v, key).select(key, "score", "critical_issues")
-    overall = overall_confidence(v, fields, key).select(key, "overall")
+    aside = docs.withColumns({"_kind": classify(F.coalesce(F.col(text), F.lit("")), KINDS), "_waived": F.lit(False) if waived is None else F.coalesce(waived, F.lit(False))})
+    v = validate_wide(extract_wide(aside, fields, True, key, text, ("_kind", "_waived")), fields, key)
     evidence = F.create_map(*[x for f in fields for x in (F.lit(f.id), F.col(f.id)["level"])])
     bad = F.filter("checks", lambda c: ~c["valid"])
     queued = F.filter("checks", lambda c: evidence[c["field"]].isin("LOW", "MEDIUM") | (~c["valid"] & c["severity"].isin("S2", "S3")))
-    n = v.select(key, (F.size(bad) + F.size(F.filter("rules", lambda r: ~r["passed"]))).alias("findings"), F.size(queued).alias("queued"),
-                 F.exists(bad, lambda c: c["severity"].isin("S0", "S1")).alias("_critical"))
-    kinds = docs.select(key, classify(F.coalesce(F.col(text), F.lit("")), KINDS).alias("kind"), (F.lit(False) if waived is None else waived).alias("_waived"))
-    j = kinds.join(n, key).join(gold, key).join(overall, key)
-    status = F.when(F.col("_critical") & F.col("_waived"), "WAIVED").when(F.col("critical_issues") > 0, "FAIL").when(F.col("queued") > 0, "REVIEW_QUEUE").otherwise("PASS")
-    return j.select(key, "kind", "overall", "score", "findings", "queued", status.alias("status"))
+    v = v.withColumns({"_findings": F.size(bad) + F.size(F.filter("rules", lambda r: ~r["passed"])), "_queued": F.size(queued), "_critical": F.exists(bad, lambda c: c["severity"].isin("S0", "S1"))})
+    aside = ("_kind", "_waived", "_findings", "_queued", "_critical")
+    j = gold_standard(overall_confidence(v, fields, key, (*aside, "checks", "rules")), key, (*aside, "overall"))
+    status = F.when(F.col("_critical") & F.col("_waived"), "WAIVED").when(F.col("critical_issues") > 0, "FAIL").when(F.col("_queued") > 0, "REVIEW_QUEUE").otherwise("PASS")
+    return j.select(key, F.col("_kind").alias("kind"), "overall", "score", F.col("_findings").alias("findings"), F.col("_queued").alias("queued"), status.alias("status"))
 
 
 # --- status -------------------------------------------------------------------------------

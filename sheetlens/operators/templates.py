@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .documents import Template
+
 # Fields that a template must have, that it should have, and regions that it must place.
 CRITICAL_FIELDS = ("jobReference", "assetId", "date", "engineerSignOff")
 RECOMMENDED_FIELDS = ("expiryDate", "complianceTickboxes", "customerSignature")
@@ -67,6 +69,11 @@ def boosted(score: Column, template: dict[str, str | None], metadata: dict[str,
     return reduce(step, (("client", 10.0), ("asset_type", 5.0), ("work_type", 5.0)), score)
 
 
+def booster(known: Mapping[str, Mapping[str, str | None]], metadata: dict[str, Column]) -> Callable[[Template, Column], Column]:
+    """For ``documents.select_template``: what raises the score of a template, ``known`` giving the client, asset_type and work_type of each slug."""
+    return lambda template, score: boosted(score, dict(known.get(template.slug, {})), metadata)
+
+
 def image_review(documents: DataFrame, required_signatures: Sequence[str], required_boxes: Sequence[str], key: str = "doc_id") -> DataFrame:
     """(key, route, reasons, priority) by the quality of pages and the marks found on them.
 

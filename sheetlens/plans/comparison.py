@@ -20,12 +20,12 @@ DOCUMENTS = FIELDS + """, d AS (SELECT doc_id, count(*) FILTER (verdict = 'same'
 
 def parts(v):
     f = C.compare_fields(v.golden, v.actual)
-    return f, C.compare_documents(f, v.actual)
+    return f, C.compare_documents(f)
 
 
 @query("parity_fields", f"WITH {FIELDS} SELECT * FROM f", "golden", "actual")
 def _(v):
-    return parts(v)[0]
+    return parts(v)[0].drop("document_found")
 
 
 @query("parity_documents", f"WITH {DOCUMENTS} SELECT * FROM dd", "golden", "actual")

@@ -293,7 +293,7 @@ def _(v):
 
 def _steps(key: str, more: str) -> str:
     """Events of each key, numbered in order, for a recursive fold."""
-    return f"o AS (SELECT {key} AS key, event_id AS id, epoch_ms(ts) AS at_ms, {more}row_number() OVER (PARTITION BY {key} ORDER BY epoch_ms(ts), event_id) AS n FROM events)"
+    return f"o AS (SELECT {key} AS key, event_id AS id, epoch_us(ts) // 1000 AS at_ms, {more}row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events)"
 
 
 @query("rate_limited_requests", f"""WITH RECURSIVE {_steps('user_id', '')}, s AS (SELECT key, id, at_ms, n, at_ms AS start, 1 AS c FROM o WHERE n = 1 UNION ALL

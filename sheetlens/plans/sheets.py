@@ -101,7 +101,7 @@ def pages(v):
     """A sheet's first ten lines are its first page."""
     lines = F.split("text", "\n")
     two = F.array(F.struct(F.lit(1).alias("page"), F.array_join(F.slice(lines, 1, 10), "\n").alias("text")),
-                  F.struct(F.lit(2).alias("page"), F.array_join(F.slice(lines, 11, 100), "\n").alias("text")))
+                  F.struct(F.lit(2).alias("page"), F.array_join(F.slice(lines, F.lit(11), F.size(lines)), "\n").alias("text")))
     return v.sheets.select("doc_id", F.explode(two).alias("p")).select("doc_id", "p.*")
 
 

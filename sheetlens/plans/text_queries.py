@@ -93,11 +93,34 @@ def _(v):
 @query("selected_templates", f"""{SCORES}, w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, slug) AS rn FROM s), p AS (SELECT doc_id, max(slug) FILTER (rn = 1) AS slug, max(score) FILTER (rn = 1) AS top_score, max(score) FILTER (rn = 2) AS runner_up_score FROM w GROUP BY doc_id),
  q AS (SELECT *, top_score - runner_up_score AS gap, CASE WHEN top_score >= 80 THEN 'HIGH' WHEN top_score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM p)
  SELECT doc_id, slug, CAST(top_score AS DOUBLE) AS top_score, CAST(runner_up_score AS DOUBLE) AS runner_up_score, CAST(gap AS DOUBLE) AS gap, band, band = 'HIGH' OR (band = 'MEDIUM' AND gap >= 10) AS selected,
- CASE WHEN band = 'HIGH' OR (band = 'MEDIUM' AND gap >= 10) THEN NULL WHEN band = 'MEDIUM' THEN 'MEDIUM confidence with ambiguous gap' ELSE 'LOW confidence' END AS block_reason FROM q""")
+ CASE WHEN band = 'HIGH' OR (band = 'MEDIUM' AND gap >= 10) THEN NULL WHEN band = 'MEDIUM' THEN 'MEDIUM confidence with ambiguous gap (' || CAST(gap AS BIGINT) || ' < 10)' ELSE 'LOW confidence (' || CAST(top_score AS BIGINT) || ' < 50)' END AS block_reason FROM q""")
 def _(v):
     return D.select_template(docs(v), TEMPLATES)
 
 
+#: What the templates are for, by slug.
+KNOWN = {"de-sheet": {"client": "src0", "asset_type": "a1", "work_type": None}, "en-sheet": {"client": "src1", "asset_type": "a0", "work_type": "w1"}, "fr-sheet": {"client": None, "asset_type": "a1", "work_type": "w0"}}
+
+
+def _boosted_sql(t: D.Template) -> str:
+    s = "score"
+    for name, column, gain in (("client", "source", 10), ("asset_type", "asset", 5), ("work_type", "work", 5)):
+        if KNOWN.get(t.slug, {}).get(name):
+            s = f"CASE WHEN {column} = '{KNOWN[t.slug][name]}' THEN least(100.0, {s} + {gain}) ELSE {s} END"
+    return f"WHEN '{t.slug}' THEN {s}"
+
+
+@query("boosted_selection", f"""{SCORES}, m AS (SELECT doc_id, source, 'a' || (doc_id % 3) AS asset, 'w' || (doc_id % 2) AS work FROM documents), b AS (SELECT s.doc_id, s.slug, CAST(CASE s.slug {' '.join(map(_boosted_sql, TEMPLATES))} END AS DOUBLE) AS score FROM s JOIN m ON m.doc_id = s.doc_id),
+ w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, slug) AS rn FROM b), p AS (SELECT doc_id, max(slug) FILTER (rn = 1) AS slug, max(score) FILTER (rn = 1) AS top_score, max(score) FILTER (rn = 2) AS runner_up_score FROM w GROUP BY doc_id)
+ SELECT *, top_score >= 80 OR (top_score >= 50 AND top_score - runner_up_score >= 10) AS selected FROM p""")
+def _(v):
+    from ..operators.templates import booster
+
+    d = v.table("documents").select("doc_id", "text", "source", F.concat(F.lit("a"), F.col("doc_id") % 3).alias("asset"), F.concat(F.lit("w"), F.col("doc_id") % 2).alias("work"))
+    meta = {"client": F.col("source"), "asset_type": F.col("asset"), "work_type": F.col("work")}
+    return D.select_template(d, TEMPLATES, carry=("source", "asset", "work"), boost=booster(KNOWN, meta)).select("doc_id", "slug", "top_score", "runner_up_score", "selected")
+
+
 @query("weighted_signals", f"WITH s(signal, weight, score) AS (SELECT * FROM (VALUES ('token', 0.40, 1), ('layout', 0.20, 2), ('roi', 0.25, 3), ('plausibility', 0.15, 4))) SELECT e.user_id, e.event_type, {r('sum(x * weight) / sum(weight)')} AS score, count(*) AS signals FROM (SELECT user_id, event_type, s.signal, s.weight::DOUBLE AS weight, avg(value) FILTER (event_id % 5 = s.score) AS x FROM events, s GROUP BY ALL) e WHERE x IS NOT NULL GROUP BY ALL")
 def _(v):
     w = v.spark.createDataFrame([("token", 0.40, 1), ("layout", 0.20, 2), ("roi", 0.25, 3), ("plausibility", 0.15, 4)], "signal string, weight double, n int")

@@ -13,12 +13,15 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(x):
+    """Text that is equal where values are: doubles to nine digits, all else exactly."""
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return "null"
-    if isinstance(x, bool):
-        return str(x)
-    if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        return f"{float(x):.6g}" if abs(float(x)) < 1e15 else str(x)
+    if isinstance(x, float):
+        return f"{x:.9g}"
+    if type(x).__name__ == "Decimal":
+        return f"{x.normalize():f}"
+    if isinstance(x, (list, tuple)):
+        return "[" + ", ".join(map(plain, x)) + "]"
     return str(x)
 
 
@@ -46,3 +49,8 @@ def test_query(spark, duck, name):
     want = rows([d[0] for d in rel.description], rel.fetchall())
     assert got[0] == want[0]
     assert got[1] == want[1]
+
+
+def test_comparison_sees_single_units():
+    assert plain(1_700_000_000_123) != plain(1_700_000_000_124) and plain(True) != plain(1) and plain(0.1 + 0.2) == plain(0.3)
+    assert rows(["b", "a"], [(2, 1), (1, 1)]) == rows(["a", "b"], [(1, 1), (1, 2)]) != rows(["a", "b"], [(1, 1), (1, 3)])
