@@ -75,14 +75,23 @@ def personal_texts(v):
     return v.sheets.select("doc_id", more.alias("text"))
 
 
-@query("personal_data_scan", f"""WITH sheets2 AS (SELECT doc_id, text || chr(10) || 'write to u' || doc_id || '@mail.test or 20' || (100 + doc_id % 900) || '-555-' || (1000 + doc_id % 9000) || ' at ' || (doc_id % 90 + 1) || ' Green Mill Road, AB1 2CD; '
- || CASE doc_id % 3 WHEN 0 THEN 'Acme Pumps Ltd' WHEN 1 THEN 'see Mary Jones' ELSE 'CUSTOMER_A' END AS text FROM sheets), found AS ({_SCAN})
+_SHEETS2 = """sheets2 AS (SELECT doc_id, text || chr(10) || 'write to u' || doc_id || '@mail.test or 20' || (100 + doc_id % 900) || '-555-' || (1000 + doc_id % 9000) || ' at ' || (doc_id % 90 + 1) || ' Green Mill Road, AB1 2CD; '
+ || CASE doc_id % 3 WHEN 0 THEN 'Acme Pumps Ltd' WHEN 1 THEN 'see Mary Jones' ELSE 'CUSTOMER_A' END AS text FROM sheets)"""
+
+
+@query("personal_data_scan", f"""WITH {_SHEETS2}, found AS ({_SCAN})
  SELECT * FROM found WHERE NOT regexp_matches(match, '^(?i)(CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_|TECH-|PART-|JS-)') AND NOT ({' OR '.join(f"contains(match, '{a}')" for a in V.ALLOWED)})""", "sheets")
 def _(v):
     return V.personal_data(personal_texts(v), _SCANNED, V.ALLOWED)
 
 
-@query("personal_names_scan")
+# Chains of names first; in each, pairs are taken from the left, and a word that begins no name is passed over.
+_PAIRS = f"""list_reduce(list_prepend({{'w': '', 'held': '', 'out': []::VARCHAR[]}}, list_transform(regexp_extract_all(chain, '[A-Z][a-z]{{2,}}\\s*'), lambda x: {{'w': x, 'held': '', 'out': []::VARCHAR[]}})), lambda a, x: {{'w': '',
+ 'held': CASE WHEN a.held = '' AND NOT regexp_matches(x.w, '^({"|".join(V.NO_NAMES)})') THEN x.w ELSE '' END, 'out': CASE WHEN a.held <> '' THEN list_append(a.out, a.held || rtrim(x.w, chr(10) || chr(13) || chr(9) || ' ')) ELSE a.out END}}).out"""
+
+
+@query("personal_names_scan", f"""WITH {_SHEETS2}, c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{{2,}}(?:\\s+[A-Z][a-z]{{2,}})+\\b')) AS chain FROM sheets2), p AS (SELECT doc_id, unnest({_PAIRS}) AS match FROM c)
+ SELECT doc_id, 'realName' AS pattern, match FROM p WHERE NOT ({' OR '.join(f"contains(match, '{a}')" for a in V.ALLOWED)})""", "sheets")
 def _(v):
     return V.personal_data(personal_texts(v), {"realName": V.PERSONAL["realName"]}, V.ALLOWED)
 
