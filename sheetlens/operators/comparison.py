@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, grade, lookup, r6, ratio, round_half_up
-from ..sources.tables import REASON_CODES
+from ..sources.tables import REASON_CODES, SEVERITIES
 
 # Older reason codes and what they are now called.
 LEGACY_CODES = {"OUT_OF_RANGE": "OUT_OF_POLICY", "RANGE_ERROR": "OUT_OF_POLICY", "POLICY_VIOLATION": "OUT_OF_POLICY"}
@@ -92,6 +92,57 @@ def baseline_gate(baseline: DataFrame, current: DataFrame, key: str, band: float
     return d.select(key, "baseline_rate", "current_rate", "delta", status.alias("status"))
 
 
+def document_rates(fields: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, status, pass_rate) of each document from its fields: ``pass`` if all passed, the rate in percent."""
+    g = fields.groupBy(key).agg(F.count_if(F.col("status") == "passed").alias("_p"), F.count("*").alias("_n"))
+    return g.select(key, F.when(F.col("_p") == F.col("_n"), "pass").otherwise("fail").alias("status"), r6(F.col("_p") / F.col("_n") * 100).alias("pass_rate"))
+
+
+def baseline_documents(baseline: DataFrame, current: DataFrame, key: str = "doc_id", band: float = 0.1) -> DataFrame:
+    """Documents of two reports ``(key, status, pass_rate)``: ones that are gone have regressed, ones without a baseline are new."""
+    side = lambda df, p: df.select(key, F.col("status").alias(f"{p}_status"), F.col("pass_rate").alias(f"{p}_rate"), F.lit(True).alias(f"_{p}"))
+    j = side(baseline, "baseline").join(side(current, "current"), key, "full_outer")
+    delta = r6(F.coalesce("current_rate", F.lit(0.0)) - F.coalesce("baseline_rate", F.lit(0.0)))
+    status = F.when(F.col("_baseline").isNull(), "new").when(F.col("_current").isNull(), "regressed").when(delta > band, "improved").when(delta < -band, "regressed").otherwise("same")
+    return j.select(key, F.when(F.col("_baseline").isNull(), "N/A").otherwise(F.col("baseline_status")).alias("baseline_status"), F.when(F.col("_current").isNull(), "removed").otherwise(F.col("current_status")).alias("current_status"),
+                    F.coalesce("baseline_rate", F.lit(0.0)).alias("baseline_rate"), F.coalesce("current_rate", F.lit(0.0)).alias("current_rate"), delta.alias("delta"), status.alias("status"))
+
+
+_VIOLATION = "kind string, severity string, value double, least double"
+
+
+def baseline_violations(pass_rate: float | DataFrame, severities: DataFrame, documents: DataFrame, thresholds: Mapping) -> DataFrame:
+    """(kind, severity, value, least): what breaks the thresholds ``{overall: {minPassRate, maxWorseCount}, bySeverity: {S0: {minPassRate}}}``.
+
+    ``pass_rate`` is the current one in percent, or a table of one row with it; ``severities``
+    come from ``baseline_gate``, ``documents`` from ``baseline_documents``. For regressions,
+    ``least`` is how many are allowed.
+    """
+    spark, overall = documents.sparkSession, thresholds["overall"]
+    rate = pass_rate if isinstance(pass_rate, DataFrame) else spark.createDataFrame([(float(pass_rate),)], "pass_rate double")
+    row = lambda kind, severity, value, least: [F.lit(kind).alias("kind"), severity.cast("string").alias("severity"), r6(value).alias("value"), least.cast("double").alias("least")]
+    low = rate.select(*row("overall", F.lit(None), F.col("pass_rate"), F.lit(overall["minPassRate"] * 100))).filter("value < least")
+    worse = documents.agg(F.count_if(F.col("status") == "regressed").alias("n")).select(*row("regressions", F.lit(None), F.col("n"), F.lit(overall["maxWorseCount"]))).filter("value > least")
+    limits = {s: float(t["minPassRate"]) * 100 for s, t in thresholds.get("bySeverity", {}).items()}
+    if not limits:
+        return low.unionByName(worse)
+    least = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("severity")]
+    return low.unionByName(worse).unionByName(severities.select(*row("severity", F.col("severity"), F.col("current_rate"), least)).filter("value < least"))
+
+
+# Names of severities of older reports.
+LEGACY_SEVERITIES = ("critical", "high", "medium", "low", "major", "minor", "info")
+
+
+def unusual_severities(by_severity: DataFrame) -> DataFrame:
+    """(kind, severity, value, least): severities that aren't canonical; if there are legacy ones, only these are told."""
+    legacy = F.lower("severity").isin(*LEGACY_SEVERITIES)
+    odd = by_severity.filter(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))).select("severity", F.coalesce(legacy, F.lit(False)).alias("_old"))
+    any_old = odd.agg(F.coalesce(F.bool_or("_old"), F.lit(False)).alias("_any"))
+    return odd.join(F.broadcast(any_old), F.col("_old") | ~F.col("_any")).select(  # one row
+        F.when(F.col("_old"), "legacy_severity").otherwise("unusual_severity").alias("kind"), "severity", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("least"))
+
+
 # --- evaluation and drift -----------------------------------------------------------------
 
 # Metric, mode (a rate, or a drop from the baseline), warning, critical, default baseline.
@@ -109,6 +160,12 @@ def drift_alerts(metrics: DataFrame, thresholds: Sequence[tuple] = DRIFT) -> Dat
     return j.select("metric", r6(F.col("value")).alias("value"), r6(F.col("baseline")).alias("baseline"), r6(F.col("value") - F.col("baseline")).alias("deviation"), severity.alias("severity")).filter("severity IS NOT NULL")
 
 
+def drift_report(alerts: DataFrame) -> DataFrame:
+    """One row: how many alerts, critical ones and warnings, the metrics they are about, and whether something must be done at once."""
+    return alerts.agg(F.count("*").alias("alerts"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warnings"),
+                      F.array_sort(F.collect_set("metric")).alias("categories")).withColumn("requires_action", F.col("critical") > 0)
+
+
 def overall_score(selection: Column, critical: Column, fusion: Column, pass2_rate: Column, weights: Sequence[float] = (0.30, 0.40, 0.20, 0.10)) -> Column:
     return selection * weights[0] + critical * weights[1] + fusion * weights[2] + (1 - pass2_rate) * weights[3]
 

@@ -71,6 +71,38 @@ def _(v):
     return C.baseline_gate(side(v.golden), side(v.actual), "severity")
 
 
+_DOC_RATES = f"SELECT doc_id, CASE WHEN count(*) FILTER (status = 'passed') = count(*) THEN 'pass' ELSE 'fail' END AS status, {r("count(*) FILTER (status = 'passed') / count(*)::DOUBLE * 100")} AS rate FROM {{0}} GROUP BY doc_id"
+_DOC_DIFF = f"""b AS ({_DOC_RATES.format('golden')}), c AS ({_DOC_RATES.format('now')}), dj AS (SELECT coalesce(b.doc_id, c.doc_id) AS doc_id, b.doc_id AS bd, c.doc_id AS cd, coalesce(b.status, 'N/A') AS baseline_status, coalesce(c.status, 'removed') AS current_status, coalesce(b.rate, 0.0) AS baseline_rate, coalesce(c.rate, 0.0) AS current_rate,
+ {r('coalesce(c.rate, 0) - coalesce(b.rate, 0)')} AS delta FROM b FULL JOIN c ON b.doc_id = c.doc_id), dd AS (SELECT doc_id, baseline_status, current_status, baseline_rate, current_rate, delta, CASE WHEN bd IS NULL THEN 'new' WHEN cd IS NULL THEN 'regressed' WHEN delta > 0.1 THEN 'improved' WHEN delta < -0.1 THEN 'regressed' ELSE 'same' END AS status FROM dj)"""
+#: The current side without some documents, and with some that the golden side lacks.
+_NOW = "now AS (SELECT CASE WHEN doc_id % 101 = 0 THEN -doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 37 = 0 THEN 'major' ELSE severity END AS severity, status FROM actual)"
+
+
+def now(v):
+    d = F.col("doc_id")
+    return v.actual.select(F.when(d % 101 == 0, -d).otherwise(d).alias("doc_id"), F.when(d % 37 == 0, "major").otherwise(F.col("severity")).alias("severity"), "status")
+
+
+@query("baseline_documents", f"WITH {_NOW}, {_DOC_DIFF} SELECT * FROM dd", "golden", "actual")
+def _(v):
+    return C.baseline_documents(C.document_rates(v.golden), C.document_rates(now(v)))
+
+
+THRESHOLDS = {"overall": {"minPassRate": 0.6, "maxWorseCount": 3}, "bySeverity": {"S0": {"minPassRate": 0.99}, "S1": {"minPassRate": 0.1}, "S2": {"minPassRate": 0.9}}}
+
+
+@query("baseline_violations", f"""WITH {_NOW}, {_DOC_DIFF}, s AS (SELECT severity, {r("count(*) FILTER (status = 'passed') / count(*)::DOUBLE * 100")} AS rate FROM now GROUP BY 1)
+ SELECT 'overall' AS kind, CAST(NULL AS VARCHAR) AS severity, {r("count(*) FILTER (status = 'passed') / count(*)::DOUBLE * 100")} AS value, 60.0::DOUBLE AS least FROM now HAVING value < 60 UNION ALL SELECT 'regressions', NULL, count(*) FILTER (status = 'regressed'), 3 FROM dd HAVING count(*) FILTER (status = 'regressed') > 3
+ UNION ALL SELECT 'severity', severity, rate, l.least FROM s JOIN (VALUES ('S0', 99.0), ('S1', 10.0), ('S2', 90.0)) l(sev, least) ON sev = severity WHERE rate < l.least UNION ALL SELECT 'legacy_severity', severity, NULL, NULL FROM s WHERE severity = 'major'""", "golden", "actual")
+def _(v):
+    side = lambda df: df.groupBy("severity").agg(F.count_if(F.col("status") == "passed").alias("passed"), F.count("*").alias("total"))
+    current = side(now(v))
+    rate = current.agg((F.sum("passed") / F.sum("total") * 100).alias("pass_rate"))
+    documents = C.baseline_documents(C.document_rates(v.golden), C.document_rates(now(v)))
+    bad = C.baseline_violations(rate, C.baseline_gate(side(v.golden), current, "severity"), documents, THRESHOLDS)
+    return bad.unionByName(C.unusual_severities(current))
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 

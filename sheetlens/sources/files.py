@@ -36,6 +36,27 @@ def golden_fields(spark: SparkSession, path: str, expected: str | None = None) -
     return f.select("doc_id", F.col("f.ruleId").alias("rule_id"), "f.field", "f.status", "f.value", "f.confidence", "f.severity", F.col("f.reasonCode").alias("reason_code"), F.col("f.severity").isin("S0", "S1").alias("is_critical"))
 
 
+def golden_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, name, expected) of a golden dataset."""
+    d = read_json(spark, path, GOLDEN).select(F.explode("documents").alias("d"))
+    return d.select(F.col("d.id").alias("doc_id"), F.col("d.name").alias("name"), F.col("d.expectedResult").alias("expected"))
+
+
+def _part(spark: SparkSession, path: str, part: str) -> DataFrame:
+    d = read_json(spark, path, GOLDEN).select(F.explode("documents").alias("d"))
+    return d.select(F.col("d.id").alias("doc_id"), F.explode(f"d.{part}").alias("x"))
+
+
+def golden_failures(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, rule_id, field, reason_code, severity): the failures that documents of a golden dataset are expected to show."""
+    return _part(spark, path, "expectedFailures").select("doc_id", F.col("x.ruleId").alias("rule_id"), "x.field", F.col("x.reasonCode").alias("reason_code"), "x.severity")
+
+
+def golden_findings(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, finding_id, rule_id, field, severity, reason_code): the findings of a golden dataset's documents."""
+    return _part(spark, path, "findings").select("doc_id", F.col("x.id").alias("finding_id"), F.col("x.ruleId").alias("rule_id"), "x.field", "x.severity", F.col("x.reasonCode").alias("reason_code"))
+
+
 def baseline_or_defaults(spark: SparkSession, path: str, defaults: dict[str, float]) -> DataFrame:
     """(metric, baseline) of a stored report; members and reports that are missing get their defaults."""
     from pyspark.errors import AnalysisException
