@@ -83,7 +83,7 @@ def plain_marks(text, kind):
             at = units(text[: hit.start()])
             y = min(95, int(at / units(text) * 100 + 0.5))
             after = hit[1].strip(_JS) if m.group else ""
-            present = m.type == "checked" if kind == "checkbox" else len(after) > 3 and not re.fullmatch(r"[_\-.]+", after) if kind == "signature" else None
+            present = m.type == "checked" if kind == "checkbox" else len(after) > 3 and not re.match(r"[_\-.]+\Z", after) if kind == "signature" else None
             label = (after or None) if kind == "checkbox" else hit[0].split(":")[0].strip(_JS) if kind == "signature" and re.match("[^:]+:", hit[0]) else None
             out.append((y, place, i, at, text[: hit.start()].count("\n") + 1, m.type, present, conf["medium"] + (0.1 if kind == "signature" and present else 0), label, hit[0]))
     return [(kind, n + 1, *r[3:5], r[0], *r[5:]) for n, r in enumerate(sorted(out, key=lambda r: r[:3]))]
