@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, period_bounds, r6, rank_of, ratio, round_half_up, trend
+from ..sources.tables import ISSUE_TYPES
 
 # What each reason code means, what to do about it, and its category.
 REASONS = {
@@ -67,6 +68,18 @@ def scorecards(audits: DataFrame, key: str) -> DataFrame:
     return cards.join(top, key, "left")
 
 
+def engineer_cards(audits: DataFrame, key: str = "engineer_id", by: str = "template_id", k: int = 5) -> DataFrame:
+    """Scorecards with ``reasons``, the ``k`` most frequent with their counts and shares, and ``templates``, the counts by template in order.
+
+    Both are bounded: there are eight reasons, and templates are a small dimension.
+    """
+    ranked = top_per_group(reason_counts(audits, key), [key], [F.desc("n"), F.col("reason_code")], k)
+    reasons = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "reason_code", "n", "share"))).alias("reasons"))
+    per = audits.groupBy(key, by).agg(*outcome_counts())
+    templates = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[by, *(c for c in per.columns if c not in (key, by))]))).alias("templates"))
+    return scorecards(audits, key).join(reasons, key, "left").join(templates, key, "left")
+
+
 def reason_dimension(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, *v) for k, v in REASONS.items()], "reason_code string, description string, recommendation string, category string")
 
@@ -218,9 +231,11 @@ def overall_trend(series: DataFrame) -> DataFrame:
 
 
 def issue_type_trends(issues: DataFrame, start: str, end: str) -> DataFrame:
-    """Counts before and after the middle of a period, over all issues."""
+    """Counts before and after the middle of a period, over all issues: a row for each of the eight types, also those that don't occur."""
     mid = F.timestamp_millis(((F.unix_millis(F.lit(start).cast("timestamp")) + F.unix_millis(F.lit(end).cast("timestamp"))) / 2).cast("long"))
     g = issues.groupBy("issue_type").agg(count_if(F.col("occurred_at") < mid).alias("previous"), count_if(F.col("occurred_at") >= mid).alias("current"))
+    types = issues.sparkSession.createDataFrame([(t,) for t in ISSUE_TYPES], "issue_type string")
+    g = types.join(g, "issue_type", "left").na.fill(0, ["previous", "current"])
     change = F.when(F.col("previous") > 0, round_half_up((F.col("current") - F.col("previous")) / F.col("previous") * 100)).when(F.col("current") > 0, 100.0).otherwise(0.0).cast("long")
     return g.select("issue_type", "previous", "current", change.alias("change_percent"), trend(change, 10, "increasing", "decreasing").alias("trend"))
 

@@ -289,6 +289,17 @@ def reconcile(original: DataFrame, again: DataFrame, key: Sequence[str]) -> Data
                                                       F.when(better, "improved").when(F.col("success"), "unchanged").when(F.col("success").isNull(), "kept").otherwise("failed").alias("outcome"))
 
 
+def reconciliation_summary(reconciled: DataFrame, threshold: Column, *by: str) -> DataFrame:
+    """Fields in all, improved, unchanged (also those not read again) and failed, the mean confidence (two decimals, 0 of none), and how many stay below their threshold.
+
+    A second reading that isn't surer has failed, whether it found something or not.
+    """
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return reconciled.groupBy(*by).agg(
+        F.count("*").alias("fields"), n("improved").alias("improved"), n("kept").alias("unchanged"), n("failed", "unchanged").alias("failed"), round_half_up(F.coalesce(F.avg("confidence"), F.lit(0.0)), 2).alias("average_confidence"),
+        F.count_if(F.col("confidence") < threshold).alias("low_confidence"))
+
+
 # What a report that someone must read holds.
 URGENT = r"(?i)\b(?:safety|hazard|incident)\b"
 

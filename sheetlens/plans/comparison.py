@@ -284,6 +284,17 @@ def _(v):
     return C.reconcile(o, a, ["doc_id", "rule_id"]).select("doc_id", "rule_id", S.r6(F.col("confidence")).alias("confidence"), "outcome")
 
 
+_THRESHOLD = "CASE WHEN rule_id = 'R1' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END"
+
+
+@query("reconciliation_summary", f"""WITH o AS (SELECT doc_id, rule_id, min(confidence) AS confidence FROM golden GROUP BY ALL), a AS (SELECT doc_id, rule_id, max(confidence) AS again FROM actual GROUP BY ALL), j AS (SELECT o.doc_id, o.rule_id, again, greatest(confidence, coalesce(again, confidence)) AS c, coalesce(again > confidence, FALSE) AS up FROM o LEFT JOIN a ON o.doc_id = a.doc_id AND o.rule_id = a.rule_id)
+ SELECT rule_id, count(*) AS fields, count(*) FILTER (up) AS improved, count(*) FILTER (again IS NULL) AS unchanged, count(*) FILTER (again IS NOT NULL AND NOT up) AS failed, {r('avg(c)', 2)} AS average_confidence, count(*) FILTER (c < {_THRESHOLD}) AS low_confidence FROM j GROUP BY 1""", "golden", "actual")
+def _(v):
+    o = v.golden.groupBy("doc_id", "rule_id").agg(F.any_value("value").alias("value"), F.min("confidence").alias("confidence"))
+    a = v.actual.groupBy("doc_id", "rule_id").agg(F.any_value("value").alias("value"), F.max("confidence").alias("confidence"), F.lit(True).alias("success"))
+    return C.reconciliation_summary(C.reconcile(o, a, ["doc_id", "rule_id"]), F.when(F.col("rule_id") == "R1", 0.5).otherwise(0.3), "rule_id")
+
+
 @query("report_status", "SELECT document_id, CASE WHEN bool_or(severity = 'S0') AND bool_and(severity <> 'S0' OR issue_id % 3 = 0) THEN 'WAIVED' WHEN bool_or(severity = 'S0') THEN 'FAIL' WHEN bool_or(severity = 'S1') THEN 'REVIEW_QUEUE' ELSE 'PASS' END AS status FROM issues GROUP BY 1", "issues")
 def _(v):
     g = v.issues.groupBy("document_id").agg(F.bool_or(F.col("severity") == "S0").alias("f"), F.bool_and((F.col("severity") != "S0") | (F.col("issue_id") % 3 == 0)).alias("w"), F.bool_or(F.col("severity") == "S1").alias("r"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
 from ..operators import audits as A
+from ..sources.tables import ISSUE_TYPES
 from .registry import query
 
 AS_OF = "2024-01-17"
@@ -59,6 +60,16 @@ def _(v):
     return A.top_per_group(A.reason_counts(week(v), "engineer_id"), ["engineer_id"], [F.desc("n"), F.col("reason_code")], 5)
 
 
+@query("engineer_cards", f"""WITH w AS (SELECT * FROM audits WHERE {WEEK}), t AS (SELECT *, {r('n * 100.0 / sum(n) OVER (PARTITION BY engineer_id)')} AS share, row_number() OVER (PARTITION BY engineer_id ORDER BY n DESC, reason_code) AS rank FROM ({codes('engineer_id', WEEK)})),
+ x AS (SELECT engineer_id, string_agg(reason_code || ':' || n, ',' ORDER BY rank) AS reasons FROM t WHERE rank <= 5 GROUP BY 1), p AS (SELECT engineer_id, template_id, {OUTCOMES} FROM w GROUP BY 1, 2), q AS (SELECT engineer_id, string_agg(template_id || ':' || total_audits, ',' ORDER BY template_id) AS templates FROM p GROUP BY 1)
+ SELECT s.*, reasons, templates FROM (SELECT engineer_id, {OUTCOMES} FROM w GROUP BY 1) s LEFT JOIN x ON x.engineer_id = s.engineer_id LEFT JOIN q ON q.engineer_id = s.engineer_id""", "audits")
+def _(v):
+    cards = A.engineer_cards(week(v))
+    said = lambda c, name, n: F.array_join(F.transform(c, lambda x: F.concat(x[name].cast("string"), F.lit(":"), x[n].cast("string"))), ",")
+    kept = [c for c in week(v).groupBy("engineer_id").agg(*A.outcome_counts()).columns]
+    return cards.select(*kept, said("reasons", "reason_code", "n").alias("reasons"), said("templates", "template_id", "total_audits").alias("templates"))
+
+
 @query("engineer_template_breakdown", f"SELECT engineer_id, template_id, {OUTCOMES} FROM audits WHERE {WEEK} GROUP BY engineer_id, template_id", "audits")
 def _(v):
     return week(v).groupBy("engineer_id", "template_id").agg(*A.outcome_counts())
@@ -248,7 +259,8 @@ def _(v):
     return A.overall_trend(A.trend_series(v.issues, v.processed, START, END, 30))
 
 
-@query("issue_type_trends", f"""WITH g AS (SELECT issue_type, count(*) FILTER (occurred_at < m) AS previous, count(*) FILTER (occurred_at >= m) AS current FROM issues, (SELECT epoch_ms(CAST((epoch_ms(TIMESTAMP '{START}') + epoch_ms(TIMESTAMP '{END}')) / 2 AS BIGINT)) AS m) GROUP BY issue_type),
+@query("issue_type_trends", f"""WITH h AS (SELECT issue_type, count(*) FILTER (occurred_at < m) AS previous, count(*) FILTER (occurred_at >= m) AS current FROM issues, (SELECT epoch_ms(CAST((epoch_ms(TIMESTAMP '{START}') + epoch_ms(TIMESTAMP '{END}')) / 2 AS BIGINT)) AS m) GROUP BY issue_type),
+ g AS (SELECT t.issue_type, coalesce(previous, 0) AS previous, coalesce(current, 0) AS current FROM (VALUES {", ".join(f"('{t}')" for t in ISSUE_TYPES)}) t(issue_type) LEFT JOIN h ON h.issue_type = t.issue_type),
  c AS (SELECT *, CAST(CASE WHEN previous > 0 THEN floor((current - previous) / previous::DOUBLE * 100 + 0.5) WHEN current > 0 THEN 100 ELSE 0 END AS BIGINT) AS change_percent FROM g)
  SELECT *, CASE WHEN change_percent > 10 THEN 'increasing' WHEN change_percent < -10 THEN 'decreasing' ELSE 'stable' END AS trend FROM c""", "issues")
 def _(v):

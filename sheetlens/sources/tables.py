@@ -49,6 +49,12 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
         return spark.createDataFrame([], DDL[table])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key where its scan has fewer tasks than the session has cores, as small files of one row group give; else as it is."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least, key) if df.rdd.getNumPartitions() < least else df
+
+
 class Views:
     """The domain's tables as views of the driver's tables in one folder."""
 
@@ -56,7 +62,9 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; texts, which cost much per row, are dealt out where their files give too few tasks."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, "doc_id") if name == "documents" else df
 
     @cached_property
     def _keyed_events(self) -> DataFrame:
@@ -151,7 +159,7 @@ class Views:
             text("Repair Duration: ", c % 130), F.lit("Parts Used: seal kit"), F.when(k % 9 == 0, F.lit("Parts Required: gasket")), text("Overtime: ", pick(("No", "Yes"), k)),
             text("VOR Status: ", pick(("No", "Yes"), c)), F.lit("Technician Signature: ____"), F.when(k % 5 == 0, text("Due date: ", F.year(d) + 1, "-01-02, valid until ", F.dayofmonth(d), "/12/", F.year(d))))
         j = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        return j.select(k.alias("doc_id"), F.array_join(F.array_compact(F.array(*lines)), "\n").alias("text"), F.when(k % 3 == 0, F.concat(F.lit("Job No: "), (k + k % 2).cast("string"))).alias("region"))
+        return spread(j, "o_orderkey").select(k.alias("doc_id"), F.array_join(F.array_compact(F.array(*lines)), "\n").alias("text"), F.when(k % 3 == 0, F.concat(F.lit("Job No: "), (k + k % 2).cast("string"))).alias("region"))
 
 
 _CODES = "[" + ", ".join(f"'{c}'" for c in REASON_CODES) + "]"
