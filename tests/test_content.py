@@ -206,3 +206,21 @@ def test_audits_and_parity_keep_repeated_rows_apart(spark):
 
 def test_small_scalars_without_queries(spark):
     assert [r.x for r in spark.createDataFrame([(v,) for v in ("Yes", " y ", "0", "maybe", None)], "v string").select(V.yes_no(F.col("v")).alias("x")).collect()] == ["Yes", "Yes", "No", "maybe", None]
+
+
+def test_small_files_are_dealt_out(spark):
+    from sheetlens.sources.tables import spread
+
+    one = spark.range(1000).coalesce(1)
+    dealt = spread(one, "id")
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    many = spark.range(0, 1000, 1, 64)
+    assert spread(many, "id") is many
+
+
+def test_summary_of_reconciled_fields(spark):
+    rows = [("a", "improved", 0.9), ("b", "unchanged", 0.2), ("c", "failed", 0.3), ("d", "kept", 0.4)]
+    got = C.reconciliation_summary(spark.createDataFrame(rows, "field string, outcome string, confidence double"), F.lit(0.35)).first()
+    assert (got.fields, got.improved, got.unchanged, got.failed, got.average_confidence, got.low_confidence) == (4, 1, 1, 2, 0.45, 2)
+    empty = C.reconciliation_summary(spark.createDataFrame([], "field string, outcome string, confidence double"), F.lit(0.5)).first()
+    assert empty.fields == 0 and empty.average_confidence == 0
