@@ -51,6 +51,11 @@ def analyse(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id",
     fields. Findings are ordered by severity, reason and field. The text is lower-cased and
     cut once for all fields. Null texts are empty; rows that share a key are rows of their own.
     """
+    return docs.select(key, analysis(F.col(text), rules).alias("_a")).select(key, "_a.*")
+
+
+def analysis(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """What ``analyse`` gives, as one struct of a text."""
     def one(d: Column) -> Column:
         names = [(r, r.field.lower(), r.field.lower().split(" ")[0]) for r in rules]
         found = F.array(*[d["low"].contains(n) | d["low"].contains(w) for _, n, w in names]) if rules else F.array().cast("array<boolean>")
@@ -76,9 +81,10 @@ def analyse(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id",
 
         return let(found, judged)
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    doc = F.struct(t.alias("text"), F.lower(t).alias("low"), F.size(F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")).alias("words"))
-    return docs.select(key, let(doc, one).alias("_a")).select(key, "_a.*")
+    def read(t: Column) -> Column:
+        return let(F.struct(t.alias("text"), F.lower(t).alias("low"), F.size(F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")).alias("words")), one)
+
+    return let(F.coalesce(text, F.lit("")), read)
 
 
 # --- fixtures -----------------------------------------------------------------------------
