@@ -252,5 +252,18 @@ def coaching(issues: DataFrame, as_of: str) -> DataFrame:
     return j.select("engineer_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("engineer_id", "r.priority", "r.title")
 
 
+def prioritised_packs(issues: DataFrame, *by: str, severity: str = "severity", reason: str = "issue_type") -> DataFrame:
+    """(by, total_issues, critical, severities, reasons, estimated_impact, priority) of each target: counts as maps.
+
+    More than five issues of S0 or S1 are critical, more than two high. Counts are combined by
+    target, severity and reason before they meet, so a target of very many issues is no group.
+    """
+    n = issues.groupBy(*by, severity, reason).agg(F.count("*").alias("n"))
+    each = lambda c: F.aggregate(F.collect_list(F.struct(F.col(c).alias("k"), "n")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], F.coalesce(F.element_at(m, x["k"]), F.lit(0)) + x["n"])))
+    g = n.filter(F.col(severity).isNotNull() & F.col(reason).isNotNull()).groupBy(*by).agg(
+        F.sum("n").alias("total_issues"), F.sum(F.when(F.col(severity).isin("S0", "S1"), F.col("n")).otherwise(0)).alias("critical"), each(severity).alias("severities"), each(reason).alias("reasons"))
+    return g.withColumn("estimated_impact", F.col("total_issues") * 0.5).withColumn("priority", F.when(F.col("critical") > 5, "critical").when(F.col("critical") > 2, "high").otherwise("medium"))
+
+
 def by_category(packs: DataFrame) -> DataFrame:
     return packs.orderBy(rank_of(F.col("category"), CATEGORIES), F.desc("occurrences"), "reason_code")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import audits as A
+from ..operators import keywords as K
 from ..operators import processing as P
 from ..operators.documents import Template
 from ..operators.review import SPACE
 from ..operators.sheets import UNIVERSAL as KINDS
+from ..streaming import folds
 from .registry import query
+from .relational import FAILURES
+from .reports import _steps, r
 from .sheets import _HINT_SQL, UNIVERSAL
 from .signals import RULES, _detected, _said, _trimmed
 from .text_queries import TOK, _score_sql
@@ -80,3 +85,85 @@ def _(v):
     out = P.processed(paged(v), TEMPLATES, SETS)
     template = F.when(F.col("status") == "failed", "unread").otherwise(F.coalesce("template", F.lit("none")))
     return out.groupBy("status", template.alias("template")).agg(F.count("*").alias("documents"), S.round_half_up(F.avg("score"), 2).alias("score"))
+
+
+# --- fields by keyword --------------------------------------------------------------------
+
+FIELDS = (
+    K.KeywordField("job", "Job No", "number", ("Work order",)), K.KeywordField("day", "Date", "date", (), ("Due",)), K.KeywordField("safe", "Asset safe to use", "boolean", page_hint=2),
+    K.KeywordField("cost", "Total cost", "currency", (), ("Repair Duration",)), K.KeywordField("customer", "Client", "string", (), ("Customer Name", "Customer")), K.KeywordField("until", "valid until", "date", page_hint=7))
+
+
+def _raw(f: K.KeywordField) -> str:
+    word = lambda w: [f"nullif(regexp_extract(text, '(?i)\\Q{w}\\E[:{SPACE}]{n}([^\\n]+)', 1), '')" for n in "+*"]
+    first, *rest = (*f.hints, f.label, *f.aliases)
+    by = {"date": K.DATES, "currency": K.SUMS}.get(f.kind, ())
+    tries = [*[(x, "keyword") for x in word(first)], *[(f"nullif(regexp_extract(text, '{p}', 1), '')", "pattern") for p in by], *[(x, "keyword") for w in rest for x in word(w)]]
+    return f"coalesce({', '.join(f'CASE WHEN {x} IS NOT NULL THEN {{{chr(39)}raw{chr(39)}: {_trimmed(x)}, {chr(39)}method{chr(39)}: {chr(39)}{m}{chr(39)}}} END' for x, m in tries)})"
+
+
+def _typed(kind: str) -> str:
+    if kind in ("number", "currency"):
+        return f"TRY_CAST(regexp_extract(regexp_replace(raw, '[{'$' if kind == 'currency' else ''},{SPACE}]', '', 'g'), '{K._NUMBER}', 0) AS DOUBLE)::VARCHAR"
+    if kind == "boolean":
+        return f"CASE WHEN lower(raw) IN {K.YES} THEN 'true' WHEN lower(raw) IN {K.NO} THEN 'false' END"
+    if kind == "date":
+        us = "regexp_extract(raw, '^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}})$', {})"
+        return f"CASE WHEN regexp_matches(raw, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN TRY_CAST(raw AS DATE)::VARCHAR WHEN {us.format(1)} <> '' THEN TRY_CAST({us.format(3)} || '-' || lpad({us.format(1)}, 2, '0') || '-' || lpad({us.format(2)}, 2, '0') AS DATE)::VARCHAR END"
+    return "NULL"
+
+
+_BONUS = {"number": "CASE WHEN regexp_matches(raw, '^[$]?[0-9,]+([.][0-9]{2})?$') THEN 0.15::DOUBLE ELSE 0 END", "date": "CASE WHEN regexp_matches(raw, '[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}') THEN 0.15::DOUBLE ELSE 0 END",
+          "boolean": "CASE WHEN lower(raw) IN ('yes', 'no', 'true', 'false', 'signed', 'unsigned') THEN 0.2::DOUBLE ELSE 0 END", "string": "0"}
+_BONUS["currency"] = _BONUS["number"]
+
+
+def _keyword_sql(f: K.KeywordField) -> str:
+    pages = "p" if f.page_hint is None else f"(SELECT * FROM p QUALIFY page = {f.page_hint} OR NOT bool_or(page = {f.page_hint}) OVER (PARTITION BY doc_id))"
+    sure = f"CASE WHEN method = 'pattern' THEN 0.6::DOUBLE WHEN raw = '' THEN 0 ELSE least(1.0::DOUBLE, 0.7::DOUBLE + CASE WHEN length(raw) > 5 THEN 0.1::DOUBLE ELSE 0 END + {_BONUS[f.kind]}) END"
+    return (f"SELECT doc_id, '{f.name}' AS field, raw, method, page, {_typed(f.kind)} AS t, {sure} AS c FROM (SELECT doc_id, page, x.raw AS raw, x.method AS method FROM (SELECT doc_id, page, {_raw(f)} AS x FROM {pages}) WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) = 1)")
+
+
+_PAGES = "p AS (SELECT doc_id, page, CASE WHEN (page = 1 AND doc_id % 29 = 0) OR (page = 2 AND doc_id % 58 = 0) THEN '' ELSE text END AS text FROM (SELECT doc_id, 1 AS page, array_to_string(string_split(text, chr(10))[1:10], chr(10)) AS text FROM sheets UNION ALL SELECT doc_id, 2, array_to_string(string_split(text, chr(10))[11:], chr(10)) FROM sheets) WHERE doc_id % 23 > 0)"
+
+
+@query("keyword_fields", f"WITH {_PAGES}, k AS ({' UNION ALL '.join(map(_keyword_sql, FIELDS))}) SELECT doc_id, field, coalesce(t, raw) AS value, raw, t IS NOT NULL AS normalised, {r('c')} AS confidence, CASE WHEN c >= 0.8::DOUBLE THEN 'high' WHEN c >= 0.5 THEN 'medium' WHEN c >= 0.2 THEN 'low' ELSE 'none' END AS level, page, method FROM k", "sheets")
+def _(v):
+    return K.keyword_fields(paged(v), FIELDS).withColumn("confidence", S.r6(F.col("confidence")))
+
+
+# --- packs, caches and dead letters -------------------------------------------------------
+
+
+@query("prioritised_fix_packs", """WITH n AS (SELECT engineer_id, severity, issue_type, count(*) AS n FROM issues GROUP BY ALL), s AS (SELECT engineer_id, string_agg(severity || ':' || n, ',' ORDER BY severity) AS severities FROM (SELECT engineer_id, severity, sum(n)::BIGINT AS n FROM n GROUP BY ALL) GROUP BY 1),
+ t AS (SELECT engineer_id, string_agg(issue_type || ':' || n, ',' ORDER BY issue_type) AS reasons FROM (SELECT engineer_id, issue_type, sum(n)::BIGINT AS n FROM n GROUP BY ALL) GROUP BY 1), g AS (SELECT engineer_id, sum(n)::BIGINT AS total_issues, coalesce(sum(n) FILTER (severity IN ('S0', 'S1')), 0)::BIGINT AS critical FROM n GROUP BY 1)
+ SELECT g.*, severities, reasons, total_issues * 0.5::DOUBLE AS estimated_impact, CASE WHEN critical > 5 THEN 'critical' WHEN critical > 2 THEN 'high' ELSE 'medium' END AS priority FROM g JOIN s USING (engineer_id) JOIN t USING (engineer_id)""", "issues")
+def _(v):
+    told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias(m)
+    return A.prioritised_packs(v.issues, "engineer_id").select("engineer_id", "total_issues", "critical", told("severities"), told("reasons"), "estimated_impact", "priority")
+
+
+_Z = "coalesce(list_sum(list_transform({}, lambda x: x.z)), 0)"
+_CUT = f"CASE WHEN fresh IS NOT NULL THEN 0 ELSE list_filter(range(0, len(others) + 1), lambda j: len(others) = j OR (len(others) - j < 40 AND {_Z.format('others[j + 1:]')} < 900))[1] END"
+
+
+@query("cache_sizes", f"""WITH RECURSIVE {_steps('event_type', 'user_id AS k, event_id % 97 AS z, ')}, f AS (SELECT *, {_CUT} AS cut FROM (SELECT *, list_filter(held, lambda x: x.k = k AND at_ms < x.t + 864000000)[1] AS fresh, list_filter(held, lambda x: x.k <> k) AS others FROM
+ (SELECT key, k, z, at_ms, n, CAST([] AS STRUCT(k BIGINT, t BIGINT, z BIGINT)[]) AS held, 0 AS hits, 0 AS misses, 0 AS evictions FROM o WHERE n = 1))
+ UNION ALL SELECT *, {_CUT} FROM (SELECT *, list_filter(held, lambda x: x.k = k AND at_ms < x.t + 864000000)[1] AS fresh, list_filter(held, lambda x: x.k <> k) AS others FROM (SELECT o.key, o.k, o.z, o.at_ms, o.n,
+ list_append(f.others[f.cut + 1:], coalesce(f.fresh, {{'k': CAST(f.k AS BIGINT), 't': f.at_ms, 'z': CAST(f.z AS BIGINT)}})) AS held, f.hits + (f.fresh IS NOT NULL)::INT AS hits, f.misses + (f.fresh IS NULL)::INT AS misses, (f.evictions + f.cut)::INT AS evictions FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1))),
+ l AS (SELECT key AS cache, hits + (fresh IS NOT NULL)::BIGINT AS hits, misses + (fresh IS NULL)::BIGINT AS misses, (evictions + cut)::BIGINT AS evictions, list_append(others[cut + 1:], coalesce(fresh, {{'k': CAST(k AS BIGINT), 't': at_ms, 'z': CAST(z AS BIGINT)}})) AS held FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1)
+ SELECT cache, hits, misses, evictions, len(held) AS entries, {_Z.format('held')}::BIGINT AS bytes, {r('hits / (hits + misses)::DOUBLE')} AS hit_rate FROM l""")
+def _(v):
+    e = v.table("events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("user_id").alias("key"), (F.col("event_id") % 97).alias("size"))
+    return folds.cache_replay(e, 240 * 3_600_000, 40, 900).withColumn("hit_rate", S.r6(F.col("hit_rate")))
+
+
+# The store keeps its latest 1000 failures; that bound is the feature.
+@query("recoverable_dead_letters", """WITH f AS (SELECT event_id AS id, event_type AS stage, user_id AS job_sheet_id, ts, event_id % 5 AS attempts, user_id % 6 IN (0, 1, 3, 5) OR event_id % 7 = 0 AS able FROM events ORDER BY ts DESC, event_id LIMIT 1000)
+ SELECT id, stage, job_sheet_id, attempts FROM f WHERE able AND (attempts <= 1 OR attempts < 3) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR""")
+def _(v):
+    e = v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    message = F.get(F.array(*map(F.lit, FAILURES)), (F.col("user_id") % 6).cast("int"))
+    f = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("user_id").alias("job_sheet_id"), F.col("ts").alias("created_at"), message.alias("message"), F.when(F.col("event_id") % 7 == 0, "ETIMEDOUT").alias("code"), (F.col("event_id") % 5).alias("attempts"), F.lit(3).alias("max_attempts"))
+    latest = e.agg(F.max("ts").cast("string")).first()[0]  # one value: the time the purge is as of
+    return folds.letters_of(folds.not_too_old(folds.dead_letters(f), latest), recoverable=True).select("id", "stage", "job_sheet_id", "attempts")

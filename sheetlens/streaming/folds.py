@@ -109,26 +109,35 @@ def breaker_states(calls: DataFrame, failures: int, timeout_ms: int, successes:
     return ordered_fold(calls, "key", ["at_ms", *ident], step, [*ident, "at_ms", "ok"], f"key {_type(calls, 'key')}, {kind}at_ms bigint, ok boolean, state string")
 
 
-def cache_replay(accesses: DataFrame, ttl_ms: int, most: int) -> DataFrame:
+def cache_replay(accesses: DataFrame, ttl_ms: int, most: int = 1000, most_bytes: int = 500 * 1024 * 1024) -> DataFrame:
     """``accesses(cache, id, at_ms, key)`` replayed through a cache with expiry and least-recent eviction: (cache, hits, misses, evictions).
 
-    The state holds at most ``most`` keys of one cache.
+    With a column ``size`` (bytes of the entry that a miss stores) entries are also evicted
+    until fewer than ``most_bytes`` are held, and (entries, bytes, hit_rate) come too; an entry
+    that is larger itself is held until the next one comes. A null size is 0. The state holds
+    at most ``most`` keys of one cache.
     """
-    def step(state, cache, key, t):
-        held, hits, misses, evictions = state or (OrderedDict(), 0, 0, 0)
-        if key in held and t < held[key] + ttl_ms:
+    sized = "size" in accesses.columns
+
+    def step(state, cache, key, t, size=0):
+        held, used, hits, misses, evictions = state or (OrderedDict(), 0, 0, 0, 0)
+        size = size or 0
+        if key in held and t < held[key][0] + ttl_ms:
             hits += 1
             held.move_to_end(key)
         else:
             misses += 1
-            held.pop(key, None)
-            if len(held) >= most:
-                held.popitem(last=False)
+            used -= held.pop(key, (0, 0))[1]
+            while held and (len(held) >= most or (sized and used >= most_bytes)):
+                used -= held.popitem(last=False)[1][1]
                 evictions += 1
-            held[key] = t
-        return (held, hits, misses, evictions), (cache, hits, misses, evictions)
+            held[key] = (t, size)
+            used += size
+        row = (cache, hits, misses, evictions, len(held), used, hits / (hits + misses)) if sized else (cache, hits, misses, evictions)
+        return (held, used, hits, misses, evictions), row
 
-    return ordered_fold(accesses, "cache", ["at_ms", *_ident(accesses)[0]], step, ["key", "at_ms"], f"cache {_type(accesses, 'cache')}, hits bigint, misses bigint, evictions bigint", at_end=True)
+    more = ", entries bigint, bytes bigint, hit_rate double" if sized else ""
+    return ordered_fold(accesses, "cache", ["at_ms", *_ident(accesses)[0]], step, ["key", "at_ms", *(["size"] if sized else [])], f"cache {_type(accesses, 'cache')}, hits bigint, misses bigint, evictions bigint{more}", at_end=True)
 
 
 def not_cached(inputs: DataFrame, results: DataFrame, key: str, as_of: str, ttl_hours: int = 24) -> DataFrame:
@@ -137,17 +146,37 @@ def not_cached(inputs: DataFrame, results: DataFrame, key: str, as_of: str, ttl_
     return inputs.join(fresh.select(key), key, "left_anti")
 
 
-# What the message of a failure that may pass holds.
-RECOVERABLE = ("ECONNREFUSED", "ECONNRESET", "ETIMEDOUT", "ENOTFOUND", "rate limit", "timeout", "429", "500", "502", "503", "504", "circuit breaker")
+# What the message or code of a failure that may pass holds.
+RECOVERABLE = ("ECONNRESET", "ETIMEDOUT", "ENOTFOUND", "rate limit", "timeout", "429", "500", "502", "503", "504", "circuit breaker")
 
 
 def dead_letters(failures: DataFrame, most: int = 1000, recoverable: tuple[str, ...] = RECOVERABLE) -> DataFrame:
-    """The latest failures up to the bound, classified by their message."""
-    message = F.lower("message")
+    """The latest failures up to the bound, classified by their message and, if given, ``code``.
+
+    With columns ``attempts`` and ``max_attempts`` a failure whose attempts are used up isn't
+    recoverable; one of a single attempt is as its message says.
+    """
+    given = [F.coalesce(F.col(c), F.lit("")) for c in ("message", "code") if c in failures.columns]
+    message = F.lower(F.concat(*given))
     able = F.exists(F.array(*[F.lit(p.lower()) for p in recoverable]), lambda p: message.contains(p))
+    if {"attempts", "max_attempts"} <= set(failures.columns):
+        able = able & ((F.coalesce("attempts", F.lit(1)) <= 1) | (F.col("attempts") < F.coalesce("max_attempts", F.lit(3))))
     return failures.withColumn("recoverable", able).orderBy(F.desc("created_at"), "id").limit(most)
 
 
+def not_too_old(letters: DataFrame, as_of: str, hours: int = 72) -> DataFrame:
+    """Failures that the purge by age leaves: not older than so many hours. Rows without a time stay."""
+    return letters.filter(F.coalesce(F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours)), F.lit(True)))
+
+
+def letters_of(letters: DataFrame, stage: str | None = None, job: int | None = None, recoverable: bool | None = None) -> DataFrame:
+    """Failures of a stage, of a job sheet, or those that may pass; None leaves a test out."""
+    for column, wanted in (("stage", stage), ("job_sheet_id", job), ("recoverable", recoverable)):
+        if wanted is not None:
+            letters = letters.filter(F.col(column) == wanted)
+    return letters
+
+
 def started_once(runs: DataFrame, forced: str = "forced") -> DataFrame:
     """Of each input hash the first run that didn't fail, and every forced one."""
     w = Window.partitionBy("input_hash", F.col(forced) | (F.col("state") == "FAILED")).orderBy("at", "run_id")
