@@ -173,3 +173,48 @@ def test_stored_over_restarts_and_crashes(spark, tmp_path):
     sheets, results, more = stored(store)
     assert sheets[4] == ("failed", None, "No readable page") and sheets[5] == ("review_queue", None, None) and len(results) == 5 and more > findings
     assert more == store.findings.read().select("finding_id").distinct().count()
+
+
+def test_fields_by_keyword(spark):
+    from sheetlens.operators import keywords as K
+
+    fields = (K.KeywordField("n", "Job (no)", "number", ("W.O.",)), K.KeywordField("d", "Date", "date"), K.KeywordField("c", "Cost", "currency", ("Sum",), ("Total",)), K.KeywordField("b", "Signed", "boolean", page_hint=2), K.KeywordField("s", "Who"))
+    rows = [
+        (1, [(1, "job (NO): 1,234\nDate\n: 2024-01-15\nSum = x\nTotal $1,250.50\nsigned: no"), (2, "Signed: signed")]), (2, [(1, "on March 3, 2024 w.o.17a"), (2, "cost $5 signed by Bo")]), (3, [(1, None), (2, "Who:   \n")]),
+        (4, None), (5, []), (6, [(1, "date 2/31/2024\nwho Ann")]), (6, [(1, "WHO:Ann\\E")])]
+    got = sorted((r.doc_id, r.field, r.value, r.normalised, round(r.confidence, 2), r.level, r.page, r.method) for r in K.keyword_fields(spark.createDataFrame(rows, f"doc_id long, pages {PAGES}"), fields).collect())
+    assert got == sorted([
+        (1, "n", "1234.0", True, 0.85, "high", 1, "keyword"), (1, "d", "2024-01-15", True, 0.95, "high", 1, "keyword"), (1, "c", "= x", False, 0.7, "medium", 1, "keyword"), (1, "b", "true", True, 1.0, "high", 2, "keyword"),
+        (2, "d", "2024-03-03", True, 0.6, "medium", 1, "pattern"), (2, "n", "17.0", True, 0.7, "medium", 1, "keyword"), (2, "c", "5.0", True, 0.6, "medium", 2, "pattern"), (2, "b", "by Bo", False, 0.7, "medium", 2, "keyword"),
+        (3, "s", "", False, 0.0, "none", 2, "keyword"), (6, "d", "2/31/2024", False, 0.95, "high", 1, "keyword"), (6, "s", "Ann", False, 0.7, "medium", 1, "keyword"), (6, "s", "Ann\\E", False, 0.7, "medium", 1, "keyword")])
+    assert {r.field for r in K.keyword_fields(spark.createDataFrame(rows[:1], f"doc_id long, pages {PAGES}"), fields, least=0.9).collect()} == {"d", "b"}
+
+
+def test_cache_of_bounded_bytes(spark):
+    from sheetlens.streaming import folds
+
+    rows = [("c", 0, 1, 6), ("c", 1, 2, 6), ("c", 2, 3, 1), ("c", 3, 2, 9), ("c", 4, 4, None), ("c", 5, 5, 100), ("c", 6, 6, 1), ("c", 99, 6, 2), ("d", 0, 1, 0)]
+    df = spark.createDataFrame(rows, "cache string, at_ms long, key long, size long")
+    got = {r.cache: tuple(r)[1:] for r in folds.cache_replay(df, 50, 10, 10).collect()}
+    # 3 evicts 1 (12 bytes held), 2 is a hit, 6 evicts 2, 3, 4 and 5; at 99 its entry is too old.
+    assert got["c"] == (1, 7, 4 + 1, 1, 2, 1 / 8) and got["d"] == (0, 1, 0, 1, 0, 0.0)
+
+
+def test_dead_letters_by_code_age_and_attempts(spark):
+    from sheetlens.streaming import folds
+
+    rows = [(1, "boom", "ETIMEDOUT", "OCR", 7, "2024-01-10", 1, 1), (2, "Timeout", None, "OCR", 8, "2024-01-10", 3, 3), (3, "bad", None, "SAVE", 7, "2024-01-10", 1, 3), (4, "HTTP 503", None, "SAVE", 7, "2024-01-01", 2, 3), (5, None, None, None, None, None, None, None)]
+    f = spark.createDataFrame(rows, "id long, message string, code string, stage string, job_sheet_id long, at string, attempts int, max_attempts int").withColumn("created_at", F.to_timestamp("at"))
+    letters = folds.dead_letters(f)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(folds.letters_of(letters, recoverable=True)) == [1, 4] and ids(folds.letters_of(letters, "OCR")) == [1, 2] and ids(folds.letters_of(letters, job=7, recoverable=False)) == [3]
+    assert ids(folds.not_too_old(letters, "2024-01-11")) == [1, 2, 3, 5] and ids(folds.dead_letters(f, 2)) == [1, 2]
+
+
+def test_priorities_of_packs(spark):
+    from sheetlens.operators.audits import prioritised_packs
+
+    rows = [("a", "S0", "X")] * 6 + [("b", "S1", "X")] * 3 + [("b", "S3", "Y")] * 4 + [("c", "S1", "X"), ("c", None, "X"), ("d", None, None)]
+    got = {r.t: r for r in prioritised_packs(spark.createDataFrame(rows, "t string, severity string, issue_type string"), "t").collect()}
+    assert {k: (r.total_issues, r.critical, r.priority, r.estimated_impact) for k, r in got.items()} == {"a": (6, 6, "critical", 3.0), "b": (7, 3, "high", 3.5), "c": (1, 1, "medium", 0.5)}
+    assert got["b"].severities == {"S1": 3, "S3": 4} and got["b"].reasons == {"X": 3, "Y": 4}
