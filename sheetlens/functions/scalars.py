@@ -131,6 +131,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+# White space as texts are trimmed of.
+_WHITE = " \t\n\x0b\f\r"
+_ALL_WHITE = _WHITE + "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(c: Column, ascii_only: bool = False) -> Column:
+    """The text without white space at its ends; only the ends are looked at."""
+    return F.trim(c, F.lit(_WHITE if ascii_only else _ALL_WHITE))
+
+
 def where_hinted(text: Column, hint: str | None, change: Callable[[Column], Column]) -> Column:
     """``change(text)`` where the text matches ``hint``, else the text; ``text`` is evaluated once."""
     if hint is None:
@@ -220,22 +230,36 @@ def _iso(year: Column, month: Column, day: Column, width: int = 4) -> Column:
     return F.when(month.between(1, 12) & day.between(1, 31), parts)
 
 
+def digits(text: Column, pattern: str, group: int) -> Column:
+    """A group of digits as a number, null where the pattern isn't found. Only what was found is cast: a cast that fails raises, row by row, which costs more than the pattern."""
+    return let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x.try_cast("int")))
+
+
 def parse_date(text: Column) -> Column:
     """Y-M-D, D/M/Y or ``15 January 2024`` to ISO; two-digit years are 2000 and later; null for anything else."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    n = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
     full = lambda y: F.when(y < 100, y + 2000).otherwise(y)
     ymd, dmy = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})$"
     named = rf"(?i)^(\d{{1,2}})\s+({'|'.join(MONTHS)})[a-z]*\s+(\d{{2,4}})$"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, named, 2))).cast("int")
-    return F.coalesce(_iso(n(ymd, 1), n(ymd, 2), n(ymd, 3)), _iso(full(n(dmy, 3)), n(dmy, 2), n(dmy, 1)), _iso(full(n(named, 3)), month, n(named, 1)))
+
+    def parsed(t: Column) -> Column:
+        n = lambda p, k: digits(t, p, k)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, named, 2))).cast("int")
+        form = lambda p, y, m, d, year=lambda y: y: F.when(t.rlike(p), let(F.struct(year(y).alias("y"), m.alias("m"), d.alias("d")), lambda x: _iso(x["y"], x["m"], x["d"])))
+        return F.coalesce(form(ymd, n(ymd, 1), n(ymd, 2), n(ymd, 3)), form(dmy, n(dmy, 3), n(dmy, 2), n(dmy, 1), lambda y: let(y, full)), form(named, n(named, 3), month, n(named, 1), lambda y: let(y, full)))
+
+    return let(F.regexp_replace(text, r"^\s+|\s+$", ""), parsed)
 
 
 def search_date(text: Column) -> Column:
     """The first of D/M/Y, D/M/YY (of this century) and Y-M-D that stands anywhere in the text, as ISO; else the text itself."""
-    n = lambda p, k: F.regexp_extract(text, p, k).try_cast("int")
     dmy, short, ymd = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{2})", r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})"
-    return F.coalesce(_iso(n(dmy, 3), n(dmy, 2), n(dmy, 1), 0), _iso(2000 + n(short, 3), n(short, 2), n(short, 1), 0), _iso(n(ymd, 1), n(ymd, 2), n(ymd, 3), 0), text)
+
+    def searched(t: Column) -> Column:
+        n = lambda p, k: digits(t, p, k)
+        form = lambda y, m, d: let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), lambda x: _iso(x["y"], x["m"], x["d"], 0))
+        return F.coalesce(form(n(dmy, 3), n(dmy, 2), n(dmy, 1)), form(2000 + n(short, 3), n(short, 2), n(short, 1)), form(n(ymd, 1), n(ymd, 2), n(ymd, 3)), t)
+
+    return let(text, lambda t: F.when(t.isNotNull(), searched(t)))
 
 
 def is_timestamp(text: Column) -> Column:

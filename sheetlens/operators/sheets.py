@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.scalars import js_regex, let, lookup, parse_date, ratio, round_half_up, search_date
 from .documents import classify
 
@@ -89,7 +90,7 @@ LEVELS = ((0.85, "HIGH"), (0.60, "MEDIUM"), (0.30, "LOW"))
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return scalars.trimmed(c, ascii_only=True)
 
 
 def with_groups(patterns: Sequence[str]) -> list[str]:
@@ -275,8 +276,7 @@ def _normalised(value: Column, kind: str) -> Column:
     """The value as it is compared, null if it isn't valid."""
     if kind == "date":
         return parse_date(value)
-    v = F.regexp_replace(F.upper(value), r"\s+", "-")
-    return F.when(F.length(v).between(int(kind[-1]), 30), v)
+    return let(F.regexp_replace(F.upper(value), r"\s+", "-"), lambda v: F.when(F.length(v).between(int(kind[-1]), 30), v))
 
 
 def critical_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", region: str = "region") -> DataFrame:
@@ -285,18 +285,27 @@ def critical_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text"
     A value found in the region isn't a candidate of the text again; a value that several
     patterns or places of one source show is one candidate.
     """
-    def matches(source: str, patterns: Sequence[str], kind: str) -> Column:
-        every = [F.transform(F.regexp_extract_all(F.coalesce(F.col(source), F.lit("")), F.lit("(?i)" + js_regex(p)), 1), lambda m: _normalised(m, kind)) for p in patterns]
-        return F.array_distinct(F.array_compact(F.concat(*every)))
+    def matches(doc: Column, patterns: Sequence[str], kind: str) -> Column:
+        """Where a pattern begins with a literal that the text doesn't hold, it isn't tried."""
+        none = F.array().cast("array<string>")
+
+        def every(p: str) -> Column:
+            found = F.regexp_extract_all(doc["t"], F.lit("(?i)" + js_regex(p)), 1)
+            words = heads(p)
+            return F.when(reduce(lambda a, w: a | doc["low"].contains(w), words, F.lit(False)), found).otherwise(none) if words else found
+
+        return F.array_distinct(F.array_compact(F.transform(F.array_distinct(F.concat(*map(every, patterns))), lambda m: _normalised(m, kind))))
 
     def named(name: str, values: Column, confidence: float) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("field"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
-    rows = []
-    for name, (patterns, kind, _) in CRITICAL.items():
-        near, far = matches(region, patterns, kind), matches(text, patterns, kind)
-        rows += [named(name, near, 0.9), named(name, F.array_except(far, near), 0.7)]
-    return docs.select(key, F.explode(F.concat(*rows)).alias("c")).select(key, "c.*")
+    def one(name: str, region: Column, text: Column) -> Column:
+        patterns, kind, _ = CRITICAL[name]
+        return let(matches(region, patterns, kind), lambda near: F.concat(named(name, near, 0.9), named(name, F.array_except(matches(text, patterns, kind), near), 0.7)))
+
+    read = lambda c: let(F.coalesce(F.col(c), F.lit("")), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    both = let(F.struct(read(region).alias("r"), read(text).alias("t")), lambda d: F.concat(*[one(n, d["r"], d["t"]) for n in CRITICAL]))
+    return docs.select(key, F.explode(both).alias("c")).select(key, "c.*")
 
 
 def select_candidates(found: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
