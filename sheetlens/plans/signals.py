@@ -10,6 +10,7 @@ from ..operators import signals as G
 from ..operators import specs as P
 from ..operators.documents import Template
 from ..operators.review import SPACE
+from ..sources.tables import spread
 from .registry import query
 from .text_queries import TOK, _score_sql
 
@@ -218,7 +219,7 @@ def spec_texts(v):
     box = lambda x, y, w, h: text('"bounds":{"x":', x, ',"y":', y, ',"width":', w, ',"height":', h, "}")
     first = text('{"name":"', F.when(s % 4 == 0, " ").otherwise("header"), '","page":', s % 3, ",", box(F.when(s % 5 == 0, "1.5").otherwise("0.5"), "0", F.when(s % 7 == 0, "0").otherwise("0.6"), "0.1"), "}")
     second = text('{"name":"', F.when(s % 6 == 0, "header").otherwise("box"), '","page":1', F.when(s % 8 == 0, "").otherwise(text(",", box("0.9", F.when(s % 2 == 0, "0.05").otherwise("0.5"), "0.1", "0.2"))), "}")
-    return v.table("part").select("p_partkey", spec.alias("spec"), F.when(k % 43 == 0, '{"regions":{}}').otherwise(text('{"regions":[', first, ",", second, "]}")).alias("regions"))
+    return spread(v.table("part"), "p_partkey").select("p_partkey", spec.alias("spec"), F.when(k % 43 == 0, '{"regions":{}}').otherwise(text('{"regions":[', first, ",", second, "]}")).alias("regions"))
 
 
 _RULE_AT = "'$.rules[' || j || ']"
