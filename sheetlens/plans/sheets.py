@@ -92,7 +92,7 @@ _KINDS = {"make_model": "string", "mileage_hours": "number", "date": "date", "ov
  WHEN field = 'overtime' AND lower(raw) IN ('yes', 'no', 'true', 'false', 'signed', 'unsigned') THEN 0.2::DOUBLE ELSE 0 END) END''')} AS confidence
  FROM fields WHERE field IN ('make_model', 'mileage_hours', 'date', 'overtime')""", "sheets")
 def _(v):
-    w = wide(v)
+    w = T.extract_wide(v.sheets, [f for f in T.FIELDS if f.id in _KINDS])
     rows = F.array(*[F.struct(F.lit(n).alias("field"), S.r6(T.typed_confidence(F.col(n)["raw"], k)).alias("confidence")) for n, k in _KINDS.items()])
     return w.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
