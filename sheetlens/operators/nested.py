@@ -36,16 +36,22 @@ def _type(v: Column) -> Column:
             .when(t.startswith("ARRAY"), "array").otherwise("number"))
 
 
-def leaves(df: DataFrame, json: str, keys: Sequence[str]) -> DataFrame:
+def depth(df: DataFrame, json: str) -> int:
+    """How many containers stand inside one another at most in any row's JSON text."""
+    return df.agg(F.max(nesting(F.col(json)))).first()[0] or 0
+
+
+def leaves(df: DataFrame, json: str, keys: Sequence[str], levels: int | None = None) -> DataFrame:
     """(keys, row, path, steps, type, value, json): a row per leaf of each row's JSON text.
 
     ``path`` begins with ``root``; members add ``.name``, items ``[n]`` from 0. Leaves are
     strings, numbers, booleans, nulls and empty containers; ``value`` is a scalar's text, and
     ``json`` what stands there. ``row`` tells rows of equal keys apart. A text that is no JSON
-    is one leaf of type ``malformed``; a null one has none.
+    is one leaf of type ``malformed``; a null one has none. ``levels`` is the texts' ``depth``,
+    which is measured where it isn't given.
     """
     text = F.col(json)
-    levels = df.agg(F.max(nesting(text))).first()[0] or 0
+    levels = depth(df, json) if levels is None else levels
     rows = df.filter(text.isNotNull()).select(
         *keys, F.monotonically_increasing_id().alias("row"), F.lit("root").alias("path"), F.array().cast(_STEPS).alias("steps"), text.alias("_text"), F.try_parse_json(text).alias("_v"))
     for _ in range(levels):
@@ -73,13 +79,15 @@ def rewritten(found: DataFrame, change: Callable[[Column, Column], Column]) -> D
     return found.withColumn("value", new).withColumn("json", F.when(F.col("type") == "string", F.coalesce(json_text(F.col("value")), F.lit("null"))).otherwise(F.col("json")))
 
 
-def rebuilt(found: DataFrame, keys: Sequence[str], name: str = "json") -> DataFrame:
+def rebuilt(found: DataFrame, keys: Sequence[str], name: str = "json", levels: int | None = None) -> DataFrame:
     """(keys, name): the JSON text of each row that has leaves, members in the order of their names.
 
     Containers close from the deepest level up. All levels of a row stay in one partition, so
-    the leaves are shuffled once.
+    the leaves are shuffled once. ``levels`` is the texts' ``depth``; where it isn't given, the
+    leaves are read once more to find the longest path.
     """
-    levels = found.agg(F.max(F.size("steps"))).first()[0] or 0
+    if levels is None:
+        levels = found.agg(F.max(F.size("steps"))).first()[0] or 0
     rows = found.select(*keys, "row", "steps", "json").repartition("row")
     for level in range(levels, 0, -1):
         deep = F.size("steps") == level
@@ -104,7 +112,8 @@ def without_names(df: DataFrame, json: str, keys: Sequence[str], names: Sequence
         named = F.coalesce(F.element_at(F.when(F.size(steps) > 0, steps), -1)["name"].isin(*names), F.lit(False))
         return F.when(named & (value != ""), initials(value)).otherwise(value)
 
-    return rebuilt(rewritten(leaves(df, json, keys), change), keys, json)
+    levels = depth(df, json)
+    return rebuilt(rewritten(leaves(df, json, keys, levels), change), keys, json, levels)
 
 
 def personal_paths(df: DataFrame, json: str, keys: Sequence[str], patterns: Mapping[str, str], allowed: Sequence[str] = ()) -> DataFrame:
