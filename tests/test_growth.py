@@ -32,3 +32,57 @@ def test_trimming_is_that_of_the_pattern(spark):
     x = spark.createDataFrame([(" \t a b ﻿\n",), ("",), (" \r\n",), (None,), ("​z​",)], "t string")
     r = x.select(S.trimmed(F.col("t")).alias("a"), F.regexp_replace("t", f"^[{SPACE}]+|[{SPACE}]+$", "").alias("b"), S.trimmed(F.col("t"), True).alias("c"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("d")).collect()
     assert [q.a for q in r] == [q.b for q in r] and [q.c for q in r] == [q.d for q in r]
+
+
+def test_labels_are_ruled_out_without_losing_any(spark):
+    from sheetlens.operators import ensemble as E
+
+    names = ["job no", "jub no", "jb no", "job n", "jobno", "job nr", "work ordr", "wrk ordr", "w0", "wo", "refernce", "rfrnce", "abcdef", "job numbers", "jobb  number", "make", "mke", "xake", "mxxe", "technician nots", "tchnician ntes", "engineer", "enginer", "egnineer", "n"]
+    labels = spark.createDataFrame([(x,) for x in names], "l string")
+    for wanted in sorted({x.lower() for f in E.FIELDS for x in f.labels}):
+        ratio = f"(1 - levenshtein(l, '{wanted}') / greatest(length(l), {len(wanted)})) * 100"
+        assert {r.l: r.r for r in labels.selectExpr("l", f"CASE WHEN {ratio} >= 70D THEN {ratio} END AS r").collect()} == {x: E.alike(x, wanted) for x in names}
+
+
+def test_each_different_label_is_compared_once(spark):
+    from sheetlens.operators import ensemble as E
+
+    fields = (E.LabelField("a", labels=("Job No", "Order")), E.LabelField("b", labels=("Make",)), E.LabelField("c"))
+    rows = [(1, ["x", "jub no", "job no"]), (2, []), (3, ["make", "ordr", "mke"]), (4, ["order"] * 3)]
+    df = spark.createDataFrame(rows, "id long, labels array<string>").coalesce(1)
+    out = {r.id: [(x.place, x.ratio) for x in r.m] for r in df.select("id", E._labelled(F.col("labels"), fields).alias("m")).collect()}
+    none = (None, None)
+    assert out == {1: [(1, E.alike("jub no", "job no")), none, none], 2: [none] * 3, 3: [(1, 80.0), (0, 100.0), none], 4: [(0, 100.0), none, none]}
+
+
+def test_voting_patterns_start_at_their_literal(spark):
+    from sheetlens.operators import ensemble as E
+
+    docs = spark.createDataFrame([(1, "x" * 30 + "\nASSET No: ab-1\nmake: ACME\nİ Date: 1.2.2024"), (2, "İasset id: cd-2\nK work order: 77")], "doc_id long, text string")
+    df = E.extract_wide(docs, correct=False)
+    assert "locate(asset" in _plan(df)
+    r = {x.doc_id: x for x in df.collect()}
+    assert (r[1].asset_no.value, r[1].make_model.value, r[1].date.value, r[2].asset_no.value, r[2].job_no.value) == ("AB-1", "ACME", "2024-02-01", "CD-2", "77")
+
+
+def test_heads_are_those_of_every_match():
+    assert T.heads("foo|bar") == [] and T.heads(r"(?:ab|cd)*ef") == [] and T.heads("fo{0,2}x") == [] and T.heads(r"(?:foo|bar)[:|]\s*(a|b)") == ["foo", "bar"] and T.heads(r"foo\|x") == ["foo"]
+
+
+def test_specifications_are_dealt_out(spark, tmp_path):
+    from sheetlens.plans import signals
+    from sheetlens.sources.tables import Views
+
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id % 9 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert signals.spec_texts(Views(spark, str(tmp_path))).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_depth_is_measured_once(spark, monkeypatch):
+    from sheetlens.operators import nested as N
+
+    calls = []
+    df = spark.createDataFrame([(1, '{"a":[{"customerName":"Ann Lee"},{}],"b":[]}'), (2, "[["), (3, '"x"'), (4, None)], "id long, json string")
+    first = type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: calls.append(1) or first(self))
+    assert sorted(tuple(r) for r in N.without_names(df, "json", ["id"]).collect()) == [(1, '{"a":[{"customerName":"A. L."},{}],"b":[]}'), (2, "[["), (3, '"x"')]
+    assert len(calls) == 1
