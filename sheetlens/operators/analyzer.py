@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import let, round_half_up
-from .review import SPACE
+from ..functions.scalars import let, round_half_up, trimmed
+from .review import BLANK, SPACE
 
 # Confidences, the least content, and the longest value.
 FOUND, MISSING, NO_CONTENT, LEAST_CHARS, LEAST_WORDS, WINDOW, LONGEST = 60, 30, 100, 50, 10, 100, 50
@@ -32,10 +32,6 @@ RULES = (
     Rule("R-006", "Parts Used", False), Rule("R-007", "Time In"), Rule("R-008", "Time Out"), Rule("R-009", "Customer Name"), Rule("R-010", "Job Number"))
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
-
-
 def _sum(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, t: a + t.cast("int"), tests, F.lit(0))
 
@@ -64,12 +60,12 @@ def analysis(text: Column, rules: Sequence[Rule] = RULES) -> Column:
             def value(name: str) -> Column:
                 at = F.locate(name, d["low"])
                 after = F.substring(d["text"], at + len(name), F.lit(WINDOW))
-                said = F.substring(_trim(F.regexp_extract(after, rf"[:=]?[{SPACE}]*([^\n\r]+)", 1)), 1, LONGEST)
+                said = F.substring(trimmed(F.regexp_extract(after, rf"[:=]?[{SPACE}]*([^\n\r]+)", 1)), 1, LONGEST)
                 return F.when((at > 0) & (said != ""), said).otherwise("[detected]")
 
             each = [F.get(hit, i) for i in range(len(names))]
             fields = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(r.field).alias("field"), value(n).alias("value"))) for h, (r, n, _) in zip(each, names)])) if names else F.array()
-            none = (F.length(_trim(d["text"])) <= LEAST_CHARS) | (d["words"] < LEAST_WORDS)
+            none = (F.length(trimmed(d["text"])) <= LEAST_CHARS) | (d["words"] < LEAST_WORDS)
             finding = lambda severity, reason, field, rule, c: F.struct(F.lit(severity).alias("severity"), F.lit(reason).alias("reason"), F.lit(field).alias("field"), F.lit(rule).alias("rule_id"), F.lit(c).alias("confidence"))
             gone = [F.when(~h, finding("S3", "LOW_CONFIDENCE", r.field, r.id, MISSING)) for h, (r, _, _) in zip(each, names) if r.required]
             empty = F.when(none, finding("S1", "OCR_FAILURE", "Document Content", "SYSTEM", NO_CONTENT))
@@ -82,7 +78,7 @@ def analysis(text: Column, rules: Sequence[Rule] = RULES) -> Column:
         return let(found, judged)
 
     def read(t: Column) -> Column:
-        return let(F.struct(t.alias("text"), F.lower(t).alias("low"), F.size(F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")).alias("words")), one)
+        return let(F.struct(t.alias("text"), F.lower(t).alias("low"), F.size(F.filter(F.split(t, f"{BLANK}+"), lambda w: w != "")).alias("words")), one)
 
     return let(F.coalesce(text, F.lit("")), read)
 

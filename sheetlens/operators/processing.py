@@ -33,14 +33,16 @@ def whole_text(pages: Column) -> Column:
 
 def _universal(pages: Column) -> Column:
     """Each kind of field that any document may have, from the first page that shows it."""
-    def of(name: str, patterns: Sequence[str]) -> Column:
+    def of(name: str, patterns: Sequence[str]):
         def on(p: Column) -> Column:
-            said = F.substring(sheets.trimmed(sheets.first_group(p["text"], patterns)), 1, 100)
+            said = F.substring(sheets.trimmed(sheets.first_group(p["text"], patterns, p["low"])), 1, 100)
             return let(said, lambda v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("field"), v.alias("value"), F.lit(UNIVERSAL).alias("confidence"), p["page"].alias("page"))))
 
-        return F.get(F.array_compact(F.transform(pages, on)), 0)
+        return lambda read: F.get(F.array_compact(F.transform(read, on)), 0)
 
-    return F.array_compact(F.array(*[of(n, p) for n, p in sheets.UNIVERSAL.items()])).cast(_FIELD)
+    kinds = [of(n, p) for n, p in sheets.UNIVERSAL.items()]
+    read = F.transform(pages, lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"), sheets.lowered(p["text"]).alias("low")))
+    return let(read, lambda read: F.array_compact(F.array(*[find(read) for find in kinds]))).cast(_FIELD)
 
 
 def _analysed(text: Column, rules: Sequence[analyzer.Rule]) -> Column:
