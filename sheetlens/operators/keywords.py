@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MONTHS, js_regex, ladder, let
+from ..functions.scalars import MONTHS, js_regex, ladder, let, trimmed
 from .review import SPACE
 from .sheets import typed_confidence
 
@@ -33,10 +33,6 @@ class KeywordField:
     page_hint: int | None = None
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
-
-
 def iso_date(t: Column) -> Column:
     """``2024-01-15``, ``1/15/2024`` (month first) and ``January 15, 2024`` as ISO dates; null for anything else and for days that don't exist."""
     n = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
@@ -60,7 +56,7 @@ def typed(value: Column, kind: str) -> Column:
 def _found(text: Column, f: KeywordField) -> Column:
     """(raw, method) on one page, null if there is none."""
     hit = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    as_raw = lambda method: lambda v: F.when(v.isNotNull(), F.struct(_trim(v).alias("raw"), F.lit(method).alias("method")))
+    as_raw = lambda method: lambda v: F.when(v.isNotNull(), F.struct(trimmed(v).alias("raw"), F.lit(method).alias("method")))
     tries = []
     for i, word in enumerate((*f.hints, f.label, *f.aliases)):
         quoted = "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
