@@ -186,7 +186,7 @@ def extract_wide(docs: DataFrame, fields: Sequence[Field] = FIELDS, embedded: bo
         return let(trimmed(first_group(doc["text"], f.patterns, doc["low"])), found)
 
     t = F.coalesce(F.col(text), F.lit(""))
-    doc = F.struct(t.alias("text"), F.lower(t).alias("lower"), F.when(F.length(F.lower(t)) == F.length(t), F.lower(t)).alias("low"))
+    doc = let(F.lower(t), lambda x: F.struct(t.alias("text"), x.alias("lower"), F.when(F.length(x) == F.length(t), x).alias("low")))
     return docs.select(key, *carry, let(doc, lambda d: F.struct(*[one(f, d).alias(f.id) for f in fields])).alias("_x")).select(key, *carry, "_x.*")
 
 
