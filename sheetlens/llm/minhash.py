@@ -130,7 +130,7 @@ def _copy_of(words: list[bytes], text: str | None) -> bytes | None:
     return hashlib.md5(b" ".join(words) if words else b"\0" + text.encode("utf-8", "replace")).digest() if text else None
 
 
-def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text: str, chunk: int = 2_000_000) -> DataFrame:
+def sketched(docs: DataFrame, bands: int, rows: int, width: int, key: str, text: str, chunk: int = 1_000_000) -> DataFrame:
     """(id, copy_of, sketch, plain) per row: the class of equal word sequences, a byte per register.
 
     ``plain`` is the sketch of the shingles without weights, null where no shingle repeats.
@@ -168,7 +168,7 @@ def banded(faces: DataFrame, bands: int, rows: int) -> DataFrame:
     return faces.select(*(c for c in faces.columns if c != "sketch"), F.posexplode(hashes).alias("at", "band"))
 
 
-def shingle_sets(texts: DataFrame, width: int, chunk: int = 2_000_000) -> DataFrame:
+def shingle_sets(texts: DataFrame, width: int, chunk: int = 1_000_000) -> DataFrame:
     """(id, hashes, counts) of ``texts(id, copy_of, text)``: sorted shingle hashes, and their counts where one repeats.
 
     Rows whose text is not of the class ``copy_of`` are left out: they only share its id.
@@ -461,7 +461,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 32, rows:
     now = met.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     more = saved(_block_links(saved(now), faces, sets, least, bands, rows, block, block_bytes))
     if not more.isEmpty():
-        part = connected_components(links.unionByName(more)).withColumnRenamed("node", "id")
+        part = connected_components(part.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more)).withColumnRenamed("node", "id")
     by_class = classes.select("id", "least", "copies").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = by_class.groupBy("component").agg(F.sum("copies").alias("class_size"), F.min("least").alias("class_id"))
     out = named.join(by_class.join(sizes, "component").select(F.col("id").alias("_class"), "class_id", "class_size"), "_class", "left")
