@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import in_parts, slices
 
 #: Letters stay, ASCII characters that are no letters become blanks.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 400, bits: int = 16
     """
 
     def featurise(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             t = batch.to_pydict()
             keep = [i for i, x in enumerate(t["text"]) if has_letter(x)]
             profs = [_profile(t["text"][i], bits) for i in keep]
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
     schema = base.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, place):
             pred = known.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())],

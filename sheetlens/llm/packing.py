@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,12 @@ class ChunkEncoder:
 
     The tokenizer lower-cases, and cuts at blanks and between letters and punctuation; so a
     text's ids are those of such chunks one after the other. The cache is emptied when it is
-    full, which costs time only. Texts with characters for which the library's notion of a
+    full, which costs time only; ``at_once`` chunks go to the library in a call, whose results
+    are far larger than their ids. Texts with characters for which the library's notion of a
     blank may differ from Python's are encoded whole.
     """
 
-    def __init__(self, vocabulary: str, cache: int = 400_000):
+    def __init__(self, vocabulary: str, cache: int = 400_000, at_once: int = 4096):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,7 +51,7 @@ class ChunkEncoder:
             import public_tokenizers
 
             vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer, self.cache, self.limit = Tokenizer.from_file(vocabulary), {}, cache
+        self.tokenizer, self.cache, self.limit, self.at_once = Tokenizer.from_file(vocabulary), {}, cache, at_once
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
@@ -88,8 +90,9 @@ class ChunkEncoder:
             cache.clear()
         missing = {w for c in chunks if c for w in c if w not in cache}
         for words, ids in (([w for w in missing if w.isalpha()], self._words), ([w for w in missing if not w.isalpha()], self._ids)):
-            if words:
-                cache.update(zip(words, ids(words), strict=True))
+            for k in range(0, len(words), self.at_once):
+                some = words[k : k + self.at_once]
+                cache.update(zip(some, ids(some), strict=True))
         return [next(self._ids([t])) if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(texts, chunks, strict=True)]
 
 
@@ -152,10 +155,10 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.
         encoder, bins = ChunkEncoder(vocabulary), OpenBins(capacity, open_bins)
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices([len(t or "") for t in texts], batch_chars):
+            keys = batch.column(0)
+            for a, b in slices(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist(), batch_chars):
                 row, piece, start, size, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder.encode(texts[a:b]), a):
+                for i, ids in enumerate(encoder.encode(batch.column(1).slice(a, b - a).to_pylist()), a):
                     ids += end
                     for k, (s, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                         row.append(i)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD_BYTES, saved
+from .text import WORD_BYTES, in_parts, saved
 
 # Common English insults, as a lexicon voter.
 LEXICON = (
@@ -223,7 +223,7 @@ def _counted(sample: DataFrame, wanted: set[bytes] | None) -> DataFrame:
 
     def run(batches):
         seen, n = (Counter(), Counter()), [0, 0]
-        for batch in batches:
+        for batch in in_parts(batches, 0):
             for text, toxic, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n[toxic] += 1
                 f = _features(set(_words(text or "")))
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, toxic_rows: int = 40
         halves = [ToxicityModel(mine(sample.filter(F.col("fold") == 1 - k), most)) for k in (0, 1)]
 
         def run(batches):
-            for batch in batches:
+            for batch in in_parts(batches, 0):
                 rows = []
                 for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     hits, x = halves[fold].vector(text)
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: s
     schema = base.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, place):
             s = [known.value.score(t) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=schema.names)
 
