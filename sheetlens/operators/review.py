@@ -111,6 +111,15 @@ _BEGINS = {
     "realCompany": "(?=[A-Z])", "realName": "(?=[A-Z])"}
 
 
+#: The same patterns without trying again what cannot match: each begins at one character, whose
+#: boundary is looked at next, and a run of letters or blanks that ends at what follows is never given back.
+_FASTER = {
+    PERSONAL["email"]: r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", PERSONAL["usPostalCode"]: r"\d(?<!\w\d)\d{4}(?:-\d{4})?(?!\w)",
+    PERSONAL["ukPostalCode"]: r"[A-Za-z](?<!\w[A-Za-z])[A-Za-z]?+\d[A-Za-z\d]?\s*+\d[A-Za-z]{2}(?!\w)",
+    PERSONAL["streetAddress"]: r"\d(?<!\w\d)\d*+\s++(?i)(?:[A-Z][a-z]++\s++){1,3}" + PERSONAL["streetAddress"].partition("{1,3}")[2].removesuffix(r"\b") + r"(?!\w)",
+    PERSONAL["realCompany"]: rf"[A-Z](?<!\w[A-Z])[a-z]++(?:\s++[A-Z][a-z]++)*\s++(?:{_SUFFIXES})(?!\w)"}
+
+
 def personal_data(texts: DataFrame, patterns: Mapping[str, str], allowed: Sequence[str] = (), key: str | Sequence[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key, pattern, match) of what looks like personal data, without allowed phrases, placeholders, and postal codes that are parts of dates.
 
@@ -125,8 +134,8 @@ def personal_data(texts: DataFrame, patterns: Mapping[str, str], allowed: Sequen
             dated = F.substring(t, before, F.lit(15)).rlike(r"^\d{4}-\d{2}") if name == "usPostalCode" else F.lit(False)
             return F.struct(F.lit(name).alias("pattern"), m.alias("match"), dated.alias("dated"))
 
-        found = F.regexp_extract_all(t, F.lit(_BEGINS.get(name, "") + js_regex(pattern)), 0)
-        return F.transform(F.when(t.contains("@"), found).otherwise(F.array().cast("array<string>")) if name == "email" else found, hit)
+        near = F.array_join(F.filter(F.split(t, " "), lambda w: w.contains("@")), " ") if name == "email" and pattern == PERSONAL["email"] else t  # it holds no blank
+        return F.transform(F.regexp_extract_all(near, F.lit(_FASTER.get(pattern) or _BEGINS.get(name, "") + js_regex(pattern)), 0), hit)
 
     found = texts.select(*keys, F.explode(F.concat(*[hits(n, p) for n, p in patterns.items()])).alias("h")).select(*keys, "h.pattern", "h.match", "h.dated")
     ok = reduce(lambda a, p: a & ~F.col("match").contains(p), allowed, ~F.col("match").rlike("(?i)^(CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_|TECH-|PART-|JS-)"))

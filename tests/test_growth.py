@@ -86,3 +86,23 @@ def test_depth_is_measured_once(spark, monkeypatch):
     monkeypatch.setattr(type(df), "first", lambda self: calls.append(1) or first(self))
     assert sorted(tuple(r) for r in N.without_names(df, "json", ["id"]).collect()) == [(1, '{"a":[{"customerName":"A. L."},{}],"b":[]}'), (2, "[["), (3, '"x"')]
     assert len(calls) == 1
+
+
+def test_personal_patterns_find_the_same_without_trying_again(spark):
+    import random
+
+    from sheetlens.functions.scalars import js_regex
+    from sheetlens.operators import review as V
+
+    rng = random.Random(7)
+    parts = ["a", "b.c", "@", "@d.org", "x@y.co", " ", " ", "\n", "\t", "-", "_", "12", "12345", "12345-6789", "AB1", "a1", "2CD", "2cd", "E", "Acme", "Ab", "Pumps", "Ltd", "Co", "Company", "CUSTOMER_A", "Inc", "é", "ſ", "K", "%", ".", "7 Green ", "Mill\t", "Mc Rd", "st", "Lane"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 16))) for _ in range(9000)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    matches = lambda pattern: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), 0)
+    for name in ("usPostalCode", "ukPostalCode", "streetAddress", "realCompany"):
+        pattern = V.PERSONAL[name]
+        both = df.select(matches(js_regex(pattern)).alias("a"), matches(V._FASTER[pattern]).alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both] and sum(len(r.a) for r in both) > 10
+    found = V.personal_data(df, {"email": V.PERSONAL["email"]}).select("doc_id", "match")
+    want = df.select("doc_id", F.explode(matches(js_regex(V.PERSONAL["email"]))).alias("match")).filter(~F.col("match").rlike("(?i)^(CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_|TECH-|PART-|JS-)"))
+    assert want.count() > 20 and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
