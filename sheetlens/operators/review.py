@@ -114,7 +114,7 @@ _BEGINS = {
 #: The same patterns without trying again what cannot match: each begins at one character, whose
 #: boundary is looked at next, and a run of letters or blanks that ends at what follows is never given back.
 _FASTER = {
-    PERSONAL["email"]: r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", PERSONAL["usPostalCode"]: r"\d(?<!\w\d)\d{4}(?:-\d{4})?(?!\w)",
+    PERSONAL["email"]: _BEGINS["email"] + r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", PERSONAL["usPostalCode"]: r"\d(?<!\w\d)\d{4}(?:-\d{4})?(?!\w)",
     PERSONAL["ukPostalCode"]: r"[A-Za-z](?<!\w[A-Za-z])[A-Za-z]?+\d[A-Za-z\d]?\s*+\d[A-Za-z]{2}(?!\w)",
     PERSONAL["streetAddress"]: r"\d(?<!\w\d)\d*+\s++(?i)(?:[A-Z][a-z]++\s++){1,3}" + PERSONAL["streetAddress"].partition("{1,3}")[2].removesuffix(r"\b") + r"(?!\w)",
     PERSONAL["realCompany"]: rf"[A-Z](?<!\w[A-Z])[a-z]++(?:\s++[A-Z][a-z]++)*\s++(?:{_SUFFIXES})(?!\w)"}

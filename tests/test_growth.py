@@ -106,3 +106,8 @@ def test_personal_patterns_find_the_same_without_trying_again(spark):
     found = V.personal_data(df, {"email": V.PERSONAL["email"]}).select("doc_id", "match")
     want = df.select("doc_id", F.explode(matches(js_regex(V.PERSONAL["email"]))).alias("match")).filter(~F.col("match").rlike("(?i)^(CUSTOMER_|VENDOR_|SUPPLIER_|PARTNER_|TECH-|PART-|JS-)"))
     assert want.count() > 20 and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    import time
+
+    long = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("a"), 300_000), F.lit("@ b@c.de")).alias("text"))
+    began = time.time()
+    assert [r.match for r in V.personal_data(long, {"email": V.PERSONAL["email"]}).collect()] == ["b@c.de"] and time.time() - began < 20
