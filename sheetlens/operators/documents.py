@@ -66,7 +66,14 @@ class Template:
 
     def score(self, words: Column, known: Column | None = None) -> Column:
         """0 to 100 for a document's distinct words; ``known`` are those of them that templates name, see ``known_words``."""
-        has = lambda t: F.array_contains(words if known is None else known, t.lower())
+        return self.scored(lambda t: F.array_contains(words if known is None else known, t.lower()), self.coded(words) if self.form_code else None)
+
+    def coded(self, words: Column) -> Column:
+        """Whether a document's distinct words show the form's code."""
+        return F.array_join(words, " ").rlike("(?i)" + js_regex(self.form_code))
+
+    def scored(self, has: Callable[[str], Column], coded: Column | None) -> Column:
+        """0 to 100 for the words that ``has`` tells to be there; ``coded`` tells whether the form's code is."""
         gain = lambda ts, default: reduce(lambda a, t: a + F.when(has(t), float(self.weights.get(t, default))).otherwise(0.0), ts, F.lit(0.0))
         s = gain(self.required_all, 10)
         if self.required_all:
@@ -75,7 +82,7 @@ class Template:
             some = reduce(lambda a, t: a | has(t), self.required_any, F.lit(False))
             s = F.when(some, s + gain(self.required_any, 5)).otherwise(F.greatest(F.lit(0.0), s - 30))
         if self.form_code:
-            s = s + F.when(F.array_join(words, " ").rlike("(?i)" + js_regex(self.form_code)), 15.0).otherwise(0.0)
+            s = s + F.when(coded, 15.0).otherwise(0.0)
         s = s + gain(self.optional, 2)
         most = len(self.required_all) * 10 + min(len(self.required_any), 1) * 5 + (15 if self.form_code else 0) + len(self.optional) * 2
         return F.least(F.lit(100.0), round_half_up(s / most * 100)) if most else F.lit(0.0)

@@ -68,9 +68,9 @@ _PAGED = """SELECT s.doc_id, text, array_to_string(string_split(text, chr(10))[1
 
 
 def paged(v):
-    n, lines = F.col("doc_id"), F.split("text", "\n")
+    n, first = F.col("doc_id"), F.substring_index("text", "\n", 10)
     return v.sheets.select(
-        "doc_id", "text", F.array(F.array_join(F.slice(lines, 1, 10), "\n"), F.array_join(F.slice(lines, F.lit(11), F.size(lines)), "\n")).alias("pages"), F.when(n % 7 > 0, n % 13).alias("page_count"),
+        "doc_id", "text", F.array(first, F.substring(F.col("text"), F.length(first) + 2, F.length("text"))).alias("pages"), F.when(n % 7 > 0, n % 13).alias("page_count"),
         F.when(n % 3 == 0, "printed").when(n % 3 == 1, "handwritten").alias("form_type"), F.when(n % 2 == 0, F.array(F.lit("Repair Report"), F.lit("Summary"))).alias("sections"),
         F.when(n % 4 == 0, "BUILDING").when(n % 4 == 1, "AUTOMOBILE").alias("client"), F.when(n % 5 == 0, "pump").otherwise("lift").alias("asset"), F.when(n % 6 == 0, "repair").otherwise("service").alias("work"))
 
@@ -119,7 +119,7 @@ _CANDIDATES = " UNION ALL ".join(f"SELECT doc_id, '{p.template.slug}' AS slug, {
  array_to_string(list_transform(signals, lambda x: x.type || ':' || {_NUM.format('x.score')}), ', ') AS signals FROM e""", "sheets")
 def _(v):
     meta = {"client": F.col("client"), "asset_type": F.col("asset"), "work_type": F.col("work")}
-    out = G.select_by_signals(paged(v), PROFILES, sections="sections", metadata=meta)
+    out = G.select_by_signals(paged(v), PROFILES, sections="sections", metadata=meta, explained=False)
     return out.withColumn("signals", F.array_join(F.transform("signals", lambda s: F.concat(s["type"], F.lit(":"), G._number(s["score"]))), ", "))
 
 

@@ -158,8 +158,9 @@ class Views:
             text("Engineer Comments: ", F.when(k % 6 == 0, "ok").otherwise(text("replaced the seal and tested part ", k))), text("Fault Reason: ", pick(("Wear & Tear", "electrical", "Broken"), k)),
             text("Repair Duration: ", c % 130), F.lit("Parts Used: seal kit"), F.when(k % 9 == 0, F.lit("Parts Required: gasket")), text("Overtime: ", pick(("No", "Yes"), k)),
             text("VOR Status: ", pick(("No", "Yes"), c)), F.lit("Technician Signature: ____"), F.when(k % 5 == 0, text("Due date: ", F.year(d) + 1, "-01-02, valid until ", F.dayofmonth(d), "/12/", F.year(d))))
-        j = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        return spread(j, "o_orderkey").select(k.alias("doc_id"), F.array_join(F.array_compact(F.array(*lines)), "\n").alias("text"), F.when(k % 3 == 0, F.concat(F.lit("Job No: "), (k + k % 2).cast("string"))).alias("region"))
+        # Orders are dealt out, not the join: to count a join's tasks would run it.
+        j = spread(self.table("orders"), "o_orderkey").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return j.select(k.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"), F.when(k % 3 == 0, F.concat(F.lit("Job No: "), (k + k % 2).cast("string"))).alias("region"))
 
 
 _CODES = "[" + ", ".join(f"'{c}'" for c in REASON_CODES) + "]"

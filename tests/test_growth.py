@@ -111,3 +111,54 @@ def test_personal_patterns_find_the_same_without_trying_again(spark):
     long = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("a"), 300_000), F.lit("@ b@c.de")).alias("text"))
     began = time.time()
     assert [r.match for r in V.personal_data(long, {"email": V.PERSONAL["email"]}).collect()] == ["b@c.de"] and time.time() - began < 20
+
+
+def test_words_are_found_without_cutting_the_text(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["job", "Job", "jobs", "re_job", "a", "a1", "é", "İ", "Kob", "ß", "😀", "_", "-", " ", "  ", "\n", "\t", "\x0b", " ", ".", "7", "Due", "due", "ſ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(3000)] + [None, "job", "jobjob job", "jobjob"]
+    words = ["job", "Due", "a1", "_", "7", "é", "a b", "", "re_job", "kob"]
+    by_class = F.filter(F.split(F.regexp_replace(F.lower("t"), r"[^a-z0-9_\s]", " "), r"\s+"), lambda w: w != "")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(S.tokens(F.col("t")).alias("a"), by_class.alias("b"), *(S.names_word(F.lower("t"), w).alias(f"w{i}") for i, w in enumerate(words))).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    for i, w in enumerate(words):
+        assert [bool(r[f"w{i}"]) for r in rows] == [w.lower() in (r.b or []) for r in rows]
+    assert sum(r.w0 or False for r in rows) > 100
+
+
+def test_signals_are_asked_once_and_told_for_the_best(spark):
+    from sheetlens.operators import documents as D
+    from sheetlens.operators import signals as G
+
+    a = G.Profile(D.Template("a", ("job",), ("sheet", "card"), ("seal",), r"\bJOB\b"), (G.Region("top", 1, ("jobNumber",)), G.Region("rest", 2)), (("date", "date", None), ("jobNumber", "string", None)), client="ACME")
+    b = G.Profile(D.Template("b", ("job",), (), ("seal",), r"job \d+"), (G.Region("top", 1, ("jobNumber", "assetId")),), (("jobNumber", "required", None), ("x", "regex", "no")), form=None, sections=("Parts",))
+    docs = spark.createDataFrame([(1, "Job 7 sheet: job no 7, seal", ["job no", "x" * 60], 3, None, ["PARTS"], "ACME"), (2, None, None, None, "printed", None, None), (3, "jobs", [], 2, "printed", [], "ACME")],
+                                 "doc_id long, text string, pages array<string>, page_count int, form_type string, sections array<string>, client string")
+    meta = {"client": F.col("client")}
+    long, short = (G.select_by_signals(docs, (a, b), sections="sections", metadata=meta, explained=x) for x in (True, False))
+    known = lambda r: (*r[:-1], [tuple(s)[:4] for s in r.signals])
+    assert sorted(map(known, long.collect()), key=str) == sorted(map(known, short.collect()), key=str)
+    one = next(r for r in long.collect() if r.doc_id == 1)
+    by = {s.type: s for s in one.signals}
+    assert (one.slug, one.top_score, by["token"].matched, by["token"].missing) == ("b", 100.0, ["job", r"REGEX:job \d+", "optional:seal"], []) and by["roi"].matched == ["roi:top (fields: jobNumber)"]
+    from sheetlens.plans import signals
+
+    asked = G._Tests("_text", "_low", "_pages")
+    for p in signals.PROFILES:
+        G.token_signal(asked, p.template)
+    plain = _plan(G.select_by_signals(docs, signals.PROFILES))
+    assert "regexp_replace" not in plain and "split(" not in plain and plain.count("examination(?<") == 1
+    assert len(asked.answers) == len({w for p in signals.PROFILES for w in p.template.tokens()} | {"job"})  # a form's code that is one word
+
+
+def test_sheets_are_made_without_running_their_join(spark, monkeypatch):
+    from sheetlens.sources import tables
+
+    dealt = []
+    spread = tables.spread
+    monkeypatch.setattr(tables, "spread", lambda df, key: dealt.append(_plan(df)) or spread(df, key))
+    sheets = tables.Views(spark, "/root/testdata/sf0.001").sheets
+    assert dealt and not any("Join" in p for p in dealt)
+    assert sheets.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
