@@ -144,8 +144,10 @@ _ALL_WHITE = _WHITE + "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) +
 
 
 def trimmed(c: Column, ascii_only: bool = False) -> Column:
-    """The text without white space at its ends; only the ends are looked at."""
-    return F.trim(c, F.lit(_WHITE if ascii_only else _ALL_WHITE))
+    """The text without white space at its ends; only the ends are looked at. Trimming asks for each kind of white space, and few texts need more than ASCII's."""
+    if ascii_only:
+        return F.trim(c, F.lit(_WHITE))
+    return let(c, lambda x: F.when(F.length(x) == F.octet_length(x), F.trim(x, F.lit(_WHITE))).otherwise(F.trim(x, F.lit(_ALL_WHITE))))
 
 
 def where_hinted(text: Column, hint: str | None, change: Callable[[Column], Column]) -> Column:

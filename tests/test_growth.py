@@ -162,3 +162,27 @@ def test_sheets_are_made_without_running_their_join(spark, monkeypatch):
     sheets = tables.Views(spark, "/root/testdata/sf0.001").sheets
     assert dealt and not any("Join" in p for p in dealt)
     assert sheets.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_patterns_find_the_same_without_their_optional_lead(spark):
+    import random
+    import re
+
+    assert T.without_lead(r"(?:Work\s*)?(?:work)s (x)") == r"(?:Work\s*)?(?:work)s (x)" and T.without_lead(r"(?:\d*)?job (x)") == r"(?:\d*)?job (x)"
+    patterns = {p: T.without_lead(p) for f in T.FIELDS for p in f.patterns if re.compile(p).groups and T.without_lead(p) != p}
+    assert len(patterns) == 5
+    rng = random.Random(3)
+    parts = ["Asset ", "asset", "Mileage", "hours", "/", ": ", "12", "3.5", "Site ", "site", "Address", "Were ", "all ", "work", "works ", "fully ", "completed", "? ", "Yes", "no", "Is a ", "is the ", "return ", "visit ", "required", "safe to use", "\n", "İ", "K", "works completed: Yes", "return visit required: no", "asset safe to use? y"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for long, short in patterns.items():
+        both = df.select(F.regexp_extract("t", "(?i)" + long, 1).alias("a"), F.regexp_extract("t", "(?i)" + short, 1).alias("b"), T.first_group(F.col("t"), [long], F.lower("t")).alias("c")).collect()
+        assert [r.a for r in both] == [r.b for r in both] == [r.c or "" for r in both] and any(r.a for r in both)
+
+
+def test_the_queue_makes_only_the_checks_it_needs(spark):
+    docs = spark.createDataFrame([(1, "Job No: 7\nAsset No: A-1\nFault Reason: Broken\nMileage: 5"), (2, None)], "doc_id long, text string")
+    df = T.review_queue(T.validate_wide(T.extract_wide(docs)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "^[A-Z0-9_-]+$" not in plan and "map(" not in plan
+    assert sorted(tuple(r) for r in df.filter("doc_id = 1").collect()) == [(1, "fault_reason", 0.5, "Review and correct if necessary")]
