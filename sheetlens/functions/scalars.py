@@ -191,9 +191,11 @@ def cohort(key: Column, split: float) -> Column:
 
 def initials(name: Column) -> Column:
     """``First Last`` to ``F. L.``, a single name to ``F.``."""
-    parts = F.filter(F.split(F.trim(name), r"\s+"), lambda p: p != "")
-    first, last = F.substring(F.get(parts, F.lit(0)), 1, 1), F.substring(F.element_at(parts, -1), 1, 1)
-    return F.when(F.size(parts) >= 2, F.concat(first, F.lit(". "), last, F.lit("."))).when(F.size(parts) == 1, F.concat(first, F.lit("."))).otherwise("")
+    def short(parts: Column) -> Column:
+        first, last = F.substring(F.get(parts, F.lit(0)), 1, 1), F.substring(F.element_at(parts, -1), 1, 1)
+        return F.when(F.size(parts) >= 2, F.concat(first, F.lit(". "), last, F.lit("."))).when(F.size(parts) == 1, F.concat(first, F.lit("."))).otherwise("")
+
+    return let(F.filter(F.split(F.trim(name), r"\s+"), lambda p: p != ""), short)
 
 
 def safe_file_name(name: Column, most: int = 255) -> Column:

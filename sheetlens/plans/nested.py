@@ -60,4 +60,4 @@ def _initials(x: str) -> str:
 
 @query("json_without_names", f"""WITH {re.sub("'(customerName|engineerName)': ((?:CASE.*?END|'Ann Marie ' [|][|] c_name))", lambda m: f"'{m[1]}': {_initials('(' + m[2] + ')')}", _NESTED_SQL)} SELECT id, json::VARCHAR AS json FROM n""")
 def _(v):
-    return N.without_names(nested(v), "json", ["id"])
+    return N.names_as_initials(nested(v), "json", ["id"])

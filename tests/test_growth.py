@@ -186,3 +186,31 @@ def test_the_queue_makes_only_the_checks_it_needs(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "^[A-Z0-9_-]+$" not in plan and "map(" not in plan
     assert sorted(tuple(r) for r in df.filter("doc_id = 1").collect()) == [(1, "fault_reason", 0.5, "Review and correct if necessary")]
+
+
+def test_names_become_initials_without_a_shuffle(spark):
+    import json
+    import random
+
+    from sheetlens.operators import nested as N
+
+    rng = random.Random(11)
+    words = ["Ann", "Lee", " ", "  ", "\t", '"', "\\", ",", '{"customerName":"', "é", "😀", "\n", ":", "İda", "\u2028", "/"]
+
+    def said():
+        return "".join(rng.choice(words) for _ in range(rng.randrange(0, 5)))
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return [said(), rng.randrange(-5, 10**6), rng.random(), None, True][kind]
+        return [value(depth - 1) for _ in range(rng.randrange(0, 4))] if kind == 5 else {k: value(depth - 1) for k in {rng.choice(["customerName", "engineerName", "a", 'x,"customerName', "b\\", said()]) for _ in range(rng.randrange(0, 5))}}
+
+    texts = [json.dumps(value(4), ensure_ascii=rng.random() < 0.5) for _ in range(1500)] + [
+        None, "", "[[", '"x"', '{"a":1,"a":2}', '{"customerName":""}', ' {"z" : 1.50, "customerName" : "Ann  Marie Lee"}', '{"customerName":7,"engineerName":null}', '["customerName","x"]']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, json string").repartition(4)
+    both = [{r.id: r.json for r in how(df, "json", ["id"]).collect()} for how in (N.without_names, N.names_as_initials)]
+    assert both[0] == both[1] and len(both[0]) == len(texts) - 1 and both[1][len(texts) - 3] == '{"customerName":"A. L.","z":1.5}'
+    fast = N.names_as_initials(df.select("id", "json"), "json", ["id"])
+    assert "Exchange" not in fast._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobinPartitioning", "") and "variant_explode" not in _plan(fast)
+    assert sorted(map(tuple, N.names_as_initials(df.filter("id = 1507"), "json", ["id"], ["z"]).collect())) == sorted(map(tuple, N.without_names(df.filter("id = 1507"), "json", ["id"], ["z"]).collect()))
