@@ -125,7 +125,6 @@ def names_as_initials(df: DataFrame, json: str, keys: Sequence[str], names: Sequ
     named member's string begins. After ``{`` or ``,`` a quote begins a string, and one that
     stands before a colon is a member's name, so no string's inside is taken for a member.
     """
-    text = F.col(json)
     known = "|".join(re.escape(text_of.dumps(n, ensure_ascii=False)) for n in names)
 
     def told(part: Column) -> Column:
@@ -139,10 +138,20 @@ def names_as_initials(df: DataFrame, json: str, keys: Sequence[str], names: Sequ
     def joined(parts: Column) -> Column:
         return F.when(F.size(parts) < 2, F.get(parts, 0)).otherwise(F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(told(p))), ""))
 
-    whole = F.to_json(F.try_parse_json(text))
     cut = rf'(?="[^"])(?<=":)(?<=[{{,](?:{known}):)'
-    new = let(whole, lambda w: F.when(w.isNull(), text).otherwise(let(F.split(w, cut), joined) if names else w))
-    return df.filter(text.isNotNull()).select(*keys, new.alias(json))
+    member, word = rf'([{{,](?:{known}):") *+', r'([^\s"\\])[^\s"\\]*+'
+
+    def changed(w: Column) -> Column:
+        """Names without escapes are one or several words; rows with other names are cut."""
+        odd = w.rlike(rf'[{{,](?:{known}):"(?:[^"\\]*+\\| ++")')
+        plain = F.regexp_replace(F.regexp_replace(w, rf'{member}{word} *+"', '$1$2."'), rf'{member}{word}(?: ++{word})++ *+"', '$1$2. $3."')
+        return F.when(odd, let(F.split(w, cut), joined)).otherwise(plain)
+
+    # Not a filter: pushed down to where the texts are made, it would have each made twice.
+    def kept(t: Column) -> Column:
+        return F.when(t.isNotNull(), F.array(F.coalesce(let(F.to_json(F.try_parse_json(t)), changed) if names else F.to_json(F.try_parse_json(t)), t)))
+
+    return df.select(*keys, F.explode(let(F.col(json), kept)).alias(json))
 
 
 def personal_paths(df: DataFrame, json: str, keys: Sequence[str], patterns: Mapping[str, str], allowed: Sequence[str] = ()) -> DataFrame:

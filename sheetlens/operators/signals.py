@@ -83,7 +83,7 @@ class _Tests:
 
     def coded(self, t: Template) -> Column:
         """A form's code that is one whole word is looked for as a word, any other in all words of the text."""
-        one = re.fullmatch(r"\\b([A-Za-z0-9_]+)\\b", t.form_code)
+        one = re.match(r"\\b([A-Za-z0-9_]+)\\b\Z", t.form_code)
         return self.word(one[1]) if one else self.ask(("code", t.form_code), lambda: t.coded(F.array_distinct(tokens(self.text))))
 
     def on_page(self, page: int, field: str) -> Column:
