@@ -73,6 +73,19 @@ def _assessed(text: Column, pages: Column, top: Column, band: Column) -> Column:
     return let(F.struct(_universal(pages).alias("f"), sheets.template_hints(text).alias("h")), told)
 
 
+def _chosen(docs: DataFrame, templates: Sequence[Template], key: str, pages: str, version: str, carry: Sequence[str]) -> tuple[DataFrame, Column, Column]:
+    """Documents with their whole text and template, whether one fails, and its run's id."""
+    readable = F.exists(F.coalesce(F.col(pages), F.array().cast("array<struct<page:int,text:string>>")), lambda p: p["text"].isNotNull())
+    names = ",".join([version, *(t.slug for t in templates)])
+    base = docs.select(key, *carry, F.col(pages).alias("_pages"), readable.alias("_readable"), F.when(readable, whole_text(F.col(pages))).alias("_text"))
+    run = F.sha2(F.concat_ws("\x1f", F.lit(names), F.col(key).cast("string"), F.coalesce("_text", F.lit("\x00"))), 256)
+    if not templates:
+        chosen = base.select("*", F.lit(None).cast("string").alias("slug"), F.lit(0.0).alias("top_score"), F.lit("LOW").alias("band"), F.lit(False).alias("selected"))
+    else:
+        chosen = select_template(base, templates, key, "_text", carry=(*carry, "_pages", "_readable", "_text"))
+    return chosen, F.lit(not templates) | ~F.col("_readable"), run
+
+
 def processed(docs: DataFrame, templates: Sequence[Template], rules: Mapping[str, Sequence[analyzer.Rule]], key: str = "doc_id", pages: str = "pages", version: str = "1", carry: Sequence[str] = ()) -> DataFrame:
     """``docs(key, pages array<struct<page,text>>)`` to a row each with what is to be stored.
 
@@ -82,18 +95,10 @@ def processed(docs: DataFrame, templates: Sequence[Template], rules: Mapping[str
     ``run_id`` is a digest of the key, the pages, the templates' names and ``version``: the same
     document processed again gives the same run. Rows that share a key stay rows of their own.
     """
-    readable = F.exists(F.coalesce(F.col(pages), F.array().cast("array<struct<page:int,text:string>>")), lambda p: p["text"].isNotNull())
-    names = ",".join([version, *(t.slug for t in templates)])
-    base = docs.select(key, *carry, F.col(pages).alias("_pages"), readable.alias("_readable"), F.when(readable, whole_text(F.col(pages))).alias("_text"))
-    run = F.sha2(F.concat_ws("\x1f", F.lit(names), F.col(key).cast("string"), F.coalesce("_text", F.lit("\x00"))), 256)
-    if not templates:
-        chosen = base.select("*", F.lit(None).cast("string").alias("slug"), F.lit(0.0).alias("top_score"), F.lit("LOW").alias("band"), F.lit(False).alias("selected"))
-    else:
-        chosen = select_template(base, templates, key, "_text", carry=(*carry, "_pages", "_readable", "_text"))
+    chosen, failed, run = _chosen(docs, templates, key, pages, version, carry)
     text = F.col("_text")
     known = {t.slug: _analysed(text, rules.get(t.slug, analyzer.RULES)) for t in templates}
     hybrid = _assessed(text, F.col("_pages"), F.col("top_score"), F.col("band"))
-    failed = F.lit(not templates) | ~F.col("_readable")
     out = F.when(failed, F.lit(None))
     for slug, full in known.items():
         out = out.when(F.col("selected") & (F.col("slug") == slug), full)
@@ -102,3 +107,16 @@ def processed(docs: DataFrame, templates: Sequence[Template], rules: Mapping[str
                          F.coalesce(F.size("_pages"), F.lit(0)).alias("page_count"), error.alias("error"), out.otherwise(hybrid).alias("_o"))
     return rows.select(key, *carry, "run_id", F.coalesce("_o.status", F.lit("failed")).alias("status"), "_o.mode", "_o.result", "_o.score", "template", "band", "_o.review_reason", "_o.summary",
                        F.greatest("page_count", F.lit(0)).alias("page_count"), "_o.fields", "_o.findings", "error")
+
+
+def outcomes(docs: DataFrame, templates: Sequence[Template], rules: Mapping[str, Sequence[analyzer.Rule]], key: str = "doc_id", pages: str = "pages", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carried, status, template, score) as ``processed`` gives them; fields and findings, which these don't depend on, aren't read."""
+    chosen, failed, _ = _chosen(docs, templates, key, pages, "1", carry)
+    out = F.when(failed, F.lit(None))
+    for t in templates:
+        full = let(analyzer.analysis(F.col("_text"), rules.get(t.slug, analyzer.RULES), told=False), lambda a: F.struct(
+            F.when(a["result"] == "REVIEW_QUEUE", "review_queue").otherwise("completed").alias("status"), a["score"].cast("double").alias("score")))
+        out = out.when(F.col("selected") & (F.col("slug") == t.slug), full)
+    out = out.otherwise(F.struct(F.lit("review_queue").alias("status"), F.col("top_score").alias("score")))
+    rows = chosen.select(key, *carry, F.when(~failed & F.col("selected"), F.col("slug")).alias("template"), out.alias("_o"))
+    return rows.select(key, *carry, F.coalesce("_o.status", F.lit("failed")).alias("status"), "template", "_o.score")

@@ -214,3 +214,17 @@ def test_names_become_initials_without_a_shuffle(spark):
     fast = N.names_as_initials(df.select("id", "json"), "json", ["id"])
     assert "Exchange" not in fast._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobinPartitioning", "") and "variant_explode" not in _plan(fast)
     assert sorted(map(tuple, N.names_as_initials(df.filter("id = 1507"), "json", ["id"], ["z"]).collect())) == sorted(map(tuple, N.without_names(df.filter("id = 1507"), "json", ["id"], ["z"]).collect()))
+
+
+def test_outcomes_are_those_of_processing_without_reading_fields(spark):
+    from sheetlens.operators import processing as P
+    from sheetlens.plans import processing as Q
+    from sheetlens.sources.tables import Views
+
+    docs = Q.paged(Views(spark, "/root/testdata/sf0.001"))
+    short = P.outcomes(docs, Q.TEMPLATES, Q.SETS)
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert "signature[" not in plan and "[detected]" not in plan
+    want = P.processed(docs, Q.TEMPLATES, Q.SETS).select(*short.columns)
+    assert sorted(map(str, short.collect())) == sorted(map(str, want.collect()))
+    assert {tuple(r) for r in P.outcomes(docs, (), {}).select("status", "template", "score").collect()} == {("failed", None, None)}
